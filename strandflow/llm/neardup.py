@@ -12,10 +12,18 @@ in a bucket.  With 40 bands of 5 rows a pair of similarity 0.8 is missed with
 probability (1 - 0.8^5)^40 = 1.2e-7.
 
 Links.  Rows with equal sets collapse to one class first, so that copies never
-multiply.  In a bucket, members are compared with one pivot (the member that
-meets most others), not with each other; then members that are still outside
-the pivot's component with a second pivot; and what is still apart is compared
-in full.  No bucket is capped.  Every candidate is confirmed on full sets.
+multiply.  In a bucket, members are compared with one pivot p, the member that
+meets most others, and not with each other.  What then still lies apart is
+settled without pairing everything: with D(s) the symmetric difference of s and
+p, |s ^ m| = |D(s)| + |D(m)| - 2 |D(s) & D(m)|, so that a link asks for a known
+overlap of two short lists.  Either |D(s)| + |D(m)| is small enough for a link
+whatever they share (one comparison, with the member nearest to p, finds out),
+or s and m share an element of D.  Elements are ordered from rare to common
+within the pivot's group, and the first shared one has to leave enough elements
+behind it on both sides: edits that are a document's own fill the places that
+count, and what all copies have in common is never a reason to compare.
+Buckets of up to SMALL members are compared directly.  No bucket is capped, and
+every candidate is confirmed on full sets.
 
 Components come from alternating large-star and small-star steps, written to
 the shared folder after each; nothing but counters reaches the driver.
@@ -27,13 +35,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._store import Scratch
 from ._text import LOWER, NOT_SPACE, U64, Rolling, chunks, distinct, mix, shingles, word_bounds
 
 BANDS, ROWS = 40, 5
+#: Members of a bucket that are compared with each other directly.
+SMALL = 8
 #: Candidate ids up to so many go to the executors by broadcast (16 MB of ids); more are joined by shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -136,6 +146,17 @@ def _confirm(percent: int):
     return run
 
 
+def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lists = []
+        for x, y in zip(batch.column(4), batch.column(5), strict=True):
+            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            lists.append(np.setxor1d(x, y, assume_unique=True).astype(np.int64))
+        ends = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
+        column = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*lists, np.zeros(0, np.int64)])))
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), column], ["p", "cls", "n", "root", "d"])
+
+
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """(node, root) of all nodes that aren't their component's least node, by alternating stars."""
     e, seen = scratch.cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges"), None
@@ -153,6 +174,38 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
         e, seen = new, now
 
 
+def _crowded(scratch: Scratch, own: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (c1, n1, c2, n2) of large buckets that may be linked although they lie apart.
+
+    With c = (100 - percent) / (100 + percent), a link of s and m asks for
+    |s ^ m| <= c (|s| + |m|).  For x(s) = |D(s)| - c |s| (here times 100 + percent)
+    that is: |D(s) & D(m)| >= (x(s) + x(m)) / 2.
+    """
+    up, down = 100 + percent, 100 - percent
+    group = own.where("cls <> p").select("p", "cls", "n", "root").distinct()
+    both = group.join(sets.select("cls", F.col("elements").alias("x")), "cls").join(sets.select(F.col("cls").alias("p"), F.col("elements").alias("y")), "p")
+    lists = both.select("p", "cls", "n", "root", "x", "y").mapInArrow(_differences, "p binary, cls binary, n long, root binary, d array<long>")
+    lists = scratch.cut(lists.withColumn("x", F.size("d") * F.lit(up).cast("long") - F.col("n") * down), "differences")
+    main = lists.groupBy("p", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("p").agg(F.max_by("root", F.struct("k", "root")).alias("main"))
+    bounds = lists.join(main, "p").groupBy("p").agg(
+        F.first("main").alias("main"), F.min("x").alias("x_min"), F.min(F.when(F.col("root") != F.col("main"), F.col("x"))).alias("x_apart"),
+        F.min_by(F.struct("cls", "n", "root", "x"), F.struct("x", "cls")).alias("nearest"),
+    ).where("x_apart is not null")
+    own_lists = lists.join(bounds, "p")
+    sure = own_lists.where("root <> nearest.root and x + nearest.x <= 0").select(F.col("cls").alias("c1"), F.col("n").alias("n1"), F.col("nearest.cls").alias("c2"), F.col("nearest.n").alias("n2"))
+    one = own_lists.select("p", "cls", "n", "root", "main", "x", "x_min", "x_apart", F.size("d").alias("len"), F.explode("d").alias("e"))
+    often = lists.select("p", F.explode("d").alias("e")).groupBy("p", "e").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    place = F.row_number().over(Window.partitionBy("p", "cls").orderBy("k", "e"))
+    # elements that nobody shares come first and join nothing: only their number counts
+    shared = one.join(often, ["p", "e"])
+    lone = F.col("len") - F.count(F.lit(1)).over(Window.partitionBy("p", "cls"))
+    cap = 2 * up * (F.col("len") - F.col("at") + 1) - F.col("x")
+    listed = scratch.cut(shared.withColumn("at", place + lone).withColumn("cap", cap).where("cap >= x_min").select("p", "e", "cls", "n", "root", "x", "cap", "x_apart", (F.col("root") != F.col("main")).alias("apart")), "places")
+    s, m = listed.where("apart").alias("s"), listed.where("cap >= x_apart").alias("m")
+    met = s.join(m, F.expr("s.p = m.p and s.e = m.e and s.root <> m.root and m.x <= s.cap and s.x <= m.cap"))
+    return met.select(F.col("s.cls").alias("c1"), F.col("s.n").alias("n1"), F.col("m.cls").alias("c2"), F.col("m.n").alias("n2")).unionByName(sure)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
@@ -190,31 +243,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: i
         pivot = rooted.groupBy("band").agg(F.max_by(F.struct("cls", "n", "root"), F.struct("weight", "cls")).alias("p"))
         return rooted.join(pivot, "band").where("root <> p.root").select(F.col("cls").alias("c1"), F.col("n").alias("n1"), F.col("p.cls").alias("c2"), F.col("p.n").alias("n2"))
 
-    def rooted(roots: DataFrame) -> DataFrame:
-        """Members of buckets in which more than one component meets."""
-        own = members.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-        apart = own.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b")
-        return own.join(apart.select("band"), "band", "left_semi")
-
     edges = scratch.cut(confirmed(starred(members.withColumn("root", F.col("cls")))), "links")
     roots = components(scratch, edges)
-    # The second pivot: the weightiest member outside the first pivot's component.
-    own = scratch.cut(rooted(roots), "apart")
-    first = own.groupBy("band").agg(F.max_by("root", F.struct("weight", "cls")).alias("first"))
-    outside = own.join(first, "band").where("root <> first")
-    second = outside.groupBy("band").agg(F.max_by(F.struct("cls", "n", "root"), F.struct("weight", "cls")).alias("p"))
-    pairs = own.join(second, "band").where("root <> p.root").select(F.col("cls").alias("c1"), F.col("n").alias("n1"), F.col("p.cls").alias("c2"), F.col("p.n").alias("n2"))
+    own = members.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    whole = own.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("a"), F.max("root").alias("b"), F.max_by("cls", F.struct("weight", "cls")).alias("p")).where("a <> b and size > 2")
+    own = scratch.cut(own.join(whole.select("band", "size", "p"), "band"), "apart")
+    few = own.where(f"size <= {SMALL}")
+    a, b = few.alias("a"), few.alias("b")
+    pairs = a.join(b, F.expr("a.band = b.band and a.cls < b.cls and a.root <> b.root and a.cls <> a.p and b.cls <> a.p"))
+    pairs = pairs.select(F.col("a.cls").alias("c1"), F.col("a.n").alias("n1"), F.col("b.cls").alias("c2"), F.col("b.n").alias("n2"))
+    pairs = pairs.unionByName(_crowded(scratch, own.where(f"size > {SMALL}"), sets, percent))
     more = scratch.cut(confirmed(pairs), "links")
-    edges = edges.unionByName(more)
-    roots = components(scratch, edges)
-    # Whatever still lies apart in a bucket is compared in full.
-    own = scratch.cut(rooted(roots), "apart")
-    a, b = own.alias("a"), own.alias("b")
-    rest = a.join(b, F.expr(f"a.band = b.band and a.cls < b.cls and a.root <> b.root and 100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)"))
-    rest = rest.select(F.col("a.cls").alias("c1"), F.col("a.n").alias("n1"), F.col("b.cls").alias("c2"), F.col("b.n").alias("n2"))
-    last = scratch.cut(confirmed(rest), "links")
-    if last.limit(1).count():
-        roots = components(scratch, edges.unionByName(last))
+    if more.limit(1).count():
+        roots = components(scratch, edges.unionByName(more))
+    scratch.drop(met, reps, sets, own)
     label = classes.select("cls", "rep").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = label.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = label.join(least, "root").select("cls", "component_id")
