@@ -98,6 +98,12 @@ class Rolling:
         return mix((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64) * U64(0xD6E8FEB86659FD93))
 
 
+    def every(self, size: int) -> np.ndarray:
+        """Unmixed hashes of all ranges of one size, by start."""
+        n = len(self.sums) - 1
+        return (self.sums[size:] - self.sums[: n - size + 1]) * self.down[: n - size + 1]
+
+
 def hash_bytes(words: list[bytes]) -> np.ndarray:
     """The hashes that Rolling gives these byte strings."""
     if not words:

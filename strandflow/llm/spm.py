@@ -26,11 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import CHUNK_BYTES, Rolling, chunks
+from ._text import Rolling, chunks
 
 GAP = "▁"
 WORD = re.compile(f"{GAP}*[^{GAP}]+|{GAP}+")
-CACHE_WORDS, BLOCK_CHARS = 200_000, 100_000
+CACHE_WORDS, BLOCK_CHARS, TEXT_BYTES = 250_000, 400_000, 4 << 20
+FILTER_BITS = 20
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # fixed values: piece types of the file format
 UNIGRAM, BPE = 1, 2  # fixed values: model types of the file format
 
@@ -64,6 +65,10 @@ def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
             at += n
 
 
+def _slot(h: np.ndarray) -> np.ndarray:
+    return (h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - FILTER_BITS)
+
+
 class Vocabulary:
     def __init__(self, path: str, scores: str = "auto"):
         with open(path, "rb") as f:
@@ -92,14 +97,15 @@ class Vocabulary:
         self.unknown = np.float32(score[types == NORMAL].min() - np.float32(10)) if (types == NORMAL).any() else np.float32(-1e9)
         self.longest = max(len(self.pieces[i]) for i in usable)
         self.split_words = not any(GAP in self.pieces[i].lstrip(GAP) for i in usable)
-        self.keys: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.uint64), np.zeros(0, np.int32))]
+        self.keys: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, bool))]
         for size in range(1, self.longest + 1):
             some = [i for i in usable if len(self.pieces[i]) == size]
             codes = np.frombuffer("".join(self.pieces[i] for i in some).encode("utf-32-le"), np.uint32)
-            first = np.arange(len(some)) * size
-            h = Rolling(codes).of(first, first + size) if some else np.zeros(0, np.uint64)
+            h = Rolling(codes).every(size)[::size] if some else np.zeros(0, np.uint64)
             order = np.argsort(h)
-            self.keys.append((h[order], np.array(some, np.int32)[order]))
+            seen = np.zeros(1 << FILTER_BITS, bool)
+            seen[_slot(h)] = True
+            self.keys.append((h[order], np.array(some, np.int32)[order], seen))
         self.bytes_of = [p.replace(GAP, " ").encode() if t in (NORMAL, USER) else b"" for p, t in zip(self.pieces, self.types, strict=True)]
         for b, i in self.byte.items():
             self.bytes_of[i] = bytes([b])
@@ -109,15 +115,14 @@ class Vocabulary:
         n = len(codes)
         rolling = Rolling(codes)
         found = np.full((self.longest + 1, n), -1, np.int32)
-        literal = np.frombuffer("".encode("utf-32-le"), np.uint32)[0]
-        for size in range(1, self.longest + 1):
-            keys, ids = self.keys[size]
-            at = np.flatnonzero(np.arange(n) + size <= ends)
-            if not len(at) or not len(keys):
+        for size in range(1, min(self.longest, n) + 1):
+            keys, ids, seen = self.keys[size]
+            if not len(keys):
                 continue
-            h = rolling.of(at, at + size)
-            k = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-            hit = keys[k] == h
+            h = rolling.every(size)
+            at = np.flatnonzero(seen[_slot(h)] & (np.arange(size, n + 1) <= ends[: n - size + 1]))
+            k = np.minimum(np.searchsorted(keys, h[at]), len(keys) - 1)
+            hit = keys[k] == h[at]
             found[size, at[hit]] = ids[k[hit]]
         return found
 
@@ -140,39 +145,51 @@ class Vocabulary:
         ends = np.cumsum(sizes)
         starts = ends - sizes
         found = self._probe(codes, np.repeat(ends, sizes))
-        for size in np.unique(sizes):
+        gain = np.where(found >= 0, self.scores[found], np.float32(-np.inf)).astype(np.float32)
+        gain[1][found[1] < 0] = self.unknown
+        for size in np.unique(sizes).tolist():
             rows = np.flatnonzero(sizes == size)
             if size > 512:  # too few of equal length to advance together
                 for r in rows:
-                    out[lo + r] = self._ids(codes, starts[r], int(size), found, self._single(found, int(starts[r]), int(size)))
+                    out[lo + r] = self._ids(codes, starts[r], size, found, self._single(gain, int(starts[r]), size))
                 continue
-            s = starts[rows]
-            best = np.full((size + 1, len(rows)), -np.inf, np.float32)
+            s, every = starts[rows], np.arange(len(rows))
+            best = np.zeros((size + 1, len(rows)), np.float32)
             back = np.zeros((size + 1, len(rows)), np.int32)
-            best[0] = 0
             for end in range(1, size + 1):
-                for width in range(min(end, self.longest), 0, -1):
-                    piece = found[width, s + end - width]
-                    score = np.where(piece >= 0, self.scores[piece], self.unknown if width == 1 else np.float32(-np.inf)) + best[end - width]
-                    better = score > best[end]
-                    best[end][better] = score[better]
-                    back[end][better] = width
-            for j, r in enumerate(rows):
-                out[lo + r] = self._ids(codes, starts[r], int(size), found, back[:, j])
-
-    def _single(self, found: np.ndarray, start: int, size: int) -> np.ndarray:
-        best = [np.float32(0)]
+                width = np.arange(min(end, self.longest), 0, -1)  # of equal scores the longest last piece holds
+                score = gain[width[:, None], s + (end - width)[:, None]] + best[end - width[0] : end]
+                pick = score.argmax(0)
+                best[end] = score[pick, every]
+                back[end] = width[pick]
+            # the way back, for all words at once: pieces by step, the last one first
+            end, steps, odd = np.full(len(rows), size), [], np.zeros(len(rows), bool)
+            while (on := end > 0).any():
+                width = np.where(on, back[end, every], 0)
+                end = end - width
+                piece = np.where(on, found[width, np.minimum(s + end, len(codes) - 1)], -2)
+                odd |= piece == -1
+                steps.append(piece)
+            grid = np.stack(steps[::-1], 1).astype(np.int32)
+            flat = grid[grid != -2]
+            ends_of = np.cumsum((grid != -2).sum(1)).tolist()
+            first = 0
+            for j, r in enumerate(rows.tolist()):
+                out[lo + r] = flat[first : ends_of[j]]
+                first = ends_of[j]
+            for j in np.flatnonzero(odd).tolist():  # characters without a piece are spelled in bytes
+                r = rows[j]
+                out[lo + r] = self._ids(codes, starts[r], size, found, back[:, j])
+
+    def _single(self, gain: np.ndarray, start: int, size: int) -> np.ndarray:
+        best = np.zeros(size + 1, np.float32)
         back = np.zeros(size + 1, np.int32)
+        wide = np.arange(self.longest, 0, -1)
         for end in range(1, size + 1):
-            top, pick = np.float32(-np.inf), 1
-            for width in range(min(end, self.longest), 0, -1):
-                piece = found[width, start + end - width]
-                if piece >= 0 or width == 1:
-                    score = (self.scores[piece] if piece >= 0 else self.unknown) + best[end - width]
-                    if score > top:
-                        top, pick = score, width
-            best.append(top)
-            back[end] = pick
+            width = wide[-min(end, self.longest) :]
+            score = gain[width, start + end - width] + best[end - width]
+            k = int(score.argmax())
+            best[end], back[end] = score[k], width[k]
         return back
 
     def _ids(self, codes: np.ndarray, start: int, size: int, found: np.ndarray, back: np.ndarray) -> np.ndarray:
@@ -228,7 +245,7 @@ def encoded(docs: DataFrame, model_path: str, scores: str = "auto", id_col: str
         encoder = None
         for batch in batches:
             encoder = encoder or Encoder(Vocabulary(model_path, scores))
-            for lo, hi, _, _ in chunks(batch.column(1), CHUNK_BYTES // 2):
+            for lo, hi, _, _ in chunks(batch.column(1), TEXT_BYTES):
                 ids = encoder.encode([t or "" for t in batch.column(1).slice(lo, hi - lo).to_pylist()])
                 offs = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offs), pa.array(np.concatenate([*ids, np.zeros(0, np.int32)])))
@@ -258,7 +275,7 @@ def digest(docs: DataFrame, model_path: str, scores: str = "auto") -> DataFrame:
         encoder = None
         for batch in batches:
             encoder = encoder or Encoder(Vocabulary(model_path, scores))
-            for lo, hi, _, _ in chunks(batch.column(1), CHUNK_BYTES // 2):
+            for lo, hi, _, _ in chunks(batch.column(1), TEXT_BYTES):
                 texts = [t or "" for t in batch.column(1).slice(lo, hi - lo).to_pylist()]
                 ids = encoder.encode(texts)
                 back = [encoder.vocabulary.decode(x.tolist()) for x in ids]
