@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 def vote(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """The commonest value by key, the smallest of equals, and its count."""
-    n = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
-    # min_by of (-n, value): aggregation with partial sums, no window over a hot key
-    return n.groupBy(*keys).agg(F.min_by(F.struct(F.col(value), F.col("n")), F.struct(-F.col("n"), F.col(value))).alias("v")).select(*keys, F.col("v")[value].alias(value), F.col("v")["n"].alias("n"))
+    counted = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    # min_by of (-count, value): aggregation with partial sums, no window over a hot key
+    best = F.min_by(F.struct(F.col(value).alias("value"), "_n"), F.struct(-F.col("_n"), F.col(value)))
+    return counted.groupBy(*keys).agg(best.alias("_v")).select(*keys, F.col("_v.value").alias(value), F.col("_v._n").alias("n"))
 
 
 def length_mode(df: DataFrame, keys: list[str], length: str, reference) -> DataFrame:
@@ -20,14 +21,13 @@ def length_mode(df: DataFrame, keys: list[str], length: str, reference) -> DataF
 
     Only the two commonest lengths count (the shorter of equals first).
     """
-    n = df.groupBy(*keys, length).agg(F.count(F.lit(1)).alias("n"))
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), length))
-    top = n.withColumn("_r", rank).where("_r <= 2").groupBy(*keys).agg(
-        F.max(F.when(F.col("_r") == 1, F.struct(F.col(length).alias("len"), "n"))).alias("a"), F.max(F.when(F.col("_r") == 2, F.struct(F.col(length).alias("len"), "n"))).alias("b")
-    )
-    ref = F.lit(reference) if isinstance(reference, int) else F.col(reference)
-    best = F.when(F.col("a")["len"] == ref, ref).when((F.col("b")["len"] == ref) & (F.col("b")["n"] == F.col("a")["n"]), ref).otherwise(F.col("a")["len"])
-    return top.select(*keys, best.alias("length"), F.col("a")["n"].alias("n"))
+    counted = df.groupBy(*keys, F.col(length).alias("_len")).agg(F.count(F.lit(1)).alias("_n"))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("_n"), "_len"))
+    at = lambda r: F.max(F.when(F.col("_r") == r, F.struct("_len", "_n")))
+    top = counted.withColumn("_r", rank).where("_r <= 2").groupBy(*keys).agg(at(1).alias("_a"), at(2).alias("_b"))
+    ref, a, b = F.lit(reference), F.col("_a"), F.col("_b")
+    best = F.when(a["_len"] == ref, ref).when((b["_len"] == ref) & (b["_n"] == a["_n"]), ref).otherwise(a["_len"])
+    return top.select(*keys, best.alias("length"), a["_n"].alias("n"))
 
 
 def recalibrate(regions: list[str], seen: dict[int, list[tuple[str, int]]], longest: int = 20) -> str:

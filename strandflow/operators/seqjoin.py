@@ -122,3 +122,38 @@ def align(queries: DataFrame, targets: DataFrame, k: int = 11, min_seeds: int =
         rank = F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("score"), "t_id", "strand", "t_start"))
         out = out.withColumn("_r", rank).where(F.col("_r") <= per_query).drop("_r")
     return out
+
+
+def best_alignment(q: str, t: str, k: int = 11, half_band: int = 100) -> dict | None:
+    """The alignment of one pair along its best-seeded diagonal, or None without a seed."""
+    if len(q) < k or len(t) < k:
+        return None
+    at: dict[str, list[int]] = {}
+    for i in range(len(t) - k + 1):
+        at.setdefault(t[i : i + k], []).append(i)
+    votes: dict[int, int] = {}
+    for i in range(len(q) - k + 1):
+        for j in at.get(q[i : i + k], ()):
+            votes[(i - j) // 16] = votes.get((i - j) // 16, 0) + 1
+    if not votes:
+        return None
+    diag = max(votes, key=lambda d: (votes[d] + votes.get(d + 1, 0), -abs(d)))
+    return align_local(q, t, diag * 16 + 16, half_band)
+
+
+PAIR = "struct<score:int,q_start:int,q_end:int,t_start:int,t_end:int,cigar:string,nm:int>"
+
+
+def align_pairs(df: DataFrame, pairs: dict[str, tuple[str, str]], min_score: int = 20) -> DataFrame:
+    """The rows with one struct column for each named (query column, target column); null without an alignment."""
+    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), *(f"{name} {PAIR}" for name in pairs)])
+
+    def one(q, t):
+        hit = best_alignment(q, t) if isinstance(q, str) and isinstance(t, str) else None
+        return hit if hit and hit["score"] >= min_score else None
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(**{name: pd.Series([one(q, t) for q, t in zip(pdf[a], pdf[b], strict=True)], index=pdf.index, dtype=object) for name, (a, b) in pairs.items()})
+
+    return df.mapInPandas(run, fields)
