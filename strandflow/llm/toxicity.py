@@ -193,12 +193,12 @@ def train(docs: DataFrame, labels: DataFrame, keep) -> Model:
     schema = "prefix string, docs long, seen long"
     total = lambda df: df.groupBy("prefix").agg(F.sum("docs").alias("docs"), F.sum("seen").alias("seen"))
     toxic = total(known.where("toxic = 1").select("text").mapInArrow(_df(None), schema)).where((F.col("docs") >= (3 if n[1] < 100 else max(6, n[1] // 100))) | (F.col("prefix") == ""))
-    first = {r["prefix"]: (r["docs"], r["seen"]) for r in toxic.orderBy(F.desc("docs"), "prefix").limit(MAX_CANDIDATES).collect()}
+    first = {"": (0, 0)} | {r["prefix"]: (r["docs"], r["seen"]) for r in toxic.orderBy(F.desc("docs"), "prefix").limit(MAX_CANDIDATES).collect()}
     clean = {r["prefix"]: (r["docs"], r["seen"]) for r in total(known.where("toxic = 0").select("text").mapInArrow(_df(frozenset(first)), schema)).collect()}
     ranked = []
     for p, (a, seen) in first.items():
         b, other = clean.get(p, (0, 0))
-        ratio = (seen / max(first[""][1], 1)) / ((other + 1) / max(clean[""][1], 1)) if p else 0
+        ratio = (seen / max(first[""][1], 1)) / ((other + 1) / max(clean.get("", (0, 0))[1], 1)) if p else 0
         p1, p0 = a / n[1], (b + 1) / (n[0] + 1)
         both = (a + b) / (n[1] + n[0])
         z = (p1 - p0) / np.sqrt(both * (1 - both) * (1 / n[1] + 1 / n[0]) + 1e-12)
@@ -218,6 +218,8 @@ def train(docs: DataFrame, labels: DataFrame, keep) -> Model:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), flat, pa.array(words)], ["doc_id", "toxic", "hits", "words"])
 
     got = known.mapInArrow(run, "doc_id long, toxic int, hits array<int>, words long").toPandas()
+    if got["toxic"].nunique() < 2:
+        return Model(list(LEXICON), [True] * len(LEXICON))
     hits, words, y = np.stack(got["hits"].to_numpy()), got["words"].to_numpy(), got["toxic"].to_numpy(float)
     order = np.lexsort((*hits.T, words, got["doc_id"].to_numpy()))
     hits, words, y = hits[order], words[order], y[order]
