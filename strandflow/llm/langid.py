@@ -23,10 +23,10 @@ from pyspark.sql import functions as F
 from ._labels import remainder
 from ._text import chunks
 
-#: The bound on documents that are learned from, in all; each gives at most four snippets of at most 200 words.
+#: The bound on documents that are learned from, in all; each gives at most four snippets of at most 60 words.
 MAX_TRAIN = 4_000
 SIZES, BUCKETS, DIM = (2, 3, 4, 5), 1 << 15, 16
-SNIPPET_WORDS = (3, 8, 25, 200)
+SNIPPET_WORDS = (3, 8, 25, 60)
 CHUNK = 256 << 10
 #: ASCII letters and all bytes of other characters; what else there is bounds words.
 _LETTER = np.zeros(256, bool)
