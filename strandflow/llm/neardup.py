@@ -44,6 +44,8 @@ from ._text import LOWER, NOT_SPACE, U64, Rolling, chunks, distinct, mix, shingl
 BANDS, ROWS = 40, 5
 #: Members of a bucket that are compared with each other directly.
 SMALL = 8
+#: Rows on groups up to so many (15 MB) go to the executors by broadcast.
+BROADCAST_GROUPS = 100_000
 #: Candidate ids up to so many go to the executors by broadcast (16 MB of ids); more are joined by shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -191,7 +193,10 @@ def _crowded(scratch: Scratch, own: DataFrame, sets: DataFrame, percent: int) ->
         F.first("main").alias("main"), F.min("x").alias("x_min"), F.min(F.when(F.col("root") != F.col("main"), F.col("x"))).alias("x_apart"),
         F.min_by(F.struct("cls", "n", "root", "x"), F.struct("x", "cls")).alias("nearest"),
     ).where("x_apart is not null")
-    own_lists = lists.join(bounds, "p")
+    bounds = scratch.cut(bounds, "bounds")
+    # one row a group: by broadcast while that is small, so that a large group's rows stay spread; else by a shuffle that the next one breaks up
+    small = bounds.count() <= BROADCAST_GROUPS
+    own_lists = lists.join(F.broadcast(bounds), "p") if small else lists.join(bounds, "p").repartition("p", "cls")
     sure = own_lists.where("root <> nearest.root and x + nearest.x <= 0").select(F.col("cls").alias("c1"), F.col("n").alias("n1"), F.col("nearest.cls").alias("c2"), F.col("nearest.n").alias("n2"))
     one = own_lists.select("p", "cls", "n", "root", "main", "x", "x_min", "x_apart", F.size("d").alias("len"), F.explode("d").alias("e"))
     often = lists.select("p", F.explode("d").alias("e")).groupBy("p", "e").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
