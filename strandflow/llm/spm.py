@@ -30,7 +30,7 @@ from ._text import Rolling, chunks
 
 GAP = "▁"
 WORD = re.compile(f"{GAP}*[^{GAP}]+|{GAP}+")
-CACHE_WORDS, BLOCK_CHARS, TEXT_BYTES = 250_000, 400_000, 4 << 20
+CACHE_WORDS, BLOCK_CHARS, TEXT_BYTES = 150_000, 100_000, 2 << 20
 FILTER_BITS = 20
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # fixed values: piece types of the file format
 UNIGRAM, BPE = 1, 2  # fixed values: model types of the file format
