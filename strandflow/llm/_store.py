@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+#: A table whose rows have a known bound goes to files of so many rows, but to no fewer than so many a core.
+ROWS_PER_FILE, FILES_PER_CORE = 50_000, 4
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,9 +37,15 @@ class Scratch:
         self.base = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
         self.n = 0
 
-    def cut(self, df: DataFrame, name: str) -> DataFrame:
-        """Write `df` and read it again, so that a lost executor costs no recomputation."""
+    def cut(self, df: DataFrame, name: str, most_rows: int | None = None) -> DataFrame:
+        """Write `df` and read it again, so that a lost executor costs no recomputation.
+
+        With `most_rows`, a bound of its rows, partitions that would be tiny files are written together, without a shuffle.
+        A file costs more than its bytes: a local file system starts two processes for each to set permissions.
+        """
         self.n += 1
+        if most_rows is not None:
+            df = df.coalesce(max(FILES_PER_CORE * self.spark.sparkContext.defaultParallelism, most_rows // ROWS_PER_FILE, 1))
         path = f"{self.base}/{self.n:03d}-{name}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)

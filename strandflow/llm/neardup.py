@@ -48,6 +48,8 @@ SMALL = 8
 BROADCAST_GROUPS = 100_000
 #: Candidate ids up to so many go to the executors by broadcast (16 MB of ids); more are joined by shuffle.
 BROADCAST_IDS = 2_000_000
+#: A row of sets counts as so many rows when files are laid out.
+SET_WEIGHT = 10
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -161,14 +163,15 @@ def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """(node, root) of all nodes that aren't their component's least node, by alternating stars."""
-    e, seen = scratch.cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges"), None
+    most, seen = edges.count(), None
+    e = scratch.cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges", most)
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        new = scratch.cut(small, "stars")
+        new = scratch.cut(small, "stars", 2 * most)
         now = new.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
         scratch.drop(e)
         if now == seen:
@@ -176,7 +179,7 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
         e, seen = new, now
 
 
-def _crowded(scratch: Scratch, own: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _crowded(scratch: Scratch, own: DataFrame, sets: DataFrame, percent: int, most: int) -> DataFrame:
     """Pairs (c1, n1, c2, n2) of large buckets that may be linked although they lie apart.
 
     With c = (100 - percent) / (100 + percent), a link of s and m asks for
@@ -187,13 +190,13 @@ def _crowded(scratch: Scratch, own: DataFrame, sets: DataFrame, percent: int) ->
     group = own.where("cls <> p").select("p", "cls", "n", "root").distinct()
     both = group.join(sets.select("cls", F.col("elements").alias("x")), "cls").join(sets.select(F.col("cls").alias("p"), F.col("elements").alias("y")), "p")
     lists = both.select("p", "cls", "n", "root", "x", "y").mapInArrow(_differences, "p binary, cls binary, n long, root binary, d array<long>")
-    lists = scratch.cut(lists.withColumn("x", F.size("d") * F.lit(up).cast("long") - F.col("n") * down), "differences")
+    lists = scratch.cut(lists.withColumn("x", F.size("d") * F.lit(up).cast("long") - F.col("n") * down), "differences", most)
     main = lists.groupBy("p", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("p").agg(F.max_by("root", F.struct("k", "root")).alias("main"))
     bounds = lists.join(main, "p").groupBy("p").agg(
         F.first("main").alias("main"), F.min("x").alias("x_min"), F.min(F.when(F.col("root") != F.col("main"), F.col("x"))).alias("x_apart"),
         F.min_by(F.struct("cls", "n", "root", "x"), F.struct("x", "cls")).alias("nearest"),
     ).where("x_apart is not null")
-    bounds = scratch.cut(bounds, "bounds")
+    bounds = scratch.cut(bounds, "bounds", most)
     # one row a group: by broadcast while that is small, so that a large group's rows stay spread; else by a shuffle that the next one breaks up
     small = bounds.count() <= BROADCAST_GROUPS
     own_lists = lists.join(F.broadcast(bounds), "p") if small else lists.join(bounds, "p").repartition("p", "cls")
@@ -225,17 +228,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: i
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = scratch.cut(docs.mapInArrow(_sign(k, BANDS, ROWS), "doc_id long, n_shingles long, cls binary, bands array<long>"), "signed")
     full = signed.where("n_shingles > 0")
-    classes = scratch.cut(full.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
+    n = full.count()
+    classes = scratch.cut(full.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes", n)
     banded = classes.select("cls", "n", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    met = scratch.cut(banded.join(shared, "band"), "met")
+    met = scratch.cut(banded.join(shared, "band"), "met", n * BANDS)
     weight = met.groupBy("cls").agg(F.sum("size").alias("weight"), F.first("n").alias("n"))
-    reps = scratch.cut(weight.join(classes.select("cls", "rep"), "cls"), "reps")
-    ids = reps.select("rep").distinct()
-    if reps.count() <= BROADCAST_IDS:
+    reps = scratch.cut(weight.join(classes.select("cls", "rep"), "cls"), "reps", n)
+    ids, n_met = reps.select("rep").distinct(), reps.count()
+    if n_met <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     texts = docs.join(ids, docs.doc_id.eqNullSafe(ids.rep), "left_semi").select("text")
-    sets = scratch.cut(texts.mapInArrow(_sets(k), "cls binary, elements binary").dropDuplicates(["cls"]), "sets")
+    sets = scratch.cut(texts.mapInArrow(_sets(k), "cls binary, elements binary").dropDuplicates(["cls"]), "sets", n_met * SET_WEIGHT)
     members = met.select("band", "cls", "n").join(reps.select("cls", "weight"), "cls")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
@@ -248,17 +252,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: i
         pivot = rooted.groupBy("band").agg(F.max_by(F.struct("cls", "n", "root"), F.struct("weight", "cls")).alias("p"))
         return rooted.join(pivot, "band").where("root <> p.root").select(F.col("cls").alias("c1"), F.col("n").alias("n1"), F.col("p.cls").alias("c2"), F.col("p.n").alias("n2"))
 
-    edges = scratch.cut(confirmed(starred(members.withColumn("root", F.col("cls")))), "links")
+    edges = scratch.cut(confirmed(starred(members.withColumn("root", F.col("cls")))), "links", n_met * BANDS)
     roots = components(scratch, edges)
     own = members.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     whole = own.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("a"), F.max("root").alias("b"), F.max_by("cls", F.struct("weight", "cls")).alias("p")).where("a <> b and size > 2")
-    own = scratch.cut(own.join(whole.select("band", "size", "p"), "band"), "apart")
+    own = scratch.cut(own.join(whole.select("band", "size", "p"), "band"), "apart", n_met * BANDS)
     few = own.where(f"size <= {SMALL}")
     a, b = few.alias("a"), few.alias("b")
     pairs = a.join(b, F.expr("a.band = b.band and a.cls < b.cls and a.root <> b.root and a.cls <> a.p and b.cls <> a.p"))
     pairs = pairs.select(F.col("a.cls").alias("c1"), F.col("a.n").alias("n1"), F.col("b.cls").alias("c2"), F.col("b.n").alias("n2"))
-    pairs = pairs.unionByName(_crowded(scratch, own.where(f"size > {SMALL}"), sets, percent))
-    more = scratch.cut(confirmed(pairs), "links")
+    pairs = pairs.unionByName(_crowded(scratch, own.where(f"size > {SMALL}"), sets, percent, n_met * BANDS))
+    more = scratch.cut(confirmed(pairs), "links", n_met * BANDS)
     if more.limit(1).count():
         roots = components(scratch, edges.unionByName(more))
     scratch.drop(met, reps, sets, own)
