@@ -28,13 +28,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that are linked, that with the least id stays, and of equal ids one row; documents without an id or words stay."""
     seen = neardup.near_duplicates(spark, docs, SHINGLE_WORDS, PERCENT).where("not kept and doc_id is not null").select("doc_id").distinct()
+    seen = Scratch(spark, "copies").cut(seen, "ids")
+    if seen.count() <= neardup.BROADCAST_IDS:  # else both sides are shuffled, with whole texts
+        seen = F.broadcast(seen)
     return docs.join(seen, "doc_id", "left_anti").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a window of a benchmark item occurs go."""
-    found = decontam.contamination(spark, docs, table(spark, sf_dir, "benchmark")).where("n_hit > 0").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    return decontam.uncontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

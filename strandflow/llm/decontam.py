@@ -53,6 +53,13 @@ class Windows:
             self.tree.add_word(key, (k, len(key)))
         self.tree.make_automaton()
 
+    def touches(self, words: list[bytes]) -> bool:
+        """Whether any window occurs."""
+        if not self.owners:
+            return False
+        get = self.ids.get
+        return next(self.tree.iter(tuple([get(w, 0) for w in words])), None) is not None
+
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
         """Merged [start, end) word ranges that windows cover, and the items that own them."""
         found: set[int] = set()
@@ -118,6 +125,39 @@ def _pass(items: list[tuple[str, bytes]], window: int, first: bool, last: bool):
     return run
 
 
+def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[tuple[int, int, list[tuple[str, bytes]]]]:
+    """(number, count, items) of the blocks of a benchmark."""
+    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
+    total = items.agg(F.coalesce(F.sum(F.octet_length("text") + F.octet_length("item_id")), F.lit(0)).alias("n")).first()["n"]
+    blocks = max(1, -(-int(total) // block_bytes))
+    for k in range(blocks):
+        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
+        yield k, blocks, [(r["item_id"], r["text"].encode()) for r in part.collect()]  # at most about block_bytes
+
+
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, in whose text no window occurs: no shuffle, and each row is judged by its own text.
+
+    Null texts, and texts without words, stay; so do all rows where the benchmark is empty.  A null or repeated id changes nothing.
+    """
+    at, names = docs.columns.index(text_col), docs.columns
+
+    def one_pass(items: list[tuple[str, bytes]]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            windows = None
+            for batch in batches:
+                windows = windows or Windows(items, window)
+                keep = [not (t.is_valid and windows.touches(words_of(t.as_buffer().to_pybytes()))) for t in batch.column(at)]
+                yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(names))], names).filter(pa.array(keep, pa.bool_()))
+
+        return run
+
+    out = docs
+    for _, _, rows in _blocks(benchmark, block_bytes):
+        out = out.mapInArrow(one_pass(rows), docs.schema)
+    return out
+
+
 def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_words, n_hit, items, hit ranges in words and in code points.
 
@@ -126,13 +166,8 @@ def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, wi
     rows count once in an item, and once each among documents.  Other columns
     of either table are ignored.
     """
-    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text") + F.octet_length("item_id")), F.lit(0)).alias("n")).first()["n"]
-    blocks = max(1, -(-int(total) // block_bytes))
     out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    for k in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
-        rows = [(r["item_id"], r["text"].encode()) for r in part.collect()]  # at most about block_bytes
+    for k, blocks, rows in _blocks(benchmark, block_bytes):
         last = k == blocks - 1
         out = out.mapInArrow(_pass(rows, window, k == 0, last), SCHEMA if last else SCHEMA.replace("doc_id long,", "doc_id long, text string,"))
     return out
