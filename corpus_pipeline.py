@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from strandflow.llm import decontam, neardup, pii, spm, toxicity
 from strandflow.llm._labels import remainder
-from strandflow.llm._store import Scratch, table
+from strandflow.llm._store import Scratch, bounded_batches, table
 from strandflow.llm.queries import SPM_FILE, tokenizer_path
 
 #: Five-word shingles and a similarity of 0.8.
@@ -21,6 +21,7 @@ SHINGLE_WORDS, PERCENT = 5, 80
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score as toxic go."""
+    bounded_batches(spark)
     model = toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), remainder(4) != 2)
     return toxicity.accepted(docs, model)
 
@@ -36,17 +37,20 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a window of a benchmark item occurs go."""
+    bounded_batches(spark)
     return decontam.uncontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data gives way to its kind; n_chars follows the text."""
+    bounded_batches(spark)
     out = pii.redacted(docs)
     return out.withColumn("n_chars", F.length("text").cast(out.schema["n_chars"].dataType)) if "n_chars" in out.columns else out
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of every text, and whether decoding gave it back."""
+    bounded_batches(spark)
     return spm.digest(docs, tokenizer_path(SPM_FILE))
 
 

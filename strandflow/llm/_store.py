@@ -10,12 +10,25 @@ from pyspark.sql import DataFrame, SparkSession
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 #: A table whose rows have a known bound goes to files of so many rows, but to no fewer than so many a core.
 ROWS_PER_FILE, FILES_PER_CORE = 50_000, 4
+#: Bounds of an Arrow batch; a longer text is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 1_000, 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Let at most BATCH_ROWS rows and about BATCH_BYTES bytes of whole texts be one Arrow batch, in this session.
+
+    Spark reads the settings when a plan runs, so they stay; smaller plain numbers of the session's own are kept.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        found = spark.conf.get(key).rstrip("b")
+        if not found.isdigit() or not 0 < int(found) <= most:
+            spark.conf.set(key, str(most))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by the cluster; one of our own only where that is unset (tests)."""
     found = spark.conf.get(CHECKPOINT_KEY, None)

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._store import Scratch
+from ._store import Scratch, bounded_batches
 from ._text import LOWER, NOT_SPACE, U64, Rolling, chunks, distinct, mix, shingles, word_bounds
 
 BANDS, ROWS = 40, 5
@@ -224,6 +224,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: i
     rows of their own.  A null id is never a component_id unless nothing else is
     there, and such rows aren't kept beside others.  Other columns are ignored.
     """
+    bounded_batches(spark)  # pairs carry two whole sets
     scratch = Scratch(spark, "neardup")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = scratch.cut(docs.mapInArrow(_sign(k, BANDS, ROWS), "doc_id long, n_shingles long, cls binary, bands array<long>"), "signed")
