@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._labels import remainder, sampled_ids
+from ._labels import remainder, sample
 from ._text import NOT_SPACE, Rolling, chunks, distinct, mix, word_bounds
 
 #: The bound on labelled rows of each class that are learned from.
@@ -191,8 +191,13 @@ def fit(x: np.ndarray, y: np.ndarray, bins: int = 48, coarse_bins: int = 8, roun
 
 
 def train(docs: DataFrame, labels: DataFrame, keep, max_train: int = MAX_TRAIN) -> Model:
-    """Fit on at most about `max_train` labelled rows of either class that `keep` admits."""
-    ids = sampled_ids(labels, "quality", {0: max_train, 1: max_train}, keep)
+    """Fit on at most about `max_train` labelled rows of either class that `keep` admits.
+
+    Where the classes are sampled at different rates, the intercept goes back to
+    the share they have among all labelled rows, so that scores don't depend on
+    the size of the table.
+    """
+    ids, rates = sample(labels, "quality", {0: max_train, 1: max_train}, keep)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id").select("doc_id", "quality", "text")  # ids: bounded by max_train
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,7 +212,10 @@ def train(docs: DataFrame, labels: DataFrame, keep, max_train: int = MAX_TRAIN)
     x = np.stack(got["x"].to_numpy())
     y = got["quality"].to_numpy(float)
     order = np.lexsort((*x.T, got["doc_id"].to_numpy()))
-    return fit(x[order], y[order])
+    model = fit(x[order], y[order])
+    if all(rates.get(v) for v in (0, 1)):
+        model.intercept += float(np.log(rates[0] / rates[1]))  # odds in the sample are rates[1] / rates[0] times the odds of all rows
+    return model
 
 
 def scored(docs: DataFrame, model: Model, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -239,6 +239,15 @@ def test_quality_query(spark, odd_docs, no_docs, no_labels):
     assert quality.quality_query(no_docs, labels).count() == 0 and quality.quality_query(odd_docs, no_labels).count() == odd_docs.count()
 
 
+def test_quality_scores_keep_the_share_of_all_labels(spark):
+    docs = spark.range(5000).selectExpr("id doc_id", "'the same text' text")
+    labels = docs.selectExpr("doc_id", "int(doc_id % 5 > 0) quality")
+    for most in (10_000, 500):  # the second is below both counts, 4,000 and 1,000
+        model = quality.train(docs, labels, remainder(3).isNotNull(), most)
+        row = quality.scored(docs.limit(1), model).first()
+        assert abs(row.score - 0.8) < 0.04 and row.predicted == 1
+
+
 def test_pair_tables_learn_an_interaction():
     rng = np.random.default_rng(4)
     x = rng.random((4000, len(quality.FEATURES)))
