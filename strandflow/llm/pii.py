@@ -39,9 +39,16 @@ RAISE = {
     "phone": r"phone|call|tel\b|mobile|fax", "iban": r"iban|account|bank|konto|compte|cuenta", "secret": r"token|secret|password|passwd|api[_-]?key|key\b|bearer|credential",
     "ssn": r"\bssn\b|social security|tax id",
 }
-LOWER = {"email": r"example\.", "ip": r"version|release|v\.", "card": r"order|invoice|isbn|serial", "phone": r"isbn|serial", "iban": r"serial|part no", "secret": r"sha|commit|checksum|digest", "ssn": r"part no|serial|order"}
+LOWER = {
+    "email": r"example\.", "ip": r"versions?|releases?|v\.", "card": r"orders?|invoices?|isbn|serials?", "phone": r"isbn|serials?", "iban": r"serials?|part no",
+    "secret": r"sha(?:-?[0-9]+)?(?:sums?)?|commits?|checksums?|digests?", "ssn": r"part no|serials?|orders?",
+}
 _RAISE = {k: re.compile(v, re.I) for k, v in RAISE.items()}
-_LOWER = {k: re.compile(v, re.I) for k, v in LOWER.items()}
+#: Lowering words are whole words: no letter goes before or follows, as in 'shared' or 'border'; a sign such as '_' may.
+_LOWER = {k: re.compile(rf"(?<![^\W\d_])(?:{v})" + ("" if k == "email" else r"(?![^\W\d_])"), re.I) for k, v in LOWER.items()}
+#: 'token = "' right before a key: only a lowering word right before that ('checksum key:') still counts.
+_INTRODUCED = re.compile(rf"(?:{RAISE['secret']})[\"']?\s*(?:=>|:=|=|:)\s*[\"'`]?\Z", re.I)
+_SAID_OF = re.compile(rf"(?<![^\W\d_])(?:{LOWER['secret']})[\s_-]*\Z", re.I)
 
 
 def luhn(digits: str) -> bool:
@@ -84,7 +91,15 @@ def emails(text: str) -> list[tuple[int, int]]:
 
 def _score(kind: str, text: str, start: int, end: int) -> float:
     near = text[max(0, start - CONTEXT) : start] + "\n" + text[end : end + CONTEXT]
-    return round(min(1.0, max(0.0, PRIOR[kind] + 0.3 * bool(_RAISE[kind].search(near)) - 0.3 * bool(_LOWER[kind].search(near)))), 2)
+    return round(min(1.0, max(0.0, PRIOR[kind] + 0.3 * bool(_RAISE[kind].search(near)) - 0.3 * _lowered(kind, text, start, end))), 2)
+
+
+def _lowered(kind: str, text: str, start: int, end: int) -> bool:
+    """Whether a lowering word lies wholly within the context; the letters beyond its ends are looked at too."""
+    left, right = max(0, start - CONTEXT), end + CONTEXT
+    if kind == "secret" and (m := _INTRODUCED.search(text, left, start)):
+        return bool(_SAID_OF.search(text, left, m.start()))
+    return bool(_LOWER[kind].search(text, left, start)) or any(m.end() <= right for m in _LOWER[kind].finditer(text, end, right + 1))
 
 
 def find_spans(text: str) -> list[tuple[str, int, int, float]]:

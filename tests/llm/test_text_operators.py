@@ -72,6 +72,16 @@ def test_checks_and_context():
     assert pii.redact(text, pii.find_spans(text)) == "call [PHONE] or [EMAIL]"
 
 
+def test_lowering_words_are_whole_words_and_an_introduced_key_counts():
+    kinds = lambda t: [s[0] for s in pii.find_spans(t)]
+    key = "0b9b3c6a43eb78aa99cbd7049c572391524f37a8"
+    for t in (f"shared token {key}", f"thesha edshat token = {key}", f"token {key} shall", f"token {key} " + "x" * 35 + " shared", "e" * 18 + f"sha thirty-odd letters on token {key}", f'the digest of it; token = "{key}"', f"api_key: {key} (sha256 below)"):
+        assert kinds(t) == ["secret"], t
+    for t in (f"token commit {key}", f"key sha256:{key}", f"key SHA-1 {key}", f"token commit_id={key}", f"checksum key: {key}", f"{key} is the token's digest", f"key {key} sha256sum"):
+        assert kinds(t) == [], t
+    assert kinds("border SSN 123-45-6789") == ["ssn"] and kinds("order SSN 123-45-6789") == []
+
+
 def test_pii_columns(spark, odd_docs, no_docs):
     rows = pii.digest(pii.pii_spans(odd_docs)).collect()
     assert len(rows) == odd_docs.count() and {r.spans for r in rows} == {""} and {r.base_sha256 for r in rows} == {hashlib.sha256(b"").hexdigest()}
