@@ -66,6 +66,18 @@ def mod97(iban: str) -> bool:
     return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def ibans(text: str) -> list[tuple[int, int]]:
+    """From each place where one may start, the longest run of whole groups for which mod-97 holds; what follows it is searched again."""
+    out, at = [], 0
+    while m := IBAN.search(text, at):
+        ends = [m.end(), *(i for i in range(m.end() - 1, m.start() + 14, -1) if text[i] == " ")]
+        end = next((e for e in ends if mod97(text[m.start() : e])), None)
+        if end:
+            out.append((m.start(), end))
+        at = end or m.start() + 1
+    return out
+
+
 def emails(text: str) -> list[tuple[int, int]]:
     """What a leftmost search for local@domain finds, without trying the local part at every letter."""
     out, done, at = [], 0, text.find("@")
@@ -116,7 +128,7 @@ def find_spans(text: str) -> list[tuple[str, int, int, float]]:
                     hits.append(("card", *m.span()))
         if "+" in text:
             hits += [("phone", *m.span()) for m in PHONE.finditer(text) if 9 <= len(DIGIT.findall(m[0])) <= 15]
-        hits += [("iban", *m.span()) for m in IBAN.finditer(text) if mod97(m[0])]
+        hits += [("iban", *s) for s in ibans(text)]
         hits += [("ssn", *m.span()) for m in SSN.finditer(text)]
         hits += [("secret", *m.span()) for m in SECRET.finditer(text) if DIGIT.search(m[0]) and any(c.isalpha() for c in m[0])]
     out = [(k, a, b, _score(k, text, a, b)) for k, a, b in hits]

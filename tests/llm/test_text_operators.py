@@ -82,6 +82,16 @@ def test_lowering_words_are_whole_words_and_an_introduced_key_counts():
     assert kinds("border SSN 123-45-6789") == ["ssn"] and kinds("order SSN 123-45-6789") == []
 
 
+def test_ibans_beside_other_groups():
+    for iban in ("DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "NO93 8601 1117 947"):
+        for before, after in (("IBAN ", " BIC COBADEFFXXX"), ("", " 2024"), ("", " EUR 12"), ("", " Bank"), ("AB12 ", ""), ("REF AB12 ", " BIC"), ("", ", BIC"), ("", "")):
+            text = before + iban + after
+            assert [s[:3] for s in pii.find_spans(text) if s[0] == "iban"] == [("iban", len(before), len(before) + len(iban))], text
+    two = "DE89370400440532013000 GB82 WEST 1234 5698 7654 32 X"
+    assert pii.redact(two, pii.find_spans(two)) == "[IBAN] [IBAN] X"
+    assert pii.ibans("DE88 3704 0044 0532 0130 00 BIC COBADEFFXXX") == [] == pii.ibans("DE89 3704 0044 0532 0130 00x")
+
+
 def test_pii_columns(spark, odd_docs, no_docs):
     rows = pii.digest(pii.pii_spans(odd_docs)).collect()
     assert len(rows) == odd_docs.count() and {r.spans for r in rows} == {""} and {r.base_sha256 for r in rows} == {hashlib.sha256(b"").hexdigest()}
