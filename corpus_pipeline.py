@@ -27,12 +27,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that are linked, that with the least id stays, and of equal ids one row; documents without an id or words stay."""
-    seen = neardup.near_duplicates(spark, docs, SHINGLE_WORDS, PERCENT).where("not kept and doc_id is not null").select("doc_id").distinct()
-    seen = Scratch(spark, "copies").cut(seen, "ids")
-    if seen.count() <= neardup.BROADCAST_IDS:  # else both sides are shuffled, with whole texts
-        seen = F.broadcast(seen)
-    return docs.join(seen, "doc_id", "left_anti").select(*docs.columns)
+    """Of rows that are linked, one with the least id stays, and rows without words do; each row goes by its own text, whatever rows share its id."""
+    return neardup.deduplicated(spark, docs, SHINGLE_WORDS, PERCENT)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

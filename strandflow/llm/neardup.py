@@ -37,6 +37,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from ._store import Scratch, bounded_batches
 from ._text import LOWER, NOT_SPACE, U64, Rolling, chunks, distinct, mix, shingles, word_bounds
@@ -215,7 +216,60 @@ def _crowded(scratch: Scratch, own: DataFrame, sets: DataFrame, percent: int, mo
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept.
+    """One row per input row: doc_id, n_shingles, component_id, kept (see `judged`)."""
+    return judged(spark, docs, k, percent, id_col, text_col).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def with_sets(docs: DataFrame, name: str, k: int = 5, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns and the fingerprint of the row's set as `name`; null without words."""
+    at, names = docs.columns.index(text_col), docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, off in chunks(batch.column(at)):
+                size, fp = fingerprints(*shingle_sets(data, off, k), hi - lo)
+                sets = pa.array([x if n else None for x, n in zip(_binary(fp).to_pylist(), size, strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in range(len(names))), sets], [*names, name])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, BinaryType())]))
+
+
+def deduplicated(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows, with all their columns, of which each set of linked rows keeps one: that with the least id, null ids last.
+
+    Rows without words are linked with nothing and stay.  A row goes by what its
+    own text is linked with, whatever other rows have its id.
+    """
+    rows = judged(spark, docs, k, percent)
+    by_id = rows.groupBy("doc_id").agg(F.count_if("first").alias("stay"), F.count_if(~F.col("first")).alias("go"))
+    # an id all of whose rows go needs no more than the id; one with a row that stays beside others is settled row by row
+    seen = Scratch(spark, "copies").cut(by_id.where("go > 0 or stay > 1").select("doc_id", (F.col("stay") > 0).alias("mixed")), "ids")
+    n = seen.agg(F.count(F.lit(1)).alias("ids"), F.count_if("mixed").alias("mixed"), F.count_if(F.col("doc_id").isNull()).alias("null")).first()
+    small = F.broadcast if n["ids"] <= BROADCAST_IDS else lambda df: df  # else both sides are shuffled, with whole texts
+    rest = docs.join(small(seen.where("doc_id is not null").select("doc_id")), "doc_id", "left_anti").select(*docs.columns)
+    if n["null"]:
+        rest = rest.where("doc_id is not null")
+    if not n["mixed"]:
+        return rest
+    mixed = seen.where("mixed").select("doc_id")
+    some = docs.join(small(mixed.where("doc_id is not null")), "doc_id", "left_semi").select(*docs.columns)
+    if mixed.where("doc_id is null").count():
+        some = some.unionByName(docs.where("doc_id is null"))
+    name = "set"
+    while name in docs.columns:
+        name += "_"
+    some = with_sets(some, name, k)
+    heirs = rows.where(F.col("first") & (F.col("n_shingles") > 0)).select(F.col("doc_id").alias("_id"), F.col("cls").alias("_cls")).distinct()
+    some_first = some.join(heirs, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col(name) == F.col("_cls")), "left_semi")
+    # rows that share an id and a set: one by the hash of all that can be hashed
+    whole = F.struct(*docs.columns)
+    least = F.xxhash64(*(f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()))
+    one = some_first.groupBy("doc_id", name).agg(F.min_by(whole, least).alias("_row")).select("_row.*")
+    return rest.unionByName(some.where(F.col(name).isNull()).select(*docs.columns)).unionByName(one.select(*docs.columns))
+
+
+def judged(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id, kept, cls, first.
 
     Words are runs of bytes other than white space, A-Z in lower case.  Linked
     are sets with 100 * intersection >= percent * union; component_id is the
@@ -223,6 +277,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: i
     empty set, are linked with nothing and kept.  Rows that share an id are
     rows of their own.  A null id is never a component_id unless nothing else is
     there, and such rows aren't kept beside others.  Other columns are ignored.
+    cls is the fingerprint of the row's set; first holds for rows without words
+    and for those with the least id, null ids last, of their linked rows, and of
+    these with one set: more than one only if they share id and set.
     """
     bounded_batches(spark)  # pairs carry two whole sets
     scratch = Scratch(spark, "neardup")
@@ -268,8 +325,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: i
         roots = components(scratch, edges.unionByName(more))
     scratch.drop(met, reps, sets, own)
     label = classes.select("cls", "rep").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    least = label.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = label.join(least, "root").select("cls", "component_id")
-    linked = full.join(named, "cls", "left").select("doc_id", "n_shingles", "component_id")
-    alone = signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    least = label.groupBy("root").agg(F.min("rep").alias("component_id"), F.min_by("cls", F.struct(F.col("rep").isNull(), "rep", "cls")).alias("heir"))
+    named = label.join(least, "root").select("cls", "component_id", (F.col("cls") == F.col("heir")).alias("first"))
+    linked = full.join(named, "cls", "left").select("doc_id", "n_shingles", "component_id", "cls", "first")
+    alone = signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "cls", F.lit(True).alias("first"))
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    return linked.unionByName(alone).withColumn("kept", kept).withColumn("first", F.col("first") & F.col("kept"))
