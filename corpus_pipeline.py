@@ -32,9 +32,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a window of a benchmark item occurs go."""
+    """Documents in which a window of a benchmark item occurs go, whether or not the item has an id."""
     bounded_batches(spark)
-    return decontam.uncontaminated(docs, table(spark, sf_dir, "benchmark"))
+    return decontam.uncontaminated(docs, table(spark, sf_dir, "benchmark"), unnamed=True)
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

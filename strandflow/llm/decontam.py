@@ -125,20 +125,22 @@ def _pass(items: list[tuple[str, bytes]], window: int, first: bool, last: bool):
     return run
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[tuple[int, int, list[tuple[str, bytes]]]]:
-    """(number, count, items) of the blocks of a benchmark."""
-    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
+def _blocks(benchmark: DataFrame, block_bytes: int, unnamed: bool = False) -> Iterator[tuple[int, int, list[tuple[str, bytes]]]]:
+    """(number, count, items) of the blocks of a benchmark; with `unnamed`, rows with a null item_id are items too, named ''."""
+    items = benchmark.where("text is not null").select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
+    items = items.fillna("", "item_id") if unnamed else items.where("item_id is not null")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text") + F.octet_length("item_id")), F.lit(0)).alias("n")).first()["n"]
     blocks = max(1, -(-int(total) // block_bytes))
     for k in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
+        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", *(["text"] if unnamed else [])), F.lit(blocks)) == k)
         yield k, blocks, [(r["item_id"], r["text"].encode()) for r in part.collect()]  # at most about block_bytes
 
 
-def uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, text_col: str = "text") -> DataFrame:
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, text_col: str = "text", unnamed: bool = False) -> DataFrame:
     """The rows, with all their columns, in whose text no window occurs: no shuffle, and each row is judged by its own text.
 
     Null texts, and texts without words, stay; so do all rows where the benchmark is empty.  A null or repeated id changes nothing.
+    Rows of the benchmark with a null item_id count with `unnamed` only.
     """
     at, names = docs.columns.index(text_col), docs.columns
 
@@ -153,7 +155,7 @@ def uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
         return run
 
     out = docs
-    for _, _, rows in _blocks(benchmark, block_bytes):
+    for _, _, rows in _blocks(benchmark, block_bytes, unnamed):
         out = out.mapInArrow(one_pass(rows), docs.schema)
     return out
 

@@ -1,3 +1,5 @@
+import corpus_pipeline
+
 from strandflow.llm import decontam
 
 
@@ -17,3 +19,12 @@ def test_blocks_of_items_find_what_one_automaton_finds(spark):
     one = ids(decontam.uncontaminated(docs, bench))
     assert ids(decontam.contamination(spark, docs, bench).where("n_hit = 0")) == one
     assert ids(decontam.uncontaminated(docs, bench, block_bytes=4_000)) == one
+
+
+def test_the_stage_uses_items_without_an_id(spark, odd_docs, tmp_path):
+    rows = [(None, "same text here twice over"), (None, "no id AT all"), (None, None), (1, "!!")]
+    spark.createDataFrame(rows, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    left = [0, 1, 2, 3, 6, 7, 8]
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_contaminated(spark, odd_docs, str(tmp_path)).collect()) == left
+    bench = spark.read.parquet(str(tmp_path / "benchmark.parquet"))
+    assert sorted(r.doc_id for r in decontam.uncontaminated(odd_docs, bench, block_bytes=10, unnamed=True).collect()) == left
