@@ -7,67 +7,95 @@ from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .seqjoin import best_alignment
 
-#: Reads of a cluster that vote; clusters with ten times the usual depth are filtered out before.
-MAX_READS = 64
+#: Reads that are aligned in one call; a cluster with more is dealt to several, and their counts are summed.
+SLICE = 32
+
+
+def votes(draft: str, reads: list[str]) -> tuple[list[Counter], list[Counter]]:
+    """What reads show at each place of the draft ('' for a deletion), and inserted after it."""
+    bases: list[Counter] = [Counter() for _ in draft]
+    after: list[Counter] = [Counter() for _ in draft]
+    for read in reads:
+        hit = best_alignment(read, draft)
+        if not hit:
+            continue
+        i, j = hit["q_start"], hit["t_start"]
+        for n, op in ((int(n), op) for n, op in re.findall(r"(\d+)([MID])", hit["cigar"])):
+            if op == "M":
+                for x in range(n):
+                    bases[j + x][read[i + x]] += 1
+                i, j = i + n, j + n
+            elif op == "I":
+                if j:
+                    after[j - 1][read[i : i + n]] += 1
+                i += n
+            else:
+                for x in range(n):
+                    bases[j + x][""] += 1
+                j += n
+    return bases, after
+
+
+def rebuilt(draft: str, bases: list[Counter], after: list[Counter], least: float = 0.5) -> str:
+    """The draft after a vote, in which it has one voice itself."""
+    out = []
+    for c, b, a in zip(draft, bases, after, strict=True):
+        b = b + Counter({c: 1})
+        top = max(b.values())
+        out.append(c if b[c] == top else min(k for k, v in b.items() if v == top))
+        if a:
+            extra, n = max(a.items(), key=lambda x: (x[1], x[0]))
+            if n > least * sum(b.values()):
+                out.append(extra)
+    return "".join(out)
 
 
 def polish(draft: str, reads: list[str], rounds: int = 2, least: float = 0.5) -> str:
     """Majority of aligned bases at each place of the draft, with insertions and deletions that most reads share."""
     for _ in range(rounds):
-        bases: list[Counter] = [Counter({c: 1}) for c in draft]
-        after: list[Counter] = [Counter() for _ in draft]
-        depth = [1] * len(draft)
-        for read in reads:
-            hit = best_alignment(read, draft)
-            if not hit:
-                continue
-            i, j = hit["q_start"], hit["t_start"]
-            for n, op in ((int(n), op) for n, op in re.findall(r"(\d+)([MID])", hit["cigar"])):
-                if op == "M":
-                    for x in range(n):
-                        bases[j + x][read[i + x]] += 1
-                        depth[j + x] += 1
-                    i, j = i + n, j + n
-                elif op == "I":
-                    if j:
-                        after[j - 1][read[i : i + n]] += 1
-                    i += n
-                else:
-                    for x in range(n):
-                        bases[j + x][""] += 1
-                        depth[j + x] += 1
-                    j += n
-        out = []
-        for c, b, a, d in zip(draft, bases, after, depth, strict=True):
-            top = max(b.values())
-            out.append(c if b[c] == top else min(k for k, v in b.items() if v == top))
-            if a:
-                extra, n = max(a.items(), key=lambda x: (x[1], x[0]))
-                if n > least * d:
-                    out.append(extra)
-        new = "".join(out)
+        new = rebuilt(draft, *votes(draft, reads), least)
         if new == draft:
             break
         draft = new
     return draft
 
 
-def assemble(reads: DataFrame, keys: list[str]) -> DataFrame:
+def assemble(reads: DataFrame, keys: list[str], rounds: int = 2) -> DataFrame:
     """keys, assembly, is_assembled: from rows (keys, seg_id, seq, is_rep); one read alone is its own assembly.
 
-    Clusters come here after the depth filter, which bounds their reads.
+    The draft is the representative read, or else that with the least seg_id;
+    all other reads vote.  They are aligned in slices, and counts by place are
+    summed, so that a task holds a slice or a draft's counts and not a cluster.
     """
     fields = {f.name: f.dataType.simpleString() for f in reads.schema}
+    head = ", ".join(f"{k} {fields[k]}" for k in keys)
+    rows = reads.select(*keys, "seg_id", "seq")
+    pick = F.min_by(F.struct("seg_id", "seq"), F.struct(~F.coalesce("is_rep", F.lit(False)), "seg_id"))
+    drafts = reads.groupBy(*keys).agg(pick.alias("_d"), F.count(F.lit(1)).alias("_n")).select(*keys, F.col("_d.seg_id").alias("_own"), F.col("_d.seq").alias("_draft"), "_n")
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        draft = pdf["_draft"].iloc[0]
+        bases, after = votes(draft, pdf["seq"][pdf["seg_id"] != pdf["_own"]].tolist())
+        out = [(-1, 0, draft, 0)] + [(j, kind, t, n) for kind, at in enumerate((bases, after)) for j, c in enumerate(at) for t, n in c.items()]
+        out = pd.DataFrame(out, columns=["_at", "_kind", "_text", "_votes"])
+        return out.assign(**{k: pdf[k].iloc[0] for k in [*keys, "_own", "_n"]})
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seg_id")
-        rep = pdf[pdf["is_rep"]]
-        draft = (rep if len(rep) else pdf)["seq"].iloc[0]
-        others = [s for s in pdf["seq"].tolist()[:MAX_READS] if s != draft]
-        done = polish(draft, others) if others else draft
-        return pdf[keys].head(1).assign(assembly=done.replace("N", ""), is_assembled=len(pdf) > 1)
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        draft = pdf["_text"][pdf["_at"] < 0].iloc[0]
+        bases, after = [Counter() for _ in draft], [Counter() for _ in draft]
+        for at, kind, text, n in zip(pdf["_at"], pdf["_kind"], pdf["_text"], pdf["_votes"], strict=True):
+            if at >= 0:
+                (after if kind else bases)[at][text] += n
+        return pdf[[*keys, "_own", "_n"]].head(1).assign(_draft=rebuilt(draft, bases, after))
 
-    return reads.groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {fields[k]}" for k in keys) + ", assembly string, is_assembled boolean")
+    own = f"_own {fields['seg_id']}, _n long"
+    for _ in range(rounds):
+        part = F.pmod(F.xxhash64("seg_id"), F.ceil(F.col("_n") / SLICE)).alias("_part")
+        counted = rows.join(drafts, keys).groupBy(*keys, part).applyInPandas(count, f"{head}, {own}, _at int, _kind int, _text string, _votes long")
+        summed = counted.groupBy(*keys, "_own", "_n", "_at", "_kind", "_text").agg(F.sum("_votes").alias("_votes"))
+        drafts = summed.groupBy(*keys).applyInPandas(fold, f"{head}, {own}, _draft string")
+    return drafts.select(*keys, F.regexp_replace("_draft", "N", "").alias("assembly"), (F.col("_n") > 1).alias("is_assembled"))

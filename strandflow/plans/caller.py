@@ -128,7 +128,7 @@ def assemblies(good: DataFrame, segs: DataFrame, t: Tables, cfg: CallerConfig) -
     s = segs.join(good.select(*KEYS, "rep_seg_id"), KEYS).join(t.reads.select("aln_id", "seq"), "aln_id")
     region = sq.trim_region(F.col("query_start"), F.col("query_end"), F.length("seq"), cfg.read_flank)
     rows = s.select(*KEYS, "seg_id", (F.col("seg_id") == F.col("rep_seg_id")).alias("is_rep"), region.alias("r"), "seq").select(*KEYS, "seg_id", "is_rep", sq.sub(F.col("seq"), F.col("r.start"), F.col("r.end")).alias("seq"))
-    return assembly.assemble(rows, KEYS)
+    return assembly.assemble(cut(rows, "reads"), KEYS)
 
 
 def _clip(cigar: Column, last: bool) -> Column:

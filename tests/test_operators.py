@@ -147,6 +147,22 @@ def test_alignment_and_polish(spark):
     assert got == {"f": (0, 50, 250), "r": (1, 50, 250)}
 
 
+def test_all_reads_of_a_cluster_vote(spark):
+    rng = random.Random(6)
+    t = "".join(rng.choice("ACGT") for _ in range(90))
+    bad = t[:40] + ("A" if t[40] != "A" else "C") + t[41:]
+    longer = t[:60] + "GATTACA" + t[60:]
+    rows = [("deep", i, bad if i < 70 else t, i == 0) for i in range(200)]  # most reads have greater numbers
+    rows += [("same", i, bad if i in (1, 2, 3) else t, i == 0) for i in range(8)]  # most reads equal the draft
+    rows += [("insert", i, longer if i > 80 else t, i == 3) for i in range(170)]
+    rows += [("alone", 7, "ACGNT", False)] + [("mixed", i, t[i % 5 :] if i % 3 else bad, i == 2) for i in range(40)]
+    df = spark.createDataFrame(rows, "k string, seg_id long, seq string, is_rep boolean")
+    got = {r.k: (r.assembly, r.is_assembled) for r in assembly.assemble(df, ["k"]).collect()}
+    mixed = [r for r in rows if r[0] == "mixed"]
+    want = assembly.polish(mixed[2][2], [r[2] for r in mixed if not r[3]])
+    assert got == {"deep": (t, True), "same": (t, True), "insert": (longer, True), "alone": ("ACGT", False), "mixed": (want, True)}
+
+
 def seqjoin_rc(s):
     return s.translate(str.maketrans("ACGT", "TGCA"))[::-1]
 
