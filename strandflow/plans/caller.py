@@ -20,10 +20,10 @@ from pyspark.sql import functions as F
 from ..functions import cigar as cg
 from ..functions import flags, scoring
 from ..functions import sequences as sq
+from ..lineage import Scratch
 from ..operators import assembly, clusters, cover, intervals, seqjoin
 from ..operators.runs import flank_run, scoring_runs
 from . import annotate as an
-from .lineage import cut
 
 
 @dataclass(frozen=True)
@@ -66,6 +66,10 @@ class Tables:
 KEYS = ["tid", "idx"]
 
 
+def cut(df: DataFrame, name: str) -> DataFrame:
+    return Scratch(df.sparkSession, "caller").cut(df, name)
+
+
 def valid(alignments: DataFrame) -> DataFrame:
     """Neither unmapped nor secondary; supplementary alignments stay."""
     return alignments.where(F.col("flag").bitwiseAND(F.lit(0x104)) == 0)
