@@ -1,73 +1,50 @@
-"""Reading the input tables, and cutting lineage in the folder the cluster shares."""
+"""Reading the input tables, and bounds of Arrow batches."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import contextlib
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..lineage import Scratch, scope
+
+__all__ = ["Scratch", "bounded_batches", "keyed", "scope", "set_bounded_batches", "table"]
 
-CHECKPOINT_KEY = "spark.checkpoint.dir"
-#: A table whose rows have a known bound goes to files of so many rows, but to no fewer than so many a core.
-ROWS_PER_FILE, FILES_PER_CORE = 50_000, 4
 #: Bounds of an Arrow batch; a longer text is a batch of its own.
 BATCH_ROWS, BATCH_BYTES = 1_000, 4 << 20
+_BOUNDS = (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Let at most BATCH_ROWS rows and about BATCH_BYTES bytes of whole texts be one Arrow batch, in this session.
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str]:
+    """(doc_id, text) of the rows, and the type of doc_id, which is kept as it is."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return rows, rows.schema["doc_id"].dataType.simpleString()
+
 
-    Spark reads the settings when a plan runs, so they stay; smaller plain numbers of the session's own are kept.
+def set_bounded_batches(spark: SparkSession) -> None:
+    """Let at most BATCH_ROWS rows and about BATCH_BYTES bytes of whole texts be one Arrow batch, from now on in this session.
+
+    Spark reads the settings when a plan runs.  Smaller plain numbers of the session's own are kept.
     """
-    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+    for key, most in _BOUNDS:
         found = spark.conf.get(key).rstrip("b")
         if not found.isdigit() or not 0 < int(found) <= most:
             spark.conf.set(key, str(most))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by the cluster; one of our own only where that is unset (tests)."""
-    found = spark.conf.get(CHECKPOINT_KEY, None)
-    if not found:
-        found = spark.sparkContext.getConf().get(CHECKPOINT_KEY, None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"{CHECKPOINT_KEY} has to name a folder that all executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='strandflow-')}"
-        spark.conf.set(CHECKPOINT_KEY, found)
-    return found.rstrip("/")
-
-
-class Scratch:
-    """Tables written to the shared folder; `drop` removes those no longer read."""
-
-    def __init__(self, spark: SparkSession, tag: str):
-        self.spark = spark
-        self.base = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-        self.n = 0
-
-    def cut(self, df: DataFrame, name: str, most_rows: int | None = None) -> DataFrame:
-        """Write `df` and read it again, so that a lost executor costs no recomputation.
-
-        With `most_rows`, a bound of its rows, partitions that would be tiny files are written together, without a shuffle.
-        A file costs more than its bytes: a local file system starts two processes for each to set permissions.
-        """
-        self.n += 1
-        if most_rows is not None:
-            df = df.coalesce(max(FILES_PER_CORE * self.spark.sparkContext.defaultParallelism, most_rows // ROWS_PER_FILE, 1))
-        path = f"{self.base}/{self.n:03d}-{name}"
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._scratch_path = path
-        return out
-
-    def drop(self, *frames: DataFrame) -> None:
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        for df in frames:
-            path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-            path.getFileSystem(conf).delete(path, True)
+@contextlib.contextmanager
+def bounded_batches(spark: SparkSession) -> Iterator[None]:
+    """The same for what runs inside the block; the session's own settings hold again after it."""
+    before = {key: spark.conf.get(key) for key, _ in _BOUNDS}
+    set_bounded_batches(spark)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)

@@ -11,22 +11,25 @@ Candidates.  t = bands x rows; documents that agree in all rows of a band meet
 in a bucket.  With 40 bands of 5 rows a pair of similarity 0.8 is missed with
 probability (1 - 0.8^5)^40 = 1.2e-7.
 
-Links.  Rows with equal sets collapse to one class first, so that copies never
-multiply.  In a bucket, members are compared with one pivot p, the member that
-meets most others, and not with each other.  What then still lies apart is
-settled without pairing everything: with D(s) the symmetric difference of s and
-p, |s ^ m| = |D(s)| + |D(m)| - 2 |D(s) & D(m)|, so that a link asks for a known
-overlap of two short lists.  Either |D(s)| + |D(m)| is small enough for a link
-whatever they share (one comparison, with the member nearest to p, finds out),
-or s and m share an element of D.  Elements are ordered from rare to common
-within the pivot's group, and the first shared one has to leave enough elements
-behind it on both sides: edits that are a document's own fill the places that
-count, and what all copies have in common is never a reason to compare.
-Buckets of up to SMALL members are compared directly.  No bucket is capped, and
-every candidate is confirmed on full sets.
-
-Components come from alternating large-star and small-star steps, written to
-the shared folder after each; nothing but counters reaches the driver.
+Verification.  Rows with equal sets collapse to one class first, so that copies
+never multiply.  Each bucket has a pivot p, the member that meets most others,
+and every member m is compared with it on full sets: D(m), the symmetric
+difference of m and p, says whether they are linked.  Members of p's buckets of
+which some lie apart from p are settled by their differences alone, since
+|s ^ m| = |D(s)| + |D(m)| - 2 |D(s) & D(m)|.  With up = 100 + percent and
+x(s) = up |D(s)| - (100 - percent) |s|, s and m are linked if and only if
+x(s) + x(m) <= 2 up |D(s) & D(m)|.  No pair becomes a row: members are dealt to
+blocks of bounded size, and a task gets a block of members apart with a block
+of all members, drops those whose shared elements can't reach a link with
+anyone (again and again, as elements stop being shared), and multiplies the
+rest as matrices.  It gives out a spanning forest of the links that it finds,
+at most one row for each member of the block.  No bucket is capped, and the way
+is the same at all sizes.
+
+Components.  A member that is linked with pivots follows the least of them, so
+that stars shrink to graphs of their pivots; these are joined by alternating
+large-star and small-star steps, written to the shared folder after each.
+Nothing but counters reaches the driver.
 """
 
 from __future__ import annotations
@@ -35,20 +38,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from ._store import Scratch, bounded_batches
+from ._store import Scratch, bounded_batches, keyed
 from ._text import LOWER, NOT_SPACE, U64, Rolling, chunks, distinct, mix, shingles, word_bounds
 
 BANDS, ROWS = 40, 5
-#: Members of a bucket that are compared with each other directly.
-SMALL = 8
-#: Rows on groups up to so many (15 MB) go to the executors by broadcast.
-BROADCAST_GROUPS = 100_000
-#: Candidate ids up to so many go to the executors by broadcast (16 MB of ids); more are joined by shuffle.
-BROADCAST_IDS = 2_000_000
+#: The weight of a block: elements of its difference lists, and so many more for each list.
+BLOCK, LIST_WEIGHT = 1 << 20, 512
+#: Columns of a block that are multiplied at once.
+COLUMNS = 2_048
+#: Ids up to so many go to the executors by broadcast (a hashed relation of about 16 MB); more are joined by shuffle.
+BROADCAST_IDS = 500_000
 #: A row of sets counts as so many rows when files are laid out.
 SET_WEIGHT = 10
 
@@ -136,83 +140,133 @@ def _sets(k: int):
     return run
 
 
-def _confirm(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                z = np.concatenate([x, y])
-                z.sort(kind="stable")
-                both = int((z[1:] == z[:-1]).sum())
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
-
-    return run
-
-
 def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """p, c, n, pn, k, d and alone: the symmetric difference of both sets and its size; without the list where nobody else can need it."""
     for batch in batches:
-        lists = []
-        for x, y in zip(batch.column(4), batch.column(5), strict=True):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            lists.append(np.setxor1d(x, y, assume_unique=True).astype(np.int64))
+        lists, sizes = [], []
+        for alone, x, y in zip(batch.column(4).to_pylist(), batch.column(5), batch.column(6), strict=True):
+            z = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)])
+            z.sort(kind="stable")
+            same = z[1:] == z[:-1]
+            once = np.ones(len(z), bool)
+            once[1:] &= ~same
+            once[:-1] &= ~same
+            sizes.append(int(once.sum()))
+            lists.append(z[:0] if alone else z[once])
         ends = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
-        column = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*lists, np.zeros(0, np.int64)])))
-        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), column], ["p", "cls", "n", "root", "d"])
+        column = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*lists, np.zeros(0, np.uint64)]).view(np.int64)))
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(sizes, pa.int64()), column, batch.column(4)], ["p", "c", "n", "pn", "k", "d", "alone"])
 
 
-def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
-    """(node, root) of all nodes that aren't their component's least node, by alternating stars."""
-    most, seen = edges.count(), None
-    e = scratch.cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges", most)
+def forest(c: np.ndarray, x: np.ndarray, near: np.ndarray, in_s: np.ndarray, in_m: np.ndarray, e: np.ndarray, of: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links between members of S and members of M of one block, as few as keep everything together that they link.
+
+    By member: class, x, whether it is linked with the pivot, whether it is in S
+    or M; then all elements of the lists, and the number of the member of each.
+    """
+    up, alive = 100 + percent, in_s | in_m
     while True:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        _, at, n = np.unique(e, return_inverse=True, return_counts=True)
+        shared = n[at] > 1
+        e, of = e[shared], of[shared]
+        reach = 2 * up * np.bincount(of, minlength=len(c)) - x
+        s, m = in_s & alive, in_m & alive
+        if not s.any() or not m.any():
+            return []
+        still = (s & (reach >= x[m].min())) | (m & (reach >= x[s].min()))
+        if (still == alive).all():
+            break
+        alive = still
+        e, of = e[alive[of]], of[alive[of]]
+    rows, cols = np.flatnonzero(s), np.flatnonzero(m)
+    _, e = np.unique(e, return_inverse=True)
+    order = np.argsort(e, kind="stable")
+    e, of = e[order], of[order]
+    row_of, col_of = np.full(len(c), -1), np.full(len(c), -1)
+    row_of[rows], col_of[cols] = np.arange(len(rows)), np.arange(len(cols))
+    both = np.zeros((len(rows), len(cols)), np.float32)
+    for lo in range(0, int(e[-1]) + 1 if len(e) else 0, COLUMNS):
+        a, b = np.searchsorted(e, [lo, lo + COLUMNS])
+        part = []
+        for where, count in ((row_of, len(rows)), (col_of, len(cols))):
+            own = where[of[a:b]]
+            grid = np.zeros((count, COLUMNS), np.float32)
+            grid[own[own >= 0], e[a:b][own >= 0] - lo] = 1
+            part.append(grid)
+        both += part[0] @ part[1].T
+    linked = (x[rows][:, None] + x[cols][None] <= 2 * up * both) & (rows[:, None] != cols[None])
+    label = np.arange(len(c))
+    label[near] = len(c)  # the pivot holds these together
+    out = []
+    for i, r in enumerate(rows.tolist()):
+        found = cols[linked[i]]
+        for j, first in zip(*np.unique(label[found], return_index=True), strict=True):
+            if j != label[r]:
+                out.append((int(c[r]), int(c[found[first]])))
+                label[label == j] = label[r]
+    return out
+
+
+def _settle(percent: int):
+    def run(block: pa.Table) -> pa.Table:
+        c, first, inverse = np.unique(block["c"].to_numpy(), return_index=True, return_inverse=True)
+        role = block["in_s"].to_numpy(zero_copy_only=False)
+        in_s, in_m = np.zeros(len(c), bool), np.zeros(len(c), bool)
+        in_s[inverse[role]], in_m[inverse[~role]] = True, True
+        lists = block["d"].combine_chunks().take(pa.array(first))
+        of = np.repeat(np.arange(len(c)), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
+        links = forest(c, block["x"].to_numpy()[first], block["near"].to_numpy(zero_copy_only=False)[first], in_s, in_m, pc.list_flatten(lists).to_numpy(), of, percent)
+        return pa.table({"u": pa.array([a for a, _ in links], pa.int64()), "v": pa.array([b for _, b in links], pa.int64())})
+
+    return run
+
+
+def _among(scratch: Scratch, diffs: DataFrame, percent: int, most: int) -> DataFrame:
+    """(u, v): links between members of one pivot of which at least one isn't linked with it."""
+    up, down = 100 + percent, 100 - percent
+    x = F.col("k") * up - F.col("n") * down
+    lists = diffs.where("not alone").select("p", "c", "d", x.alias("x"), (F.col("k") * up + F.col("n") * down).alias("most"), (x <= F.col("pn") * down).alias("near"), (F.col("k") + LIST_WEIGHT).alias("weight"))
+    blocks = lambda w: F.ceil(w / BLOCK).cast("int")
+    bounds = lists.groupBy("p").agg(
+        F.min(F.when(~F.col("near"), F.col("x"))).alias("least_apart"), F.min("x").alias("least"), F.count(F.lit(1)).alias("members"),
+        blocks(F.coalesce(F.sum(F.when(~F.col("near"), F.col("weight"))), F.lit(0))).alias("n_s"), blocks(F.sum("weight")).alias("n_m"),
+    )
+    bounds = scratch.cut(bounds.where("least_apart is not null and members > 1").drop("members"), "bounds", most)
+    own = lists.join(bounds, "p").select("p", "c", "d", "x", "near", "most", "least", "least_apart", "n_s", "n_m")
+    spread = lambda n, seed: F.pmod(F.xxhash64("c", F.lit(seed)), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    s = own.where("not near and most >= least").select("p", spread(F.col("n_s"), 1).alias("b_s"), every(F.col("n_m")).alias("b_m"), "c", "x", "near", F.lit(True).alias("in_s"), "d")
+    m = own.where("most >= least_apart").select("p", every(F.col("n_s")).alias("b_s"), spread(F.col("n_m"), 2).alias("b_m"), "c", "x", "near", F.lit(False).alias("in_s"), "d")
+    return s.unionByName(m).groupBy("p", "b_s", "b_m").applyInArrow(_settle(percent), "u long, v long")
+
+
+def components(scratch: Scratch, edges: DataFrame, most_rows: int | None = None) -> DataFrame:
+    """(c, root) of all nodes that aren't their component's root; edges (u, v) lead to few v, such as pivots."""
+    e = scratch.cut(edges.where("u <> v").distinct(), "edges", most_rows)
+    most = e.count()
+    follow = scratch.cut(e.groupBy("u").agg(F.min("v").alias("f")), "follow", most)
+    hubs = e.select(F.col("v").alias("u")).distinct()
+    # every v of a node is joined with the one that the node follows; nodes that others lead to stay nodes
+    left = e.join(follow, "u").select(F.col("f").alias("u"), "v").unionByName(follow.join(hubs, "u", "left_semi").select("u", F.col("f").alias("v")))
+    stars, seen = scratch.cut(left.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "stars", 2 * most), None
+    while True:
+        both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         new = scratch.cut(small, "stars", 2 * most)
         now = new.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-        scratch.drop(e)
+        scratch.drop(stars)
+        stars = new
         if now == seen:
-            return new.select(F.col("u").alias("cls"), F.col("v").alias("root"))
-        e, seen = new, now
-
-
-def _crowded(scratch: Scratch, own: DataFrame, sets: DataFrame, percent: int, most: int) -> DataFrame:
-    """Pairs (c1, n1, c2, n2) of large buckets that may be linked although they lie apart.
-
-    With c = (100 - percent) / (100 + percent), a link of s and m asks for
-    |s ^ m| <= c (|s| + |m|).  For x(s) = |D(s)| - c |s| (here times 100 + percent)
-    that is: |D(s) & D(m)| >= (x(s) + x(m)) / 2.
-    """
-    up, down = 100 + percent, 100 - percent
-    group = own.where("cls <> p").select("p", "cls", "n", "root").distinct()
-    both = group.join(sets.select("cls", F.col("elements").alias("x")), "cls").join(sets.select(F.col("cls").alias("p"), F.col("elements").alias("y")), "p")
-    lists = both.select("p", "cls", "n", "root", "x", "y").mapInArrow(_differences, "p binary, cls binary, n long, root binary, d array<long>")
-    lists = scratch.cut(lists.withColumn("x", F.size("d") * F.lit(up).cast("long") - F.col("n") * down), "differences", most)
-    main = lists.groupBy("p", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("p").agg(F.max_by("root", F.struct("k", "root")).alias("main"))
-    bounds = lists.join(main, "p").groupBy("p").agg(
-        F.first("main").alias("main"), F.min("x").alias("x_min"), F.min(F.when(F.col("root") != F.col("main"), F.col("x"))).alias("x_apart"),
-        F.min_by(F.struct("cls", "n", "root", "x"), F.struct("x", "cls")).alias("nearest"),
-    ).where("x_apart is not null")
-    bounds = scratch.cut(bounds, "bounds", most)
-    # one row a group: by broadcast while that is small, so that a large group's rows stay spread; else by a shuffle that the next one breaks up
-    small = bounds.count() <= BROADCAST_GROUPS
-    own_lists = lists.join(F.broadcast(bounds), "p") if small else lists.join(bounds, "p").repartition("p", "cls")
-    sure = own_lists.where("root <> nearest.root and x + nearest.x <= 0").select(F.col("cls").alias("c1"), F.col("n").alias("n1"), F.col("nearest.cls").alias("c2"), F.col("nearest.n").alias("n2"))
-    one = own_lists.select("p", "cls", "n", "root", "main", "x", "x_min", "x_apart", F.size("d").alias("len"), F.explode("d").alias("e"))
-    often = lists.select("p", F.explode("d").alias("e")).groupBy("p", "e").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    place = F.row_number().over(Window.partitionBy("p", "cls").orderBy("k", "e"))
-    # elements that nobody shares come first and join nothing: only their number counts
-    shared = one.join(often, ["p", "e"])
-    lone = F.col("len") - F.count(F.lit(1)).over(Window.partitionBy("p", "cls"))
-    cap = 2 * up * (F.col("len") - F.col("at") + 1) - F.col("x")
-    listed = scratch.cut(shared.withColumn("at", place + lone).withColumn("cap", cap).where("cap >= x_min").select("p", "e", "cls", "n", "root", "x", "cap", "x_apart", (F.col("root") != F.col("main")).alias("apart")), "places")
-    s, m = listed.where("apart").alias("s"), listed.where("cap >= x_apart").alias("m")
-    met = s.join(m, F.expr("s.p = m.p and s.e = m.e and s.root <> m.root and m.x <= s.cap and s.x <= m.cap"))
-    return met.select(F.col("s.cls").alias("c1"), F.col("s.n").alias("n1"), F.col("m.cls").alias("c2"), F.col("m.n").alias("n2")).unionByName(sure)
+            break
+        seen = now
+    roots = new.select(F.col("u").alias("f"), F.col("v").alias("r"))
+    members = follow.join(roots, "f", "left").select(F.col("u").alias("c"), F.coalesce("r", "f").alias("root"))
+    hubs = new.select(F.col("u").alias("c"), F.col("v").alias("root"))
+    # a hub that follows another one is in both, with one root
+    return scratch.cut(members.unionByName(hubs).where("c <> root").distinct(), "roots", 2 * most)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -260,7 +314,7 @@ def deduplicated(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int
         name += "_"
     some = with_sets(some, name, k)
     heirs = rows.where(F.col("first") & (F.col("n_shingles") > 0)).select(F.col("doc_id").alias("_id"), F.col("cls").alias("_cls")).distinct()
-    some_first = some.join(heirs, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col(name) == F.col("_cls")), "left_semi")
+    some_first = some.join(heirs, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col(name) == F.col("_cls")), "left_semi")
     # rows that share an id and a set: one by the hash of all that can be hashed
     whole = F.struct(*docs.columns)
     least = F.xxhash64(*(f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()))
@@ -281,53 +335,48 @@ def judged(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80,
     and for those with the least id, null ids last, of their linked rows, and of
     these with one set: more than one only if they share id and set.
     """
-    bounded_batches(spark)  # pairs carry two whole sets
     scratch = Scratch(spark, "neardup")
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed = scratch.cut(docs.mapInArrow(_sign(k, BANDS, ROWS), "doc_id long, n_shingles long, cls binary, bands array<long>"), "signed")
+    with bounded_batches(spark):  # rows carry two whole sets
+        return _judged(spark, scratch, *keyed(docs, id_col, text_col), k, percent)
+
+
+def _judged(spark: SparkSession, scratch: Scratch, docs: DataFrame, kind: str, k: int, percent: int) -> DataFrame:
+    signed = scratch.cut(docs.mapInArrow(_sign(k, BANDS, ROWS), f"doc_id {kind}, n_shingles long, cls binary, bands array<long>"), "signed")
     full = signed.where("n_shingles > 0")
     n = full.count()
-    classes = scratch.cut(full.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes", n)
-    banded = classes.select("cls", "n", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    met = scratch.cut(banded.join(shared, "band"), "met", n * BANDS)
-    weight = met.groupBy("cls").agg(F.sum("size").alias("weight"), F.first("n").alias("n"))
-    reps = scratch.cut(weight.join(classes.select("cls", "rep"), "cls"), "reps", n)
-    ids, n_met = reps.select("rep").distinct(), reps.count()
-    if n_met <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
+    classes = full.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    classes = scratch.cut(classes.withColumn("c", F.monotonically_increasing_id()), "classes", n)
+    banded = classes.select("c", "n", F.explode("bands").alias("band"))
+    shared = scratch.cut(banded.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "shared", n)
+    met = scratch.cut(banded.join(shared, "band"), "met", n * 4)
+    weight = met.groupBy("c").agg(F.sum("size").alias("weight"))
+    pivots = scratch.cut(met.join(weight, "c").groupBy("band").agg(F.max_by(F.struct("c", "n"), F.struct("weight", "c")).alias("p")).select("band", "p.*").toDF("band", "p", "pn"), "pivots", n)
+    # who meets in buckets of two only has nobody but the pivot to be compared with
+    groups = met.join(pivots, "band").where("c <> p").groupBy("p", "c").agg(F.max("n").alias("n"), F.max("pn").alias("pn"), (F.max("size") == 2).alias("alone"))
+    groups = scratch.cut(groups.where(f"not alone or 100 * least(n, pn) >= {percent} * greatest(n, pn)"), "groups", n * 2)
+    scratch.drop(met, pivots, shared)
+    wanted = groups.select("c").unionByName(groups.select(F.col("p").alias("c"))).distinct().join(classes.select("c", "cls", "rep"), "c")
+    wanted = scratch.cut(wanted, "wanted", n)
+    n_wanted = wanted.count()
+    ids = wanted.select("rep").distinct()
+    ids = F.broadcast(ids) if n_wanted <= BROADCAST_IDS else ids
     texts = docs.join(ids, docs.doc_id.eqNullSafe(ids.rep), "left_semi").select("text")
-    sets = scratch.cut(texts.mapInArrow(_sets(k), "cls binary, elements binary").dropDuplicates(["cls"]), "sets", n_met * SET_WEIGHT)
-    members = met.select("band", "cls", "n").join(reps.select("cls", "weight"), "cls")
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        near = pairs.where(f"100 * least(n1, n2) >= {percent} * greatest(n1, n2)").select(F.greatest("c1", "c2").alias("u"), F.least("c1", "c2").alias("v")).distinct()
-        left = near.join(sets.select(F.col("cls").alias("u"), F.col("elements").alias("x")), "u")
-        return left.join(sets.select(F.col("cls").alias("v"), F.col("elements").alias("y")), "v").select("u", "v", "x", "y").mapInArrow(_confirm(percent), "u binary, v binary")
-
-    def starred(rooted: DataFrame) -> DataFrame:
-        """Each member with the bucket's weightiest member, where they aren't together yet."""
-        pivot = rooted.groupBy("band").agg(F.max_by(F.struct("cls", "n", "root"), F.struct("weight", "cls")).alias("p"))
-        return rooted.join(pivot, "band").where("root <> p.root").select(F.col("cls").alias("c1"), F.col("n").alias("n1"), F.col("p.cls").alias("c2"), F.col("p.n").alias("n2"))
-
-    edges = scratch.cut(confirmed(starred(members.withColumn("root", F.col("cls")))), "links", n_met * BANDS)
-    roots = components(scratch, edges)
-    own = members.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    whole = own.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("a"), F.max("root").alias("b"), F.max_by("cls", F.struct("weight", "cls")).alias("p")).where("a <> b and size > 2")
-    own = scratch.cut(own.join(whole.select("band", "size", "p"), "band"), "apart", n_met * BANDS)
-    few = own.where(f"size <= {SMALL}")
-    a, b = few.alias("a"), few.alias("b")
-    pairs = a.join(b, F.expr("a.band = b.band and a.cls < b.cls and a.root <> b.root and a.cls <> a.p and b.cls <> a.p"))
-    pairs = pairs.select(F.col("a.cls").alias("c1"), F.col("a.n").alias("n1"), F.col("b.cls").alias("c2"), F.col("b.n").alias("n2"))
-    pairs = pairs.unionByName(_crowded(scratch, own.where(f"size > {SMALL}"), sets, percent, n_met * BANDS))
-    more = scratch.cut(confirmed(pairs), "links", n_met * BANDS)
-    if more.limit(1).count():
-        roots = components(scratch, edges.unionByName(more))
-    scratch.drop(met, reps, sets, own)
-    label = classes.select("cls", "rep").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    least = label.groupBy("root").agg(F.min("rep").alias("component_id"), F.min_by("cls", F.struct(F.col("rep").isNull(), "rep", "cls")).alias("heir"))
-    named = label.join(least, "root").select("cls", "component_id", (F.col("cls") == F.col("heir")).alias("first"))
-    linked = full.join(named, "cls", "left").select("doc_id", "n_shingles", "component_id", "cls", "first")
+    found = texts.mapInArrow(_sets(k), "cls binary, elements binary").dropDuplicates(["cls"])
+    sets = scratch.cut(found.join(wanted.select("cls", "c"), "cls").select("c", "elements"), "sets", n_wanted * SET_WEIGHT)
+    pairs = groups.join(sets.withColumnRenamed("elements", "x"), "c").join(sets.select(F.col("c").alias("p"), F.col("elements").alias("y")), "p").select("p", "c", "n", "pn", "alone", "x", "y")
+    diffs = pairs.mapInArrow(_differences, "p long, c long, n long, pn long, k long, d array<long>, alone boolean")
+    diffs = scratch.cut(diffs, "differences", n_wanted * SET_WEIGHT)
+    scratch.drop(sets, groups, wanted)
+    stars = diffs.where(f"100 * (n + pn - k) >= {percent} * (n + pn + k)").select(F.col("c").alias("u"), F.col("p").alias("v"))
+    roots = components(scratch, stars.unionByName(_among(scratch, diffs, percent, n)), n * SET_WEIGHT)
+    scratch.drop(diffs)
+    # one row a class of a component, whose least id is found by partial sums and joined as a table, so that a large component can be split
+    named = roots.unionByName(roots.select(F.col("root").alias("c"), "root").distinct()).join(classes.select("c", "rep"), "c")
+    named = scratch.cut(named, "named", n)
+    least = scratch.cut(named.groupBy("root").agg(F.min("rep").alias("component_id"), F.min_by("c", F.struct(F.col("rep").isNull(), "rep", "c")).alias("heir")), "least", n)
+    label = named.join(least, "root").select("c", "component_id", (F.col("c") == F.col("heir")).alias("first"))
+    label = classes.select("c", "cls", "rep").join(label, "c", "left").select("cls", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("first", F.lit(True)).alias("first"))
+    linked = full.select("doc_id", "n_shingles", "cls").join(label, "cls").select("doc_id", "n_shingles", "component_id", "cls", "first")
     alone = signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "cls", F.lit(True).alias("first"))
     kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
     return linked.unionByName(alone).withColumn("kept", kept).withColumn("first", F.col("first") & F.col("kept"))

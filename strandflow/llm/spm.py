@@ -26,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import Rolling, chunks
+from ._store import keyed
+from ._text import Rolling, chunks, mix
 
 GAP = "▁"
 WORD = re.compile(f"{GAP}*[^{GAP}]+|{GAP}+")
@@ -66,7 +67,7 @@ def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
 
 
 def _slot(h: np.ndarray) -> np.ndarray:
-    return (h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - FILTER_BITS)
+    return h >> np.uint64(64 - FILTER_BITS)
 
 
 class Vocabulary:
@@ -101,7 +102,7 @@ class Vocabulary:
         for size in range(1, self.longest + 1):
             some = [i for i in usable if len(self.pieces[i]) == size]
             codes = np.frombuffer("".join(self.pieces[i] for i in some).encode("utf-32-le"), np.uint32)
-            h = Rolling(codes).every(size)[::size] if some else np.zeros(0, np.uint64)
+            h = mix(Rolling(codes).every(size)[::size]) if some else np.zeros(0, np.uint64)
             order = np.argsort(h)
             seen = np.zeros(1 << FILTER_BITS, bool)
             seen[_slot(h)] = True
@@ -119,7 +120,7 @@ class Vocabulary:
             keys, ids, seen = self.keys[size]
             if not len(keys):
                 continue
-            h = rolling.every(size)
+            h = mix(rolling.every(size))
             at = np.flatnonzero(seen[_slot(h)] & (np.arange(size, n + 1) <= ends[: n - size + 1]))
             k = np.minimum(np.searchsorted(keys, h[at]), len(keys) - 1)
             hit = keys[k] == h[at]
@@ -207,7 +208,11 @@ class Vocabulary:
         return np.array(ids[::-1], np.int32)
 
     def decode(self, ids) -> str:
-        return b"".join([self.bytes_of[i] for i in ids]).decode("utf-8", "replace")[1:]
+        try:
+            raw = b"".join([self.bytes_of[i] for i in ids])
+        except (IndexError, TypeError):  # such an id, or a null one
+            raw = b"".join([self.bytes_of[i] if i is not None and 0 <= i < len(self.bytes_of) else "\ufffd".encode() for i in ids])
+        return raw.decode("utf-8", "replace")[1:]
 
 
 #: A literal U+2581 of the text is carried as a lone surrogate, which no UTF-8 text holds and no piece has.
@@ -238,25 +243,49 @@ class Encoder:
         return [np.frombuffer(b"".join(map(get, words)), np.int32) for words in split]
 
 
-def encoded(docs: DataFrame, model_path: str, scores: str = "auto", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, ids.  Null and empty texts have no ids.  Other columns are ignored."""
+def _batches(model_path: str, scores: str, ids: bool, digests: bool, keep_nulls: bool = False):
+    """doc_id and, as asked for, ids and the digests of `digest`, chunk by chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = None
         for batch in batches:
             encoder = encoder or Encoder(Vocabulary(model_path, scores))
             for lo, hi, _, _ in chunks(batch.column(1), TEXT_BYTES):
-                ids = encoder.encode([t or "" for t in batch.column(1).slice(lo, hi - lo).to_pylist()])
-                offs = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offs), pa.array(np.concatenate([*ids, np.zeros(0, np.int32)])))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), lists], ["doc_id", "ids"])
+                own = batch.column(1).slice(lo, hi - lo)
+                texts = [t or "" for t in own.to_pylist()]
+                found = encoder.encode(texts)
+                cols = {"doc_id": batch.column(0).slice(lo, hi - lo)}
+                if ids:
+                    offs = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(offs), pa.array(np.concatenate([*found, np.zeros(0, np.int32)])), mask=own.is_null() if keep_nulls and own.null_count else None)
+                    cols["ids"] = lists
+                if digests:
+                    back = [encoder.vocabulary.decode(x.tolist()) for x in found]
+                    cols |= {
+                        "n_bytes": pa.array([len(t.encode()) for t in texts], pa.int64()), "n_tokens": pa.array([len(x) for x in found], pa.int64()),
+                        "ids_sha256": pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in found]), "decoded_sha256": pa.array([hashlib.sha256(t.encode()).hexdigest() for t in back]),
+                        "round_trip": pa.array([a == b for a, b in zip(texts, back, strict=True)]),
+                    }
+                yield pa.RecordBatch.from_arrays([*cols.values()], [*cols])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, ids array<int>")
+    return run
+
+
+DIGEST = "n_bytes long, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean"
+
+
+def encoded(docs: DataFrame, model_path: str, scores: str = "auto", id_col: str = "doc_id", text_col: str = "text", digests: bool = False, keep_nulls: bool = False) -> DataFrame:
+    """One row per input row: doc_id, ids, and with `digests` the columns of `digest`.
+
+    Null and empty texts have no ids; with `keep_nulls` a null text has null, which `decoded` gives back.  Very long texts are a chunk
+    of their own.  Repeated rows are encoded each; other columns are ignored.
+    """
+    rows, kind = keyed(docs, id_col, text_col)
+    return rows.mapInArrow(_batches(model_path, scores, True, digests, keep_nulls), f"doc_id {kind}, ids array<int>" + f", {DIGEST}" * digests)
 
 
 def decoded(ids: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """One row per input row: doc_id, text; null ids give null.  Ids outside the vocabulary raise."""
+    """One row per input row: doc_id, text; null ids give null.  An id that the vocabulary doesn't have stands for U+FFFD."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = None
@@ -265,26 +294,11 @@ def decoded(ids: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: st
             texts = [None if not x.is_valid else vocabulary.decode(x.values.to_pylist()) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return ids.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(run, "doc_id long, text string")
-
+    rows = ids.select(F.col(id_col).alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids"))
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string")
 
-def digest(docs: DataFrame, model_path: str, scores: str = "auto") -> DataFrame:
-    """doc_id, n_bytes, n_tokens, ids_sha256 (little-endian int32), decoded_sha256 and whether the text came back."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = None
-        for batch in batches:
-            encoder = encoder or Encoder(Vocabulary(model_path, scores))
-            for lo, hi, _, _ in chunks(batch.column(1), TEXT_BYTES):
-                texts = [t or "" for t in batch.column(1).slice(lo, hi - lo).to_pylist()]
-                ids = encoder.encode(texts)
-                back = [encoder.vocabulary.decode(x.tolist()) for x in ids]
-                cols = [
-                    pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array([len(x) for x in ids], pa.int64()),
-                    pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in ids]), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in back]),
-                    pa.array([a == b for a, b in zip(texts, back, strict=True)]),
-                ]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *cols], ["doc_id", "n_bytes", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean")
+def digest(docs: DataFrame, model_path: str, scores: str = "auto", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_bytes, n_tokens, ids_sha256 (little-endian int32), decoded_sha256 and whether the text came back; a null text counts as empty."""
+    rows, kind = keyed(docs, id_col, text_col)
+    return rows.mapInArrow(_batches(model_path, scores, False, True), f"doc_id {kind}, {DIGEST}")
