@@ -3,6 +3,12 @@
 A stage takes (spark, docs, sf_dir) and returns a DataFrame, which `run` writes
 as Parquet to the shared folder and reads again as the next stage's docs.  All
 but the last return the columns of documents.
+
+All stages take null and repeated ids, null, empty and very long texts, repeated
+rows, empty tables and extra columns, which they keep.  Null texts aren't toxic,
+nobody's copy, not contaminated, hold no personal data, and have null ids.  The
+stages bound the Arrow batches of the session that they run in, and leave that
+setting, since Spark reads it when the returned plan runs.
 """
 
 from __future__ import annotations
@@ -12,7 +18,7 @@ from pyspark.sql import functions as F
 
 from strandflow.llm import decontam, neardup, pii, spm, toxicity
 from strandflow.llm._labels import remainder
-from strandflow.llm._store import Scratch, bounded_batches, table
+from strandflow.llm._store import Scratch, scope, set_bounded_batches, table
 from strandflow.llm.queries import SPM_FILE, tokenizer_path
 
 #: Five-word shingles and a similarity of 0.8.
@@ -21,7 +27,7 @@ SHINGLE_WORDS, PERCENT = 5, 80
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score as toxic go."""
-    bounded_batches(spark)
+    set_bounded_batches(spark)
     model = toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), remainder(4) != 2)
     return toxicity.accepted(docs, model)
 
@@ -33,21 +39,21 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a window of a benchmark item occurs go, whether or not the item has an id."""
-    bounded_batches(spark)
+    set_bounded_batches(spark)
     return decontam.uncontaminated(docs, table(spark, sf_dir, "benchmark"), unnamed=True)
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data gives way to its kind; n_chars follows the text."""
-    bounded_batches(spark)
+    set_bounded_batches(spark)
     out = pii.redacted(docs)
     return out.withColumn("n_chars", F.length("text").cast(out.schema["n_chars"].dataType)) if "n_chars" in out.columns else out
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of every text, and whether decoding gave it back."""
-    bounded_batches(spark)
-    return spm.digest(docs, tokenizer_path(SPM_FILE))
+    """Ids of every text, their number and digests, and whether decoding gave the text back."""
+    set_bounded_batches(spark)
+    return spm.encoded(docs, tokenizer_path(SPM_FILE), digests=True, keep_nulls=True)
 
 
 STAGES = [
@@ -63,8 +69,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, ids and digests of the documents that all stages keep; tables between the stages go as soon as the next one is written."""
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = scratch.cut(stage(spark, docs, sf_dir), name)
+    for i, (name, stage) in enumerate(STAGES):
+        with scope():
+            out = scratch.cut(stage(spark, docs, sf_dir), name)
+        if i:
+            scratch.drop(docs)
+        docs = out
     return docs
