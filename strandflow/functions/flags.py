@@ -35,6 +35,11 @@ def bits_if(**conditions: Column) -> Column:
     return out
 
 
+def class_bit(name: Column) -> Column:
+    """The bit of a class name; 0 for any other name."""
+    return F.coalesce(*(F.when(name == c, F.lit(BIT[c])) for c in CLASSES), F.lit(0)).cast("long")
+
+
 def class_label(flag: Column) -> Column:
     return F.when(has(flag, "DNA"), "DNA").when(has(flag, "LTR"), "LTR").when(has(flag, "LINE"), "LINE").when(has(flag, "SINE"), "SINE").when(has(flag, "RETROPOSON"), "Retroposon").otherwise("unknown")
 

@@ -39,8 +39,10 @@ def without_n(seq: Column) -> Column:
     return F.regexp_replace(seq, "N", "")
 
 
-def query_region(reverse: Column, start: Column, end: Column) -> Column:
-    return F.concat(F.when(reverse, "-").otherwise("+"), F.lit(":"), start.cast("string"), F.lit("-"), end.cast("string"))
+def query_region(reverse: Column, start: Column, end: Column, extra: Column | None = None) -> Column:
+    """strand:start-end, with what lies before the sequence in brackets."""
+    before = F.lit("") if extra is None else F.when(extra > 0, F.concat(F.lit("("), extra.cast("string"), F.lit(")"))).otherwise("")
+    return F.concat(F.when(reverse, "-").otherwise("+"), F.lit(":"), before, start.cast("string"), F.lit("-"), end.cast("string"))
 
 
 def target_region(kind: Column, name: Column, start: Column, end: Column) -> Column:

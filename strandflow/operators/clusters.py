@@ -104,3 +104,8 @@ def features(segments: DataFrame, keys: list[str], bg_div: float, bg_depth: floa
 
 def is_low_quality(blacklisted: Column, probability: Column, ratio: Column) -> Column:
     return blacklisted | (probability <= 0.5) | (ratio >= 10)
+
+
+def is_low_frequency(clt_type: Column) -> Column:
+    """One segment, or two of one read."""
+    return clt_type != 0

@@ -3,19 +3,50 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def vote(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """The commonest value by key, the smallest of equals, and its count."""
-    counted = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+def vote(df: DataFrame, keys: list[str], value: str, n: str | None = None) -> DataFrame:
+    """The commonest value by key, the smallest of equals, and its count; a row stands for `n` votes, or for one."""
+    counted = df.groupBy(*keys, value).agg((F.sum(n) if n else F.count(F.lit(1))).alias("_n"))
     # min_by of (-count, value): aggregation with partial sums, no window over a hot key
     best = F.min_by(F.struct(F.col(value).alias("value"), "_n"), F.struct(-F.col("_n"), F.col(value)))
     return counted.groupBy(*keys).agg(best.alias("_v")).select(*keys, F.col("_v.value").alias(value), F.col("_v._n").alias("n"))
 
 
+def position_counts(df: DataFrame, key: str, text: str) -> DataFrame:
+    """key, pos (from 1), ch, n: how often each character stands at each place of the texts of a key.
+
+    Counted batch by batch in numpy, so that a place of a batch is a few rows and
+    not one for each text; the counts of all batches have yet to be summed.
+    Null texts count as empty.
+    """
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).dictionary_encode(null_encoding="encode")
+            of = ids.indices.to_numpy()
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            size = np.array([len(t) for t in texts])
+            codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.int64)
+            if not len(codes):
+                continue
+            pos = np.arange(len(codes)) - np.repeat(np.cumsum(size) - size, size)
+            packed, n = np.unique((np.repeat(of, size) * (int(size.max()) + 1) + pos) * 0x110000 + codes, return_counts=True)
+            where, ch = packed // 0x110000, packed % 0x110000
+            shown = pa.array([chr(c) for c in ch.tolist()], pa.string())
+            cols = [ids.dictionary.take(pa.array(where // (int(size.max()) + 1))), pa.array((where % (int(size.max()) + 1) + 1).astype(np.int32)), shown, pa.array(n.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(cols, [key, "pos", "ch", "n"])
+
+    return df.select(key, F.col(text).cast("string")).mapInArrow(run, f"`{key}` {kind}, pos int, ch string, n long")
+
+
 def length_mode(df: DataFrame, keys: list[str], length: str, reference) -> DataFrame:
     """The commonest length by key if it is strictly commoner than the reference length, else that one.
 

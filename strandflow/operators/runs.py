@@ -76,3 +76,18 @@ def flank_run(seq: str, base: str, at_end: bool, gap: int = 5, strict_compat: bo
         return False
     end, size = max(runs, key=lambda r: r[1])
     return (end if strict_compat and not at_end else end - size + 1) <= gap
+
+
+def with_flank_runs(df: DataFrame, seq: str, size: int, base: str = "A", end_base: str = "T") -> DataFrame:
+    """The rows with `at_start` and `at_end`: whether a run of either base lies next to that end, within its `size` characters; null without a sequence."""
+    names, at = df.columns, df.columns.index(seq)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(at).to_pylist()
+            start = [None if t is None else flank_run(t[:size], base, False) for t in texts]
+            end = [None if t is None else flank_run(t[-size:], end_base, True) for t in texts]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(start, pa.bool_()), pa.array(end, pa.bool_())], [*names, "at_start", "at_end"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    return df.mapInArrow(run, f"{fields}, at_start boolean, at_end boolean")

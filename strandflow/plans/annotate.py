@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import flags
+from ..functions import sequences as sq
+from ..operators.merge import sign
 
 
 def tsd(ref_start: Column, ref_end: Column, left_end: Column, right_start: Column, near=50, longest=50) -> Column:
@@ -54,9 +56,9 @@ def structure_bits(rows: Column, ins_len: Column, flag: Column, at_left: Column,
     start and end; kind is TE, PolyA or PolyT.  at_left and at_right say whether
     the flanks hold a run of T or A next to the insertion.
     """
-    first, last, n = F.element_at(rows, 1), F.element_at(rows, -1), F.size(rows)
-    lft = F.element_at(F.filter(rows, lambda r: r["kind"] != "PolyT"), 1)
-    rgt = F.element_at(F.filter(rows, lambda r: r["kind"] != "PolyA"), -1)
+    first, last, n = F.try_element_at(rows, F.lit(1)), F.try_element_at(rows, F.lit(-1)), F.size(rows)
+    lft = F.try_element_at(F.filter(rows, lambda r: r["kind"] != "PolyT"), F.lit(1))
+    rgt = F.try_element_at(F.filter(rows, lambda r: r["kind"] != "PolyA"), F.lit(-1))
     yes = lambda c: F.coalesce(c, F.lit(False))
     five, three = (lambda r: yes(flags.has(r["bits"], "5P_FULL"))), (lambda r: yes(flags.has(r["bits"], "3P_FULL")))
     rev_l, rev_r = yes(lft["reverse"]), yes(rgt["reverse"])
@@ -64,7 +66,7 @@ def structure_bits(rows: Column, ins_len: Column, flag: Column, at_left: Column,
     fwd_l, fwd_r = is_te_l & ~rev_l, is_te_r & ~rev_r
     retro = lambda r: yes(flags.has(r["cls"], *flags.RETRO))
     head = (first["kind"] == "PolyT") & three(lft) & (lft["start"] - first["end"] < 20) & (first["start"] < 100)
-    ahead = F.try_element_at(rows, n - 1)
+    ahead = F.try_element_at(rows, F.when(n > 1, n - 1))
     tail = (last["kind"] == "PolyA") & three(rgt) & (last["start"] - ahead["end"] < 20) & (ins_len - last["end"] < 100)
     poly = (n >= 2) & (yes(head) | yes(tail))
     full5 = (fwd_l & five(lft)) | (rev_r & five(rgt))
@@ -82,3 +84,93 @@ def solo_ltr(is_ltr: Column, single: Column, ref_start: Column, ref_end: Column,
     left = (ref_start <= slack) & (F.abs(ref_end - ltr_len) <= slack)
     right = (F.abs(ref_start - (te_len - ltr_len)) <= slack) & (F.abs(ref_end - te_len) <= slack)
     return is_ltr & single & (ltr_len > 0) & (left | right)
+
+
+def outermost(elements: Column) -> Column:
+    """struct<first,last>: of elements in order the first, and the first of those that end last."""
+    first = F.try_element_at(elements, F.lit(1))
+    last = F.aggregate(elements, first, lambda acc, x: F.when(x["end"] > acc["end"], x).otherwise(acc))
+    return F.struct(first.alias("first"), last.alias("last"))
+
+
+def insertion_class(first: Column, last: Column) -> Column:
+    """The class of that of the outermost elements which covers more of its element, the last of equals."""
+    return F.when(first["ref_end"] - first["ref_start"] > last["ref_end"] - last["ref_start"], first["cls"]).otherwise(last["cls"])
+
+
+def strand(elements: Column) -> Column:
+    """Which strand more elements lie on."""
+    return sign(F.aggregate(elements, F.lit(0), lambda a, e: a + F.when(e["reverse"], -1).otherwise(1)))
+
+
+def shifted(rows: Column, delta: Column) -> Column:
+    """The rows with start and end moved."""
+    return F.transform(rows, lambda r: r.withField("start", r["start"] + delta).withField("end", r["end"] + delta))
+
+
+def query_regions(rows: Column) -> Column:
+    """All rows as strand:start-end, comma-joined; a PolyT that begins before the sequence starts at 0 and shows by how much it is longer."""
+
+    def one(r: Column) -> Column:
+        before = F.when((r["kind"] == "PolyT") & (r["start"] < 0), -r["start"]).otherwise(0)
+        return sq.query_region(F.coalesce(r["reverse"], r["kind"] == "PolyT"), r["start"] + before, r["end"], before)
+
+    return F.array_join(F.transform(rows, one), ",")
+
+
+def target_regions(rows: Column) -> Column:
+    return F.array_join(F.transform(rows, lambda r: sq.target_region(r["kind"], r["name"], r["ref_start"], r["ref_end"])), ",")
+
+
+def flank_hit(hits: Column) -> Column:
+    """Of a flank's alignments, in order, that with the shortest clip on the side of the insertion, the last of equals."""
+    return F.aggregate(hits, F.try_element_at(hits, F.lit(1)), lambda acc, x: F.when(x["clip"] <= acc["clip"], x).otherwise(acc))
+
+
+def insertion_sequence(flag: Column, left: Column, right: Column, left_most: Column, right_most: Column) -> Column:
+    """What lies between the flanks on their contigs: up to a contig's end where only one flank is known, and with N between the ends of two contigs."""
+    to_end, from_start = sq.sub(left, left_most, F.length(left)), sq.sub(right, F.lit(0), right_most)
+    return (
+        F.when(flags.has(flag, "LEFT_FLANK_MAP"), to_end).when(flags.has(flag, "RIGHT_FLANK_MAP"), from_start)
+        .when(flags.has(flag, "SAME_FLANK_MAP"), sq.sub(left, left_most, right_most)).when(flags.has(flag, "DIFF_FLANK_MAP"), sq.joined_ends(to_end, from_start))
+    )
+
+
+def flank_sequences(flag: Column, left: Column, right: Column, left_most: Column, right_most: Column, size: int = 500) -> Column:
+    """struct<upstream,downstream>: contig beside the insertion, or '.' on a side that no flank bounds."""
+    return F.struct(
+        F.when(flags.has(flag, "RIGHT_FLANK_MAP"), F.lit(".")).otherwise(sq.sub(left, left_most - size, left_most)).alias("upstream"),
+        F.when(flags.has(flag, "LEFT_FLANK_MAP"), F.lit(".")).otherwise(sq.sub(right, right_most, right_most + size)).alias("downstream"),
+    )
+
+
+def contig_ends(flag: Column, contig: Column, left_most: Column, right_most: Column, size: int = 200, least: int = 250) -> Column:
+    """struct<left,right>: of an insertion that one flank bounds, contig at both of its ends, to be looked for in the reference; null if it is shorter than `least`."""
+    n, left = F.length(contig), flags.has(flag, "LEFT_FLANK_MAP")
+    long_enough = F.when(left, n - left_most).otherwise(right_most) >= least
+    a = F.when(left, sq.sub(contig, left_most - size, left_most)).otherwise(sq.sub(contig, F.lit(0), F.lit(size)))
+    b = F.when(left, sq.sub(contig, n - size, n)).otherwise(sq.sub(contig, right_most, right_most + size))
+    return F.when(flags.has(flag, "LEFT_FLANK_MAP", "RIGHT_FLANK_MAP") & long_enough, F.struct(a.alias("left"), b.alias("right")))
+
+
+def reset_one_flank(flag: Column, left: Column, right: Column, local_start: Column, ref_start: Column, ref_end: Column, contig_len: Column, left_most: Column, right_most: Column, near: int = 50) -> Column:
+    """struct<flag,left_most,right_most> of an insertion that one flank bounds, after its contig's ends were aligned to the reference.
+
+    left and right are struct<end,clip_out,last,size> and struct<start,clip_out,first,size>
+    of these alignments in local coordinates, or null: clip_out is the clip away
+    from the insertion, last and first the length of the operation towards it.
+    Both ends have to lie beside the breakpoint and each other; then both flanks
+    are known, and the insertion ends where the alignment does.
+    """
+    off = lambda at: F.least(F.abs(at + local_start - ref_start), F.abs(at + local_start - ref_end))
+    ok = (
+        flags.has(flag, "LEFT_FLANK_MAP", "RIGHT_FLANK_MAP") & (left["end"] > 0) & (right["start"] > 0) & (left["clip_out"] <= near) & (right["clip_out"] <= near)
+        & (off(left["end"]) <= near) & (off(right["start"]) <= near) & (F.abs(right["start"] - left["end"]) <= near)
+    )
+    ok = F.coalesce(ok, F.lit(False))
+    cleared = flag.bitwiseAND(F.lit(~flags.mask("LEFT_FLANK_MAP", "RIGHT_FLANK_MAP")).cast("long")).bitwiseOR(F.lit(flags.BIT["SAME_FLANK_MAP"]).cast("long"))
+    return F.struct(
+        F.when(ok, cleared).otherwise(flag).alias("flag"),
+        F.when(ok & flags.has(flag, "RIGHT_FLANK_MAP"), left["size"] - left["last"]).otherwise(left_most).alias("left_most"),
+        F.when(ok & flags.has(flag, "LEFT_FLANK_MAP"), contig_len - (right["size"] - right["first"])).otherwise(right_most).alias("right_most"),
+    )

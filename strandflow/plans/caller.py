@@ -21,7 +21,7 @@ from ..functions import cigar as cg
 from ..functions import flags, scoring
 from ..functions import sequences as sq
 from ..lineage import Scratch
-from ..operators import assembly, clusters, cover, intervals, seqjoin
+from ..operators import assembly, clusters, cover, intervals, merge, seqjoin
 from ..operators.runs import flank_run, scoring_runs
 from . import annotate as an
 
@@ -70,9 +70,17 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return Scratch(df.sparkSession, "caller").cut(df, name)
 
 
+#: Alignment flags that make a record invalid (unmapped, secondary), and those that a consensus leaves out (duplicate and supplementary ones too).
+INVALID, UNCLEAN = 0x104, 0xD04
+
+
+def is_valid(flag: Column, drop: int = INVALID) -> Column:
+    return flag.bitwiseAND(F.lit(drop)) == 0
+
+
 def valid(alignments: DataFrame) -> DataFrame:
     """Neither unmapped nor secondary; supplementary alignments stay."""
-    return alignments.where(F.col("flag").bitwiseAND(F.lit(0x104)) == 0)
+    return alignments.where(is_valid(F.col("flag")))
 
 
 def background(t: Tables) -> tuple[float, float, float]:
@@ -236,14 +244,11 @@ def report(c: DataFrame, t: Tables) -> DataFrame:
     """The result table, one row for each insertion with an element."""
     flag = F.col("flag").bitwiseOR(flags.post_filter(F.col("flag"), F.col("clt_type")))
     c = c.withColumn("flag", flag).select("*", *flags.decoded(flag)).join(t.contigs.select("tid", F.col("name").alias("chrom")), "tid").join(t.refs.select("tid", F.col("seq").alias("ref_seq")), "tid")
-    votes = F.aggregate("elements", F.lit(0), lambda a, e: a + F.when(e["reverse"], -1).otherwise(1))
-    query = F.transform("rows", lambda r: sq.query_region(F.coalesce(r["reverse"], r["kind"] == "PolyT"), r["start"], r["end"]))
-    target = F.transform("rows", lambda r: sq.target_region(r["kind"], r["name"], r["ref_start"], r["ref_end"]))
-    family = F.transform(F.array_sort(F.array_distinct(F.transform("elements", lambda e: F.struct(e["te_tid"].alias("t"), e["name"].alias("n"))))), lambda x: x["n"])
+    family = merge.ordered_names(F.transform("elements", lambda e: F.struct(e["te_tid"].alias("order"), e["name"].alias("name"))))
     c = c.withColumns({"leftclip_reads": F.col("num_left"), "spanning_reads": F.col("num_middle"), "rightclip_reads": F.col("num_right")})
     return c.select(
-        "chrom", "start", "end", F.array_join(family, ",").alias("family"), "frequency", F.when(votes > 0, "+").when(votes < 0, "-").otherwise(".").alias("strand"), flags.genotype(F.col("frequency")).alias("genotype"),
-        "passed", F.array_join(query, ",").alias("query_region"), F.array_join(target, ",").alias("target_region"), F.col("num_seg_raw").alias("total_support"),
+        "chrom", "start", "end", family.alias("family"), "frequency", an.strand(F.col("elements")).alias("strand"), flags.genotype(F.col("frequency")).alias("genotype"),
+        "passed", an.query_regions(F.col("rows")).alias("query_region"), an.target_regions(F.col("rows")).alias("target_region"), F.col("num_seg_raw").alias("total_support"),
         F.when(flags.has(F.col("flag"), "TSD"), sq.sub(F.col("ref_seq"), F.col("start"), F.col("end"))).otherwise(".").alias("tsd_seq"),
         sq.padded(F.col("ins_seq"), flags.has(F.col("flag"), "LEFT_FLANK_MAP"), flags.has(F.col("flag"), "RIGHT_FLANK_MAP")).alias("insertion_seq"), F.col("upstream").alias("upstream_seq"),
         F.col("downstream").alias("downstream_seq"), flags.extra_info().alias("extra_info"), "insertion_id", "flag", "probability",
@@ -255,8 +260,13 @@ def ltr_lengths(te: DataFrame) -> DataFrame:
     half = F.floor(F.length("seq") / 2).cast("int")
     t = te.where("te_class = 'LTR'").select("te_tid", F.substring("seq", F.lit(1), half).alias("left_half"), F.expr("substring(seq, cast(length(seq) / 2 as int) + 1)").alias("right_half"))
     a = seqjoin.align_pairs(t, {"a": ("right_half", "left_half")})
-    ok = F.col("a").isNotNull() & (F.col("a.t_start") <= 10) & (_clip(F.col("a.cigar"), True) <= 10)
-    return a.select("te_tid", F.when(ok, F.col("a.t_end") - F.col("a.t_start")).otherwise(0).alias("ltr_len"))
+    return a.select("te_tid", ltr_length(F.col("a")).alias("ltr_len"))
+
+
+def ltr_length(hit: Column) -> Column:
+    """The length of a repeat from how an element's right half aligns to its left half: from the start on, and without a clip at the end; else 0."""
+    ok = hit.isNotNull() & (hit["t_start"] <= 10) & (_clip(hit["cigar"], True) <= 10)
+    return F.when(ok, hit["t_end"] - hit["t_start"]).otherwise(0)
 
 
 def call(t: Tables, cfg: CallerConfig | None = None) -> DataFrame:

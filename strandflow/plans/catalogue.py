@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from ..functions import cigar as cg
 from ..functions import flags, scoring, sequences
 from ..operators import clusters as cl
-from ..operators import consensus, cover, intervals, runs
+from ..operators import consensus, cover, intervals, merge, runs
+from .registry import QUERIES, SQL
+from .registry import register as _register
+from .registry import table as _t
 
 HOUR = 3_600_000_000
 MAX_GAP = 4 * HOUR
@@ -20,30 +23,16 @@ BIAS = -1.6
 #: Values from which an event counts as aligned, and below which as badly mapped.
 ALIGNED, BAD = 10.0, 5.0
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
-
-
-def _register(sql: str | None):
-    def add(f):
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    from . import records  # noqa: F401  registers its own
 
+    return dict(QUERIES)
 
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
 
+def oracle_sql() -> dict[str, str]:
+    from . import records  # noqa: F401
 
-def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return dict(SQL)
 
 
 def _days(c: str) -> Column:
@@ -99,7 +88,7 @@ c AS (SELECT *, CAST(sum(brk) OVER (PARTITION BY l_suppkey ORDER BY day ROWS UNB
 SELECT l_suppkey, idx, count(*) AS n, CAST(min(day) AS INTEGER) AS first_day, CAST(max(day) AS INTEGER) AS last_day FROM c GROUP BY l_suppkey, idx""")
 def gap_cluster_inclusive(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _t(spark, sf_dir, "lineitem").select("l_suppkey", _days("l_shipdate").alias("day")).distinct()
-    return cl.gap_cluster(d, ["l_suppkey"], "day", 1, []).groupBy("l_suppkey", "idx").agg(F.count(F.lit(1)).alias("n"), F.min("day").alias("first_day"), F.max("day").alias("last_day"))
+    return cl.gap_cluster(d, ["l_suppkey"], "day", 1, [], bin_width=365).groupBy("l_suppkey", "idx").agg(F.count(F.lit(1)).alias("n"), F.min("day").alias("first_day"), F.max("day").alias("last_day"))
 
 
 @_register(f"""WITH {EV}, {GC}, {FEAT} SELECT user_id, idx, n, n_left, n_middle, n_right, n_kinds, round(mean_value, 6) AS mean_value, round(te_frac, 6) AS te_frac,
@@ -198,7 +187,7 @@ cs AS (SELECT user_id, idx, min(us) AS s, max(us) AS e FROM gc GROUP BY user_id,
 
 
 def _bursts(spark: SparkSession, sf_dir: str, how: str) -> DataFrame:
-    errors = cl.gap_cluster(events(spark, sf_dir).where("event_type = 'error'"), ["user_id"], "us", DAY, ["event_id"], "i")
+    errors = cl.gap_cluster(events(spark, sf_dir).where("event_type = 'error'"), ["user_id"], "us", DAY, ["event_id"], "i", bin_width=30 * DAY)
     bursts = errors.groupBy("user_id", "i").agg(F.min("us").alias("i_start"), F.max("us").alias("i_end"), F.count(F.lit(1)).alias("k")).where("k >= 2").drop("k", "i")
     spans = clustered(spark, sf_dir).groupBy("user_id", "idx").agg(F.min("us").alias("start"), F.max("us").alias("end"))
     return intervals.semi(spans, bursts, "user_id", ["user_id", "idx"], 2_000_000, DAY, how).select("user_id", "idx")
@@ -250,37 +239,37 @@ def outer_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = own.groupBy("insertion_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
     bought = F.array_sort(F.collect_list(F.struct("us", "event_id")))
     b = own.where("event_type = 'purchase'").groupBy("insertion_id").agg(F.array_join(F.transform(bought, lambda x: x["event_id"].cast("string")), ",").alias("purchases"))
-    return a.join(b, "insertion_id", "full_outer")
+    return merge.outer(a, b, ["insertion_id"])
 
 
 @_register("""SELECT coalesce(p_size, -1) AS size, count(*) AS n, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS quantity
 FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_size <= 25) ON l_partkey = p_partkey GROUP BY coalesce(p_size, -1)""")
 def lookup_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small = _t(spark, sf_dir, "part").where("p_size <= 25").select("p_partkey", "p_size")
+    small = _t(spark, sf_dir, "part").where("p_size <= 25").select(F.col("p_partkey").alias("l_partkey"), F.col("p_size").alias("size"))
     li = _t(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("l_quantity").cast("long")).alias("quantity"))
-    return li.join(small, li.l_partkey == small.p_partkey, "left").groupBy(F.coalesce("p_size", F.lit(-1)).alias("size")).agg(F.sum("n").alias("n"), F.sum("quantity").alias("quantity"))
+    return merge.looked_up(li, ["l_partkey"], small, "size", -1).groupBy("size").agg(F.sum("n").alias("n"), F.sum("quantity").alias("quantity"))
 
 
 @_register("""SELECT p.p_partkey, round(coalesce(h.p, l.p, 0), 6) AS probability FROM part p LEFT JOIN (SELECT p_partkey, p_retailprice / 1000 AS p FROM part WHERE p_size > 25) h ON p.p_partkey = h.p_partkey
 LEFT JOIN (SELECT p_partkey, p_retailprice / 2000 AS p FROM part WHERE p_size <= 10) l ON p.p_partkey = l.p_partkey""")
 def coalesce_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _t(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice")
-    high = p.where("p_size > 25").select("p_partkey", (F.col("p_retailprice") / 1000).alias("high"))
-    low = p.where("p_size <= 10").select("p_partkey", (F.col("p_retailprice") / 2000).alias("low"))
-    return p.select("p_partkey").join(high, "p_partkey", "left").join(low, "p_partkey", "left").select("p_partkey", _r(F.coalesce("high", "low", F.lit(0.0)), "probability"))
+    high = p.where("p_size > 25").select("p_partkey", (F.col("p_retailprice") / 1000).alias("probability"))
+    low = p.where("p_size <= 10").select("p_partkey", (F.col("p_retailprice") / 2000).alias("probability"))
+    return merge.first_known(p.select("p_partkey"), ["p_partkey"], [high, low], "probability", 0.0).select("p_partkey", _r(F.col("probability"), "probability"))
 
 
 @_register("""SELECT l_suppkey, string_agg(p_brand, ',' ORDER BY p_brand) AS families, count(*) AS n FROM (SELECT DISTINCT l_suppkey, p_brand FROM lineitem JOIN part ON l_partkey = p_partkey) GROUP BY l_suppkey""")
 def ordered_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = _t(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").distinct().join(_t(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey")
-    names = F.array_sort(F.collect_set("p_brand"))
-    return named.groupBy("l_suppkey").agg(F.array_join(names, ",").alias("families"), F.size(names).cast("long").alias("n"))
+    names = F.collect_set(F.struct(F.col("p_brand").alias("order"), F.col("p_brand").alias("name")))
+    return named.groupBy("l_suppkey").agg(names.alias("names")).select("l_suppkey", merge.ordered_names(F.col("names")).alias("families"), F.size("names").cast("long").alias("n"))
 
 
 @_register("""SELECT l_suppkey, CASE sign(sum(CASE l_returnflag WHEN 'A' THEN 1 WHEN 'R' THEN -1 ELSE 0 END)) WHEN 1 THEN '+' WHEN -1 THEN '-' ELSE '.' END AS strand FROM lineitem GROUP BY l_suppkey""")
 def strand_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.sum(F.when(F.col("l_returnflag") == "A", 1).when(F.col("l_returnflag") == "R", -1).otherwise(0))
-    return _t(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.when(v > 0, "+").when(v < 0, "-").otherwise(".").alias("strand"))
+    return _t(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(merge.sign(v).alias("strand"))
 
 
 # ---- flags
@@ -373,11 +362,7 @@ SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, q, count(*) AS n, count(*
 CAST(sum(qp) AS BIGINT) AS q_sum, CAST(sum(rp) AS BIGINT) AS r_sum, CAST(sum(qp * rp) AS BIGINT) AS qr_sum FROM x GROUP BY l_orderkey, l_partkey, l_suppkey, l_linenumber, q""")
 def cigar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "q"]
-    p = F.col("p")
-    one = lambda f: F.aggregate(p, F.lit(0).cast("long"), lambda a, x: a + F.coalesce(f(x).cast("long"), F.lit(0).cast("long")))
-    rows = _cigars(spark, sf_dir).select(*keys, F.explode(F.array(cg.aligned_pairs(F.col("cigar"), F.lit(1000)))).alias("p"))  # explode: computed once, then named six times
-    return rows.select(*keys, F.size(p).cast("long").alias("n"), F.size(F.filter(p, lambda x: x["q"].isNull())).cast("long").alias("deleted"), F.size(F.filter(p, lambda x: x["r"].isNull())).cast("long").alias("inserted"),
-                       one(lambda x: x["q"]).alias("q_sum"), one(lambda x: x["r"]).alias("r_sum"), one(lambda x: x["q"] * x["r"]).alias("qr_sum"))
+    return _cigars(spark, sf_dir).select(*keys, cg.pair_totals(F.col("cigar"), F.lit(1000)).alias("t")).select(*keys, "t.*")
 
 
 # ---- sequences (whole texts)
@@ -402,9 +387,8 @@ def scoring_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register("""WITH c AS (SELECT lang, i, text[i] AS ch, count(*) AS n FROM (SELECT lang, text, unnest(range(1, length(text) + 1)) AS i FROM documents) GROUP BY lang, i, text[i])
 SELECT lang, CAST(i AS INTEGER) AS pos, ch, n FROM c QUALIFY row_number() OVER (PARTITION BY lang, i ORDER BY n DESC, ch) = 1""")
 def consensus_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _t(spark, sf_dir, "documents").where("length(text) > 0")
-    at = d.select("lang", F.posexplode(F.split("text", "")).alias("p", "ch")).select("lang", (F.col("p") + 1).alias("pos"), "ch")
-    return consensus.vote(at, ["lang", "pos"], "ch").select("lang", "pos", "ch", "n")
+    at = consensus.position_counts(_t(spark, sf_dir, "documents"), "lang", "text")
+    return consensus.vote(at, ["lang", "pos"], "ch", "n").select("lang", "pos", "ch", "n")
 
 
 @_register("""WITH w AS (SELECT source, length(unnest(string_split(text, ' '))) AS len FROM documents), k AS (SELECT source, len, count(*) AS n FROM w GROUP BY source, len),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import flags
+from ..operators import merge
 
 RESULT = (
     "chrom", "start", "end", "family", "frequency", "strand", "genotype", "passed", "query_region", "target_region", "total_support", "tsd_seq", "insertion_seq",
@@ -34,8 +35,8 @@ def tiles(refs: DataFrame, size: int = 65_536, overlap: int = 2_000) -> DataFram
     return refs.select("name", "seq", at.alias("offset")).select("name", (F.col("offset") / size).cast("int").alias("tile"), "offset", F.substring("seq", F.col("offset") + 1, F.lit(size + overlap)).alias("seq"))
 
 
-def fasta_index(refs: DataFrame) -> DataFrame:
-    return refs.select("ordinal", "name", "length")
+def fasta_index(refs: DataFrame, *more: str) -> DataFrame:
+    return refs.select("ordinal", "name", "length", *more)
 
 
 def read_fai(spark: SparkSession, path: str) -> DataFrame:
@@ -49,21 +50,21 @@ def read_bed(spark: SparkSession, path: str, te: DataFrame | None = None, kind:
     out = checked.withColumn("kind", F.lit(kind))
     if te is None:
         return out.withColumn("rep_tid", F.lit(-1))
-    return out.join(te.select("name", F.col("ordinal").alias("_tid")), "name", "left").withColumn("rep_tid", F.coalesce("_tid", F.lit(-1))).drop("_tid")
+    return merge.looked_up(out, ["name"], te.select("name", F.col("ordinal").alias("rep_tid")), "rep_tid", -1)
 
 
 def read_classes(spark: SparkSession, path: str, te: DataFrame) -> DataFrame:
     """The element table with class and class bit, joined by name; an element without a class line raises."""
     words = F.split(F.trim("value"), r"\s+")
     raw = spark.read.text(path).select(words.alias("w")).where(F.size("w") >= 2).select(F.col("w")[0].alias("name"), F.col("w")[1].alias("te_class")).dropDuplicates(["name"])
-    bit = F.coalesce(*(F.when(F.col("te_class") == c, F.lit(flags.BIT[c])) for c in flags.CLASSES), F.lit(0))
     joined = te.join(raw, "name", "left")
-    return joined.withColumn("te_class", F.coalesce("te_class", F.raise_error(F.concat(F.lit("no class for element "), F.col("name"))))).withColumn("class_bit", bit.cast("long"))
+    return joined.withColumn("te_class", F.coalesce("te_class", F.raise_error(F.concat(F.lit("no class for element "), F.col("name"))))).withColumn("class_bit", flags.class_bit(F.col("te_class")))
 
 
 def write_result(df: DataFrame, path: str) -> None:
-    """The result table as tab-separated text with a header line."""
-    df.select(*RESULT).write.csv(path, sep="\t", header=True, emptyValue="")
+    """The result table as tab-separated text with a header line, in the order of insertion_id as text, dealt by ranges."""
+    rows = merge.sorted_rows(df, ["insertion_id"]) if "insertion_id" in df.columns else df
+    rows.select(*RESULT).write.csv(path, sep="\t", header=True, emptyValue="")
 
 
 def write_fasta(df: DataFrame, path: str, name: str = "name", seq: str = "seq") -> None:

@@ -200,3 +200,48 @@ def test_cluster_statistics(spark):
         assert abs((r.e or 0) - -sum(x / n * math.log2(x / n) for x in (r.l, r.m, r.r) if x)) < 1e-12
     modes = spark.createDataFrame([(5,), (3,), (5,), (3,), (9,)], "p int").agg(clusters.modal("p").alias("m")).first()
     assert modes.m == 3 and Counter([5, 3, 5, 3, 9]).most_common(1)[0][1] == 2
+
+
+def test_cigar_walks_are_those_of_a_plain_loop(spark):
+    import random
+    import re
+
+    from strandflow.functions import cigar as cg
+
+    rng = random.Random(4)
+    texts = [None, "", "*", "12", "5S", "3H4S5M"] + ["".join(f"{rng.randrange(0, 60)}{rng.choice('MIDNSHP=X')}" for _ in range(rng.randrange(1, 9))) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, cigar string").repartition(3)
+    got = {r.i: r for r in df.select("i", cg.segments(F.col("cigar"), F.lit(1000), 20).alias("s"), cg.aligned_pairs(F.col("cigar"), F.lit(1000)).alias("p"), cg.pair_totals(F.col("cigar"), F.lit(1000)).alias("t")).collect()}
+    for i, text in enumerate(texts):
+        if text is None:
+            assert got[i].s is None and got[i].p is None
+            continue
+        ops = [(int(n), o) for n, o in re.findall(r"(\d+)([MIDNSHP=X])", text)]
+        total, q, r, m, segs, pairs = sum(n for n, o in ops if o in "M=X"), 0, 1000, 0, [], []
+        for k, (n, o) in enumerate(ops):
+            kind = 1 if k == 0 else 4 if k == len(ops) - 1 else 2
+            if o in "SI" and n >= 20:
+                segs.append((kind, q, q + n, r, m, {1: total, 4: m, 2: min(m, total - m)}[kind], total, k))
+            if o in "MIDN=X":
+                pairs += [(None if o in "DN" else q + x, None if o == "I" else r + x) for x in range(n)]
+            q, r, m = q + n * (o in "M=XSI"), r + n * (o in "M=XDN"), m + n * (o in "M=X")
+        assert [tuple(s) for s in got[i].s] == segs and [tuple(p) for p in got[i].p] == pairs
+        both = [(a, b) for a, b in pairs if a is not None and b is not None]
+        none = lambda x, over: sum(x) if over else None
+        qs, rs = [a for a, _ in pairs if a is not None], [b for _, b in pairs if b is not None]
+        assert tuple(got[i].t) == (len(pairs), len(pairs) - len(qs), len(pairs) - len(rs), none(qs, qs), none(rs, rs), none([a * b for a, b in both], both))
+
+
+def test_sorted_rows_are_in_order_over_partitions(spark):
+    from strandflow.operators import merge
+
+    df = spark.createDataFrame([((i * 7919) % 1000, i) for i in range(1000)], "a int, b int")
+    assert [r.a for r in merge.sorted_rows(df, ["a"], 5).collect()] == list(range(1000))
+
+
+def test_flank_runs_are_those_of_the_fold(spark):
+    from strandflow.operators import runs
+
+    rows = [(0, "AAAAAAAACGT"), (1, "CGTCGTCGTCGT"), (2, "CGCGTTTTTTTT"), (3, ""), (4, None)]
+    got = {r.i: (r.at_start, r.at_end) for r in runs.with_flank_runs(spark.createDataFrame(rows, "i int, s string"), "s", 20).collect()}
+    assert got == {0: (True, False), 1: (False, False), 2: (False, True), 3: (False, False), 4: (None, None)}
