@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._store import keyed
+
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "secret", "ssn")
 CONTEXT, ADD_SCORE = 40, 0.6
@@ -35,20 +37,23 @@ DIGIT = re.compile(r"[0-9]")
 #: Prior score of a confirmed span by kind, and words nearby that raise or lower it.
 PRIOR = {"email": 0.9, "ip": 0.7, "card": 0.8, "phone": 0.7, "iban": 0.8, "secret": 0.4, "ssn": 0.4}
 RAISE = {
-    "email": r"e-?mail|contact|write|mailto", "ip": r"\bip\b|host|server|address", "card": r"card|visa|credit|payment|carte|tarjeta|karte",
-    "phone": r"phone|call|tel\b|mobile|fax", "iban": r"iban|account|bank|konto|compte|cuenta", "secret": r"token|secret|password|passwd|api[_-]?key|key\b|bearer|credential",
-    "ssn": r"\bssn\b|social security|tax id",
+    "email": r"e-?mails?|contacts?|write|mailto", "ip": r"ip|hosts?|servers?|address(?:es)?", "card": r"(?:kredit|bank)?karten?|cards?|visa|credit|payments?|cartes?|tarjetas?",
+    "phone": r"(?:tele)?phones?|calls?|tel|mobile|fax", "iban": r"ibans?|accounts?|banks?|konto(?:nummer)?|comptes?|cuentas?",
+    "secret": r"tokens?|secrets?|passwords?|passwd|api[_-]?keys?|keys?|bearer|credentials?", "ssn": r"ssn|social security|tax id",
 }
 LOWER = {
     "email": r"example\.", "ip": r"versions?|releases?|v\.", "card": r"orders?|invoices?|isbn|serials?", "phone": r"isbn|serials?", "iban": r"serials?|part no",
     "secret": r"sha(?:-?[0-9]+)?(?:sums?)?|commits?|checksums?|digests?", "ssn": r"part no|serials?|orders?",
 }
-_RAISE = {k: re.compile(v, re.I) for k, v in RAISE.items()}
-#: Lowering words are whole words: no letter goes before or follows, as in 'shared' or 'border'; a sign such as '_' may.
-_LOWER = {k: re.compile(rf"(?<![^\W\d_])(?:{v})" + ("" if k == "email" else r"(?![^\W\d_])"), re.I) for k, v in LOWER.items()}
+#: These are whole words: no letter goes before or follows, as in 'shared', 'border' or 'ghost'; a sign such as '_' may.
+_BEGIN, _END = r"(?<![^\W\d_])", r"(?![^\W\d_])"
+#: A word that introduces a key may also begin at a capital within a name, as in 'accessToken'.
+_BEGIN_NAME = rf"(?:{_BEGIN}|(?-i:(?<=[a-z])(?=[A-Z])))"
+_RAISE = {k: re.compile((_BEGIN_NAME if k == "secret" else _BEGIN) + rf"(?:{v}){_END}", re.I) for k, v in RAISE.items()}
+_LOWER = {k: re.compile(rf"{_BEGIN}(?:{v})" + ("" if k == "email" else _END), re.I) for k, v in LOWER.items()}
 #: 'token = "' right before a key: only a lowering word right before that ('checksum key:') still counts.
-_INTRODUCED = re.compile(rf"(?:{RAISE['secret']})[\"']?\s*(?:=>|:=|=|:)\s*[\"'`]?\Z", re.I)
-_SAID_OF = re.compile(rf"(?<![^\W\d_])(?:{LOWER['secret']})[\s_-]*\Z", re.I)
+_INTRODUCED = re.compile(rf"{_BEGIN_NAME}(?:{RAISE['secret']})[\"']?\s*(?:=>|:=|=|:)\s*[\"'`]?\Z", re.I)
+_SAID_OF = re.compile(rf"{_BEGIN}(?:{LOWER['secret']})[\s_-]*\Z", re.I)
 
 
 def luhn(digits: str) -> bool:
@@ -102,20 +107,24 @@ def emails(text: str) -> list[tuple[int, int]]:
 
 
 def _score(kind: str, text: str, start: int, end: int) -> float:
-    near = text[max(0, start - CONTEXT) : start] + "\n" + text[end : end + CONTEXT]
-    return round(min(1.0, max(0.0, PRIOR[kind] + 0.3 * bool(_RAISE[kind].search(near)) - 0.3 * _lowered(kind, text, start, end))), 2)
+    return round(min(1.0, max(0.0, PRIOR[kind] + 0.3 * _within(_RAISE[kind], text, start, end) - 0.3 * _lowered(kind, text, start, end))), 2)
+
+
+def _within(words: re.Pattern, text: str, start: int, end: int) -> bool:
+    """Whether such a word lies wholly within the context; the letters beyond its ends are looked at too."""
+    right = end + CONTEXT
+    return bool(words.search(text, max(0, start - CONTEXT), start)) or any(m.end() <= right for m in words.finditer(text, end, right + 1))
 
 
 def _lowered(kind: str, text: str, start: int, end: int) -> bool:
-    """Whether a lowering word lies wholly within the context; the letters beyond its ends are looked at too."""
-    left, right = max(0, start - CONTEXT), end + CONTEXT
+    left = max(0, start - CONTEXT)
     if kind == "secret" and (m := _INTRODUCED.search(text, left, start)):
         return bool(_SAID_OF.search(text, left, m.start()))
-    return bool(_LOWER[kind].search(text, left, start)) or any(m.end() <= right for m in _LOWER[kind].finditer(text, end, right + 1))
+    return _within(_LOWER[kind], text, start, end)
 
 
 def find_spans(text: str) -> list[tuple[str, int, int, float]]:
-    """(kind, start, end, score) in code points, end exclusive, by start and then kind."""
+    """(kind, start, end, score) in code points, end exclusive, by start and then kind; spans of different kinds may overlap."""
     hits: list[tuple[str, int, int]] = []
     if "@" in text:
         hits += [("email", *s) for s in emails(text)]
@@ -132,9 +141,7 @@ def find_spans(text: str) -> list[tuple[str, int, int, float]]:
         hits += [("ssn", *m.span()) for m in SSN.finditer(text)]
         hits += [("secret", *m.span()) for m in SECRET.finditer(text) if DIGIT.search(m[0]) and any(c.isalpha() for c in m[0])]
     out = [(k, a, b, _score(k, text, a, b)) for k, a, b in hits]
-    base = [x for x in out if x[0] in BASE]
-    more = [x for x in out if x[0] not in BASE and x[3] >= ADD_SCORE and not any(x[1] < b and a < x[2] for _, a, b, _ in base)]
-    return sorted(base + more, key=lambda x: (x[1], KINDS.index(x[0])))
+    return sorted((x for x in out if x[0] in BASE or x[3] >= ADD_SCORE), key=lambda x: (x[1], KINDS.index(x[0])))
 
 
 def redact(text: str, spans: list[tuple[str, int, int, float]]) -> str:
@@ -163,17 +170,23 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id and its spans; null and empty texts have none.  Other columns are ignored."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_find, f"doc_id long, spans {SPANS}")
+    """One row per input row: doc_id and its spans; null and empty texts have none.
+
+    Very long texts are searched whole, in time that grows with their length.
+    Repeated rows are searched each; other columns are ignored.
+    """
+    rows, kind = keyed(docs, id_col, text_col)
+    return rows.mapInArrow(_find, f"doc_id {kind}, spans {SPANS}")
 
 
 def digest(found: DataFrame) -> DataFrame:
+    """Counts by base kind and of all spans, a digest of the base spans and all spans as text; rows without spans have zeros and empty texts, null spans count as none."""
+    found = found.withColumn("spans", F.coalesce("spans", F.array().cast(SPANS)))
     line = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     counts = [count(k).alias(f"n_{k}") for k in BASE]
-    return found.select("doc_id", *counts, F.sha2(F.array_join(F.transform(base, line), ","), 256).alias("base_sha256"), F.array_join(F.transform("spans", line), ",").alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(F.array_join(F.transform(base, line), ","), 256).alias("base_sha256"), F.array_join(F.transform("spans", line), ",").alias("spans"), F.size("spans").cast("long").alias("n_spans"), (F.size("spans") > 0).alias("has_pii"))
 
 
 def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
