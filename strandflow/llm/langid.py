@@ -2,15 +2,18 @@
 
 A text's vector is the mean of the embeddings of its hashed byte n-grams (2 to
 5 bytes, letters only, words bounded by spaces).  Embeddings and softmax are
-trained by stochastic gradient descent in numpy on snippets of a bounded sample
-of documents; mean and softmax are linear, so that scoring adds up rows of one
-table (embeddings times weights) by document.  A temperature is fitted on
-snippets kept apart, and so is the least score at which 99 % of accepted
-snippets are right; below it a row is marked as rejected.
+trained by stochastic gradient descent in numpy on a bounded sample of
+documents, each as a whole and as three snippets; executors make the bags of
+n-grams, so that what reaches the driver is bounded by rows and buckets however
+long a text is.  Mean and softmax are linear, so that scoring adds up rows of
+one table (embeddings times weights) by document.  A temperature is fitted on
+bags kept apart, and so is the least score at which 99 % of the accepted are
+right; below it a row is marked as rejected.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,12 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._labels import remainder
+from ._store import keyed
 from ._text import chunks
 
-#: The bound on documents that are learned from, in all; each gives at most four snippets of at most 60 words.
-MAX_TRAIN = 4_000
+#: The bound on documents (rows) that are learned from, in all, and on languages: the commonest ones.
+MAX_TRAIN, MAX_LANGUAGES = 4_000, 500
 SIZES, BUCKETS, DIM = (2, 3, 4, 5), 1 << 15, 16
-SNIPPET_WORDS = (3, 8, 25, 60)
+#: Each text is learned from as a whole, and as snippets of so many words.
+SNIPPET_WORDS = (3, 8, 25)
 CHUNK = 256 << 10
 #: ASCII letters and all bytes of other characters; what else there is bounds words.
 _LETTER = np.zeros(256, bool)
@@ -85,58 +90,76 @@ class Model:
         return out
 
 
-def _snippets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def bags(texts: pa.Array) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Distinct buckets of each text, and how often each occurs."""
+    ids, counts = [], []
+    for lo, hi, data, off in chunks(_padded(texts), CHUNK):
+        b, d = ngrams(data, off)
+        key, n = np.unique(d * BUCKETS + b, return_counts=True)
+        cuts = np.searchsorted(key, np.arange(1, hi - lo) * BUCKETS)
+        ids += np.split((key % BUCKETS).astype(np.int32), cuts)
+        counts += np.split(n.astype(np.int32), cuts)
+    return ids, counts
+
+
+def _learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each row its place in the sample's order, language and bags: of the whole text and of its snippets."""
     for batch in batches:
-        lang, text = [], []
+        order, lang, text = [], [], []
         for key, name, t in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            words = (t or "").split()
-            rng = np.random.default_rng(abs(int(key)))
+            words = t.split()
+            rng = np.random.default_rng(zlib.crc32(key.encode()))
+            parts = [t]
             for size in SNIPPET_WORDS:
-                if words:
-                    at = int(rng.integers(0, max(1, len(words) - size + 1)))
-                    text.append(" ".join(words[at : at + size]))
-                    lang.append(name)
-        yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(text, pa.string())], ["lang", "text"])
+                at = int(rng.integers(0, max(1, len(words) - size + 1)))
+                parts.append(" ".join(words[at : at + size]))
+            order += [(key, t)] * len(parts)
+            lang += [name] * len(parts)
+            text += parts
+        if not text:
+            continue
+        ids, counts = bags(pa.array(text, pa.string()))
+        place = [zlib.crc32(f"{key}\0".encode() + t.encode()) for key, t in order]
+        yield pa.RecordBatch.from_arrays([pa.array(place, pa.int64()), pa.array(lang, pa.string()), pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], ["place", "lang", "ids", "counts"])
 
 
 def train(docs: DataFrame, keep, max_train: int = MAX_TRAIN, epochs: int = 4, seed: int = 7) -> Model | None:
-    """Learn from text and lang of the rows that `keep` admits; None if there is nothing to learn from."""
+    """Learn from text and lang of the rows that `keep` admits; None if there is nothing to learn from.
+
+    About max_train / languages rows of each language are drawn by a hash of
+    their ids, and no more than max_train rows in all reach the driver.
+    """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).where(keep)
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
     if not counts:
         return None
-    share, scale = max(20, max_train // len(counts)), 1 << 30
+    share, scale = max(1, max_train // len(counts)), 1 << 30
     some = F.lit(False)
     for lang, n in counts.items():
         some = some | ((F.col("lang") == lang) & (F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < int(scale * min(1.0, share / n))))
-    rows = known.where(some).select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").mapInArrow(_snippets, "lang string, text string").toPandas()
-    rows = rows.sort_values(["lang", "text"], ignore_index=True)  # the order of arrival must not matter
+    rows = known.where(some).select(F.col("doc_id").cast("string").alias("doc_id"), "lang", F.col("text").cast("string").alias("text")).mapInArrow(_learned, "place long, lang string, ids array<int>, counts array<int>")
+    most = (1 + len(SNIPPET_WORDS)) * max_train
+    rows = rows.orderBy("place", "lang", F.hash("ids"), F.size("ids")).limit(most).toPandas()  # the order of arrival must not matter
     if not len(rows):
         return None
     languages = sorted(counts)
     y = rows["lang"].map({v: i for i, v in enumerate(languages)}).to_numpy()
     rng = np.random.default_rng(seed)
     apart = rng.random(len(y)) < 0.2 if len(y) >= 50 else np.zeros(len(y), bool)
-    arr = _padded(pa.array(rows["text"], pa.string()))
-    bags: list[np.ndarray] = [np.zeros(0, np.int32)] * len(y)
-    for lo, hi, data, off in chunks(arr, CHUNK):
-        b, d = ngrams(data, off)
-        order = np.argsort(d, kind="stable")
-        parts = np.split(b[order], np.cumsum(np.bincount(d, minlength=hi - lo))[:-1])
-        bags[lo:hi] = parts
+    ids = [np.asarray(x, np.int32) for x in rows["ids"]]
+    shares = [np.asarray(x, np.float32) / max(1, sum(x)) for x in rows["counts"]]
     k = len(languages)
     emb = (rng.random((BUCKETS, DIM), np.float32) - 0.5) / DIM
     w, bias = (rng.random((DIM, k), np.float32) - 0.5), np.zeros(k, np.float32)
-    fit = np.array([i for i in np.flatnonzero(~apart) if len(bags[i])], int)
+    fit = np.array([i for i in np.flatnonzero(~apart) if len(ids[i])], int)
     steps, step = max(1, epochs * (-(-len(fit) // 32))), 0
     for _ in range(epochs):
         for part in np.array_split(rng.permutation(fit), max(1, -(-len(fit) // 32))):
             if not len(part):
                 continue
-            ids = np.concatenate([bags[i] for i in part])
-            n = np.array([len(bags[i]) for i in part])
-            first = np.cumsum(n) - n
-            mean = np.add.reduceat(emb[ids], first) / n[:, None]
+            own, share = np.concatenate([ids[i] for i in part]), np.concatenate([shares[i] for i in part])
+            n = np.array([len(ids[i]) for i in part])
+            mean = np.add.reduceat(emb[own] * share[:, None], np.cumsum(n) - n)
             z = mean @ w + bias
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
@@ -145,20 +168,23 @@ def train(docs: DataFrame, keep, max_train: int = MAX_TRAIN, epochs: int = 4, se
             back = (p @ w.T).astype(np.float32)
             w -= rate * (mean.T @ p) / len(part)
             bias -= rate * p.mean(0)
-            np.subtract.at(emb, ids, np.repeat(rate * back / n[:, None] * 8, n, axis=0).astype(np.float32))
+            move = np.repeat(rate * 8 * back, n, axis=0) * share[:, None]
+            order = np.argsort(own, kind="stable")
+            first = np.flatnonzero(np.concatenate([[True], np.diff(own[order]) > 0]))
+            emb[own[order][first]] -= np.add.reduceat(move[order], first)
             step += 1
     model = Model(languages, (emb @ w).astype(np.float32), bias, 1.0, 0.0)
-    check = np.flatnonzero(apart)
+    check = np.array([i for i in np.flatnonzero(apart) if len(ids[i])], int)
     if len(check) and k > 1:
-        p = np.clip(model.scores(pa.array(rows["text"][check], pa.string())), 1e-12, 1)
-        z = np.log(p)
-        loss = {}
-        for t in np.geomspace(0.1, 10, 41):
+        z = np.stack([share @ model.table[own] for own, share in ((ids[i], shares[i]) for i in check)]) + bias
+
+        def softmax(t: float) -> np.ndarray:
             q = np.exp(z / t - (z / t).max(1, keepdims=True))
-            q /= q.sum(1, keepdims=True)
-            loss[t] = -np.log(np.clip(q[np.arange(len(check)), y[check]], 1e-12, 1)).mean()
+            return q / q.sum(1, keepdims=True)
+
+        loss = {t: -np.log(np.clip(softmax(t)[np.arange(len(check)), y[check]], 1e-12, 1)).mean() for t in np.geomspace(0.1, 10, 41)}
         model.temperature = float(min(loss, key=loss.get))
-        q = model.scores(pa.array(rows["text"][check], pa.string()))
+        q = softmax(model.temperature)
         top, right = q.max(1), q.argmax(1) == y[check]
         order = np.argsort(-top)
         good = np.cumsum(right[order]) / np.arange(1, len(order) + 1)
@@ -170,15 +196,15 @@ def train(docs: DataFrame, keep, max_train: int = MAX_TRAIN, epochs: int = 4, se
 def identified(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, lang_pred, score, rejected.
 
-    Null texts, texts without a letter, and all texts if there is no model, are
-    `und` with score 0 and rejected.  Repeated rows are scored each.  Other
-    columns are ignored.
+    Null texts, texts without a letter (Unicode's category L), and all texts if
+    there is no model, are `und` with score 0 and rejected.  Repeated rows are
+    scored each.  Other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import re
+        import regex
 
-        letter = re.compile(r"[^\W\d_]")
+        letter = regex.compile(r"\p{L}")
         for batch in batches:
             texts = batch.column(1)
             has = np.array([t.is_valid and letter.search(t.as_py()) is not None for t in texts], bool)
@@ -191,8 +217,8 @@ def identified(docs: DataFrame, model: Model | None, id_col: str = "doc_id", tex
             low = (score < model.threshold) | ~has if model else np.ones(len(texts), bool)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(low, pa.bool_())], ["doc_id", "lang_pred", "score", "rejected"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
+    rows, kind = keyed(docs, id_col, text_col)
+    return rows.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, rejected boolean")
 
 
 def language_query(docs: DataFrame) -> DataFrame:
