@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._store import keyed
+
 BLOCK, FRAME_ROWS, DELAY_CS = 192, 256, 10
 BINS = 64
 #: Three bits of red and green, two of blue: all 256 colours differ, and differ in their high bits.
@@ -279,8 +281,8 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 raws = [(t.as_py() or "").encode() for t in batch.column(1).slice(lo, 256)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, 256), pa.array([len(r) for r in raws], pa.int64()), pa.array([encode(padded(r)) for r in raws], pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    rows, kind = keyed(docs, id_col, text_col)
+    return rows.mapInArrow(run, f"doc_id {kind}, n_bytes long, media binary")
 
 
 def frames_of(media: DataFrame, id_col: str = "doc_id", media_col: str = "media", pixels: bool = False) -> DataFrame:
@@ -304,25 +306,43 @@ def frames_of(media: DataFrame, id_col: str = "doc_id", media_col: str = "media"
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    rows = media.select(F.col(id_col).cast("long").alias("doc_id"), F.col(media_col).alias("media"))
-    return rows.mapInArrow(run, "doc_id long, frame int, start_ms int, delay_ms int, x int, y int, width int, height int, histogram array<long>, pixels binary, error string")
+    rows = media.select(F.col(id_col).alias("doc_id"), F.col(media_col).alias("media"))
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, frame int, start_ms int, delay_ms int, x int, y int, width int, height int, histogram array<long>, pixels binary, error string")
+
+
+def feature(frames: list[Frame]) -> str:
+    """Number of frames, their time, and the histogram of all of them."""
+    total = sum((f.histogram() for f in frames), np.zeros(BINS, np.int64))
+    return f"frames={len(frames)};ms={sum(f.delay_ms for f in frames)};hist=" + ",".join(f"{i}:{n}" for i, n in enumerate(total.tolist()) if n)
 
 
 def digest(media: DataFrame) -> DataFrame:
-    """The payload read back from stored media, and features of its frames."""
+    """One row per input row: the payload read back from stored media, features of its frames, and error.
+
+    A null medium has nulls but for doc_id and n_bytes; one that isn't a whole
+    GIF has its size and digest, an error, and nulls.  Repeated rows are read
+    each; other columns are ignored.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
+        names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "error"]
         for batch in batches:
             out: list[tuple] = []
             for raw in batch.column(2):
                 gif = raw.as_py()
-                frames = decode(gif)
-                payload = payload_of(frames)
-                total = sum(f.histogram() for f in frames)
-                kept = ",".join(f"{i}:{n}" for i, n in enumerate(total.tolist()) if n)
-                out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(gif), hashlib.sha256(gif).hexdigest(), f"frames={len(frames)};ms={sum(f.delay_ms for f in frames)};hist={kept}"))
-            cols = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)] if out else []
+                if gif is None:
+                    out.append((None,) * 7)
+                    continue
+                stored = len(gif), hashlib.sha256(gif).hexdigest()
+                try:
+                    frames = decode(gif)
+                    payload = payload_of(frames)
+                    out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), *stored, feature(frames), None))
+                except ValueError as e:
+                    out.append((None, None, None, *stored, None, str(e)))
             if out:
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True))], ["doc_id", "n_bytes", *names])
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    kind = media.schema["doc_id"].dataType.simpleString()
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string")

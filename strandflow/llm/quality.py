@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._labels import remainder, sample
+from ._store import keyed
 from ._text import NOT_SPACE, Rolling, chunks, distinct, mix, word_bounds
 
 #: The bound on labelled rows of each class that are learned from.
@@ -191,7 +192,7 @@ def fit(x: np.ndarray, y: np.ndarray, bins: int = 48, coarse_bins: int = 8, roun
 
 
 def train(docs: DataFrame, labels: DataFrame, keep, max_train: int = MAX_TRAIN) -> Model:
-    """Fit on at most about `max_train` labelled rows of either class that `keep` admits.
+    """Fit on about `max_train` labelled rows of either class that `keep` admits, and on no more than 3 * `max_train` in all, whatever ids repeat.
 
     Where the classes are sampled at different rates, the intercept goes back to
     the share they have among all labelled rows, so that scores don't depend on
@@ -206,12 +207,13 @@ def train(docs: DataFrame, labels: DataFrame, keep, max_train: int = MAX_TRAIN)
             flat = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(FEATURES)).cast(pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), flat], ["doc_id", "quality", "x"])
 
-    got = rows.mapInArrow(run, "doc_id long, quality int, x array<double>").toPandas()
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    got = rows.mapInArrow(run, f"doc_id {kind}, quality int, x array<double>").drop("doc_id").orderBy(F.xxhash64("x"), "quality").limit(3 * max_train).toPandas()
     if not len(got):
         return fit(np.zeros((0, len(FEATURES))), np.zeros(0))
     x = np.stack(got["x"].to_numpy())
     y = got["quality"].to_numpy(float)
-    order = np.lexsort((*x.T, got["doc_id"].to_numpy()))
+    order = np.lexsort((*x.T, y))
     model = fit(x[order], y[order])
     if all(rates.get(v) for v in (0, 1)):
         model.intercept += float(np.log(rates[0] / rates[1]))  # odds in the sample are rates[1] / rates[0] times the odds of all rows
@@ -226,8 +228,8 @@ def scored(docs: DataFrame, model: Model, threshold: float = 0.5, id_col: str =
             s = model.scores(all_features(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, score double, predicted int")
+    rows, kind = keyed(docs, id_col, text_col)
+    return rows.mapInArrow(run, f"doc_id {kind}, score double, predicted int")
 
 
 def quality_query(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -84,6 +84,6 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 1024, table_
     Null texts count as empty: no bytes, no tokens.  Repeated rows are counted
     each.  Other columns are ignored.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)).cast("long").alias("n_bytes"))
-    out = rows.mapInArrow(_count(tokenizer_path, table_size), "doc_id long, n_bytes long, n_tokens long")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)).cast("long").alias("n_bytes"))
+    out = rows.mapInArrow(_count(tokenizer_path, table_size), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_tokens long")
     return out.withColumn("over_limit", F.col("n_tokens") > limit)

@@ -29,10 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._labels import remainder, sampled_ids
+from ._store import keyed
 from ._text import Rolling, chunks, hash_bytes, word_bounds
 
-#: The bounds on labelled rows of either class, on prefixes that are looked into, and on those that are kept.
-MAX_TOXIC, MAX_CLEAN, MAX_CANDIDATES, MAX_PATTERNS = 4_000, 6_000, 20_000, 48
+#: The bounds on labelled rows of either class that are learned from (sampled by id; no more than twice as many rows where ids repeat).
+MAX_TOXIC, MAX_CLEAN = 4_000, 6_000
+#: The number of voters of the model beside the lexicon: the strongest of all prefixes that labelled toxic texts use far more often.
+PATTERNS = 48
 PREFIX_LENGTHS = range(4, 11)
 THRESHOLD = 0.3
 
@@ -193,7 +196,7 @@ def train(docs: DataFrame, labels: DataFrame, keep) -> Model:
     schema = "prefix string, docs long, seen long"
     total = lambda df: df.groupBy("prefix").agg(F.sum("docs").alias("docs"), F.sum("seen").alias("seen"))
     toxic = total(known.where("toxic = 1").select("text").mapInArrow(_df(None), schema)).where((F.col("docs") >= (3 if n[1] < 100 else max(6, n[1] // 100))) | (F.col("prefix") == ""))
-    first = {"": (0, 0)} | {r["prefix"]: (r["docs"], r["seen"]) for r in toxic.orderBy(F.desc("docs"), "prefix").limit(MAX_CANDIDATES).collect()}
+    first = {"": (0, 0)} | {r["prefix"]: (r["docs"], r["seen"]) for r in toxic.collect()}  # each in 1 % of at most MAX_TOXIC texts: bounded by their words
     clean = {r["prefix"]: (r["docs"], r["seen"]) for r in total(known.where("toxic = 0").select("text").mapInArrow(_df(frozenset(first)), schema)).collect()}
     ranked = []
     for p, (a, seen) in first.items():
@@ -207,7 +210,7 @@ def train(docs: DataFrame, labels: DataFrame, keep) -> Model:
     lexicon = set(LEXICON)
     kept: list[str] = []
     for _, _, p in sorted(ranked):
-        if len(kept) < MAX_PATTERNS and not any(p.startswith(q) or q.startswith(p) for q in kept) and not any(w.startswith(p) for w in lexicon):
+        if len(kept) < PATTERNS and not any(p.startswith(q) or q.startswith(p) for q in kept) and not any(w.startswith(p) for w in lexicon):
             kept.append(p)
     model = Model([*LEXICON, *kept], [True] * len(LEXICON) + [False] * len(kept))
 
@@ -217,11 +220,12 @@ def train(docs: DataFrame, labels: DataFrame, keep) -> Model:
             flat = pa.FixedSizeListArray.from_arrays(pa.array(hits.ravel()), len(model.patterns)).cast(pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), flat, pa.array(words)], ["doc_id", "toxic", "hits", "words"])
 
-    got = known.mapInArrow(run, "doc_id long, toxic int, hits array<int>, words long").toPandas()
+    kind = known.schema["doc_id"].dataType.simpleString()
+    got = known.mapInArrow(run, f"doc_id {kind}, toxic int, hits array<int>, words long").drop("doc_id").orderBy(F.xxhash64("hits", "words"), "toxic").limit(2 * (MAX_TOXIC + MAX_CLEAN)).toPandas()
     if got["toxic"].nunique() < 2:
         return Model(list(LEXICON), [True] * len(LEXICON))
     hits, words, y = np.stack(got["hits"].to_numpy()), got["words"].to_numpy(), got["toxic"].to_numpy(float)
-    order = np.lexsort((*hits.T, words, got["doc_id"].to_numpy()))
+    order = np.lexsort((*hits.T, words, y))
     hits, words, y = hits[order], words[order], y[order]
     rate = hits / np.maximum(words, 1)[:, None]
     rates = np.zeros(len(model.patterns))
@@ -260,12 +264,12 @@ def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD, id_col:
             s = model.scores(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, score double, predicted int")
+    rows, kind = keyed(docs, id_col, text_col)
+    return rows.mapInArrow(run, f"doc_id {kind}, score double, predicted int")
 
 
 def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """The rows, with all their columns, whose text scores below `threshold`."""
+    """The rows, with all their columns, whose text scores below `threshold`; null and empty texts are scored as empty, repeated rows each, an empty table stays empty."""
     at, names = docs.columns.index(text_col), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
