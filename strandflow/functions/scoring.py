@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Iterator
 from typing import Protocol
@@ -9,6 +10,7 @@ from typing import Protocol
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 
 class Scorer(Protocol):
@@ -46,7 +48,28 @@ def scored(df: DataFrame, scorer: Scorer, keys: list[str], features: list[str])
     return df.select(*keys, *features).mapInPandas(run, ", ".join(f"{k} {fields[k]}" for k in keys) + ", probability double")
 
 
-def gated(df: DataFrame, high: Column, low: Column, clt_type: str = "clt_type", te_frac: str = "te_aligned_frac", blacklisted: str = "is_in_blacklist") -> DataFrame:
-    """Two models, one for clusters of several reads and one for the rest; what no gate lets through scores 0."""
+def load(path: str) -> LogisticScorer:
+    """A model from a JSON file with `weights` by feature and `bias`, read by the driver and sent along with the plan."""
+    with open(path, encoding="utf-8") as f:
+        raw = json.load(f)
+    return LogisticScorer({str(k): float(v) for k, v in raw["weights"].items()}, float(raw["bias"]))
+
+
+def gated(df: DataFrame, high: Column | Scorer, low: Column | Scorer, clt_type: str = "clt_type", te_frac: str = "te_aligned_frac", blacklisted: str = "is_in_blacklist", keys: list[str] | None = None) -> DataFrame:
+    """Two models, one for clusters of several reads and one for the rest; what no gate lets through scores 0.
+
+    A batch model gets its own clusters with all numeric columns, and its
+    probabilities are joined by `keys`.
+    """
     ok = (F.col(te_frac) >= 0.8) & ~F.col(blacklisted)
-    return df.withColumn("probability", F.when(ok & (F.col(clt_type) == 0), high).when(ok & (F.col(clt_type) > 0), low).otherwise(F.lit(0.0)))
+    gates = {"_high": (ok & (F.col(clt_type) == 0), high), "_low": (ok & (F.col(clt_type) > 0), low)}
+    features = [f.name for f in df.schema if isinstance(f.dataType, NumericType) and f.name not in (keys or ())]
+    out, columns = df, []
+    for name, (gate, model) in gates.items():
+        if isinstance(model, Column):
+            columns.append(F.when(gate, model))
+        else:
+            found = scored(df.where(gate), model, keys, features).withColumnRenamed("probability", name)
+            out = out.join(found, keys, "left")
+            columns.append(F.col(name))
+    return out.withColumn("probability", F.coalesce(*columns, F.lit(0.0))).drop(*gates)

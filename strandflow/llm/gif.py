@@ -72,24 +72,25 @@ def lzw_decode(stream: bytes, size: int, pixels: int) -> bytes:
         codes = ((data[b] | data[b + 1] << 8 | data[b + 2] << 16) >> (pos & 7).astype(np.uint32)) & ((1 << w) - 1).astype(np.uint32)
         stop = np.flatnonzero((codes == clear) | (codes == end))
         n = int(stop[0]) if len(stop) else len(codes)
-        room = len(table)
-        for c in codes[:n].tolist():
-            if not prev:
-                if c >= clear:
-                    raise ValueError("LZW code without a prefix")
+        room, some = len(table), iter(codes[:n].tolist())
+        if not prev and n:
+            c = next(some)
+            if c >= clear:
+                raise ValueError("LZW code without a prefix")
+            prev = table[c]
+            out.append(prev)
+        grow, give = table.append, out.append
+        for c in some:
+            if c < room:
                 entry = table[c]
-            elif c < room:
-                entry = table[c]
-                if room < 4096:
-                    table.append(prev + entry[:1])
-                    room += 1
             elif c == room and room < 4096:
                 entry = prev + prev[:1]
-                table.append(entry)
-                room += 1
             else:
                 raise ValueError("LZW code out of range")
-            out.append(entry)
+            if room < 4096:
+                grow(prev + entry[:1])
+                room += 1
+            give(entry)
             prev = entry
         done = sum(map(len, out)) if n else done
         read += n
@@ -109,26 +110,23 @@ def lzw_decode(stream: bytes, size: int, pixels: int) -> bytes:
 def lzw_encode(data: bytes) -> bytes:
     """The code stream of 8-bit indices."""
     codes, table, free = [256], {}, 258
-    get, put = table.get, codes.append
-    word = -1
-    for b in data:
-        if word < 0:
-            word = b
-            continue
+    get, put, rest = table.get, codes.append, iter(data)
+    word = next(rest, None)
+    for b in rest:
         key = word << 8 | b
         found = get(key)
-        if found is not None:
+        if found is None:
+            put(word)
+            table[key] = free
+            free += 1
+            word = b
+            if free == 4096:
+                put(256)
+                table.clear()
+                free = 258
+        else:
             word = found
-            continue
-        put(word)
-        table[key] = free
-        free += 1
-        word = b
-        if free == 4096:
-            put(256)
-            table.clear()
-            free = 258
-    if word >= 0:
+    if word is not None:
         put(word)
     put(257)
     c = np.array(codes, np.uint32)

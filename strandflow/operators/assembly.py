@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .consensus import polymers, read_polymers, recalibrate
 from .seqjoin import best_alignment
 
 #: Reads that are aligned in one call; a cluster with more is dealt to several, and their counts are summed.
@@ -40,16 +41,21 @@ def votes(draft: str, reads: list[str]) -> tuple[list[Counter], list[Counter]]:
     return bases, after
 
 
-def rebuilt(draft: str, bases: list[Counter], after: list[Counter], least: float = 0.5) -> str:
-    """The draft after a vote, in which it has one voice itself."""
+def min_edge(n: int, override: int = 0) -> int:
+    """How many reads have to share an edit; as sequences.min_edge."""
+    return override if override > 0 else 1 + sum(n >= bound for bound in (5, 10, 40, 70))
+
+
+def rebuilt(draft: str, bases: list[Counter], after: list[Counter], least: float = 0.5, edge: int = 1) -> str:
+    """The draft after a vote, in which it has one voice itself; an edit needs the votes of `edge` reads."""
     out = []
     for c, b, a in zip(draft, bases, after, strict=True):
         b = b + Counter({c: 1})
         top = max(b.values())
-        out.append(c if b[c] == top else min(k for k, v in b.items() if v == top))
+        out.append(c if b[c] == top or top < edge else min(k for k, v in b.items() if v == top))
         if a:
             extra, n = max(a.items(), key=lambda x: (x[1], x[0]))
-            if n > least * sum(b.values()):
+            if n > least * sum(b.values()) and n >= edge:
                 out.append(extra)
     return "".join(out)
 
@@ -64,12 +70,15 @@ def polish(draft: str, reads: list[str], rounds: int = 2, least: float = 0.5) ->
     return draft
 
 
-def assemble(reads: DataFrame, keys: list[str], rounds: int = 2) -> DataFrame:
+def assemble(reads: DataFrame, keys: list[str], rounds: int = 2, edge: int = 0, node_len: int = 0) -> DataFrame:
     """keys, assembly, is_assembled: from rows (keys, seg_id, seq, is_rep); one read alone is its own assembly.
 
     The draft is the representative read, or else that with the least seg_id;
     all other reads vote.  They are aligned in slices, and counts by place are
     summed, so that a task holds a slice or a draft's counts and not a cluster.
+    After the votes the lengths of homopolymers are those that most reads show.
+    An edit needs as many reads as `min_edge` asks for their number, or `edge`;
+    what is shorter than `node_len` counts as not assembled.
     """
     fields = {f.name: f.dataType.simpleString() for f in reads.schema}
     head = ", ".join(f"{k} {fields[k]}" for k in keys)
@@ -90,12 +99,30 @@ def assemble(reads: DataFrame, keys: list[str], rounds: int = 2) -> DataFrame:
         for at, kind, text, n in zip(pdf["_at"], pdf["_kind"], pdf["_text"], pdf["_votes"], strict=True):
             if at >= 0:
                 (after if kind else bases)[at][text] += n
-        return pdf[[*keys, "_own", "_n"]].head(1).assign(_draft=rebuilt(draft, bases, after))
+        return pdf[[*keys, "_own", "_n"]].head(1).assign(_draft=rebuilt(draft, bases, after, edge=min_edge(int(pdf["_n"].iloc[0]), edge)))
+
+    def runs(pdf: pd.DataFrame) -> pd.DataFrame:
+        draft = pdf["_draft"].iloc[0]
+        regions, shown = polymers(draft), Counter()
+        for read in pdf["seq"]:
+            if hit := best_alignment(read, draft):
+                shown.update(read_polymers(draft, regions, read, hit))
+        out = pd.DataFrame([(-1, 0, draft, 0)] + [(k, extra, t, n) for (k, t, extra), n in shown.items()], columns=["_at", "_kind", "_text", "_votes"])
+        return out.assign(**{k: pdf[k].iloc[0] for k in [*keys, "_own", "_n"]})
+
+    def lengths(pdf: pd.DataFrame) -> pd.DataFrame:
+        draft = pdf["_text"][pdf["_at"] < 0].iloc[0]
+        seen: dict[int, Counter] = {}
+        for at, kind, text, n in zip(pdf["_at"], pdf["_kind"], pdf["_text"], pdf["_votes"], strict=True):
+            if at >= 0:
+                seen.setdefault(at, Counter())[text, kind] += n
+        return pdf[[*keys, "_own", "_n"]].head(1).assign(_draft=recalibrate([draft[a : b + 1] for a, b in polymers(draft)], seen))
 
     own = f"_own {fields['seg_id']}, _n long"
-    for _ in range(rounds):
+    for show, settle in [(count, fold)] * rounds + [(runs, lengths)]:
         part = F.pmod(F.xxhash64("seg_id"), F.ceil(F.col("_n") / SLICE)).alias("_part")
-        counted = rows.join(drafts, keys).groupBy(*keys, part).applyInPandas(count, f"{head}, {own}, _at int, _kind int, _text string, _votes long")
-        summed = counted.groupBy(*keys, "_own", "_n", "_at", "_kind", "_text").agg(F.sum("_votes").alias("_votes"))
-        drafts = summed.groupBy(*keys).applyInPandas(fold, f"{head}, {own}, _draft string")
-    return drafts.select(*keys, F.regexp_replace("_draft", "N", "").alias("assembly"), (F.col("_n") > 1).alias("is_assembled"))
+        shown = rows.join(drafts, keys).groupBy(*keys, part).applyInPandas(show, f"{head}, {own}, _at int, _kind int, _text string, _votes long")
+        summed = shown.groupBy(*keys, "_own", "_n", "_at", "_kind", "_text").agg(F.sum("_votes").alias("_votes"))
+        drafts = summed.groupBy(*keys).applyInPandas(settle, f"{head}, {own}, _draft string")
+    text = F.regexp_replace("_draft", "N", "")
+    return drafts.select(*keys, text.alias("assembly"), ((F.col("_n") > 1) & (F.length(text) >= node_len)).alias("is_assembled"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -61,8 +63,46 @@ def length_mode(df: DataFrame, keys: list[str], length: str, reference) -> DataF
     return top.select(*keys, best.alias("length"), a["_n"].alias("n"))
 
 
+def polymers(seq: str) -> list[tuple[int, int]]:
+    """First and last place of the maximal runs of one base."""
+    return [(m.start(), m.end() - 1) for m in re.finditer(r"(?s)(.)\1*", seq)]
+
+
+def read_polymers(draft: str, regions: list[tuple[int, int]], read: str, hit: dict) -> list[tuple[int, str, int]]:
+    """(region, text, extra) that a read shows of the runs of a draft it covers from end to end.
+
+    Pairs that have both positions bound a run: what a read inserts beside it
+    belongs to it, and where its first or last base is deleted, the next pair
+    inside the run stands in; a longer run that has none isn't covered.  Extra
+    is 1 if the run is as long as in the draft and the base before it is equal.
+    """
+    query, ref, i, j = [], [], hit["q_start"], hit["t_start"]
+    for n, op in ((int(n), op) for n, op in re.findall(r"([0-9]+)([MID])", hit["cigar"])):
+        if op == "M":
+            query += range(i, i + n)
+            ref += range(j, j + n)
+        i, j = i + n * (op != "D"), j + n * (op != "I")
+    out = []
+    for k, (a, b) in enumerate(regions):
+        if a < hit["t_start"] or b >= hit["t_end"]:
+            continue
+        left, first = bisect_left(ref, a) - 1, bisect_left(ref, a)  # the last pair before the run, the first in or after it
+        last, right = bisect_right(ref, b) - 1, bisect_right(ref, b)
+        has_a, has_b = first < len(ref) and ref[first] == a, last >= 0 and ref[last] == b
+        if a == b and not has_a:
+            out.append((k, "", 0))
+            continue
+        if not has_a and (first >= len(ref) or ref[first] > b) or not has_b and (last < 0 or ref[last] < a):
+            continue
+        start = query[left] + 1 if has_a and left >= 0 else query[first]
+        end = query[right] - 1 if has_b and right < len(ref) else query[last]
+        same = end - start == b - a
+        out.append((k, read[start : end + 1], int(same and start > 0 and read[start - 1] == draft[a])))
+    return out
+
+
 def recalibrate(regions: list[str], seen: dict[int, list[tuple[str, int]]], longest: int = 20) -> str:
-    """A sequence from its homopolymer regions and, for each, the (text, extra length) that reads show.
+    """A sequence from its homopolymer regions and, for each, the (text, extra length) that reads show, as a list or with counts.
 
     Regions that are longer than `longest` or unseen are copied.  After a region
     that changes its length, the next region that has a vote is copied too.
@@ -77,19 +117,27 @@ def recalibrate(regions: list[str], seen: dict[int, list[tuple[str, int]]], long
             out.append(text)
             skip = False
             continue
-        counts = Counter(len(t) + extra for t, extra in reads)
+        shown = Counter(reads)
+        counts: Counter = Counter()
+        for t, extra in sorted(shown):
+            counts[len(t) + extra] += shown[t, extra]
         (size, n), *rest = counts.most_common(2)
         if size != len(text) and any(k == len(text) and m == n for k, m in rest):
             size = len(text)
         if size == 0:
             skip = True
             continue
-        votes = [t for t, _ in reads if len(t) == size]
+        votes: Counter = Counter()
+        for (t, _), n in shown.items():
+            if len(t) == size:
+                votes[t] += n
         if not votes:
             out.append(text)
             continue
         for at in range(size):
-            c = Counter(t[at] for t in votes)
+            c: Counter = Counter()
+            for t, n in votes.items():
+                c[t[at]] += n
             top = max(c.values())
             ref = text[min(at, len(text) - 1)]
             out.append(ref if c[ref] == top else min(b for b, m in c.items() if m == top))

@@ -19,10 +19,12 @@ from pyspark.sql import functions as F
 
 from ..functions import cigar as cg
 from ..functions import flags, scoring
+from ..functions.scoring import Scorer
 from ..functions import sequences as sq
 from ..lineage import Scratch
 from ..operators import assembly, clusters, cover, intervals, merge, seqjoin
 from ..operators.runs import flank_run, scoring_runs
+from ..sources.text import tiles
 from . import annotate as an
 
 
@@ -64,6 +66,8 @@ class Tables:
 
 
 KEYS = ["tid", "idx"]
+#: Bases beside a breakpoint; bases of a tile of a contig, which overlaps the next one by 4 * FLANK.
+FLANK, TILE = 500, 65_536
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -116,8 +120,8 @@ def te_alignments(segs: DataFrame, t: Tables, cfg: CallerConfig) -> DataFrame:
                        cg.mapped_length(F.col("cigar")).alias("map_len"), cg.divergence(F.col("cigar"), F.col("nm"), F.lit(0)).alias("divergence"))
 
 
-def build(t: Tables, cfg: CallerConfig, high: Column | None = None, low: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """(clusters with features, probability and quality; segments with their cluster)."""
+def build(t: Tables, cfg: CallerConfig, high: Column | Scorer | None = None, low: Column | Scorer | None = None) -> tuple[DataFrame, DataFrame]:
+    """(clusters with features, probability and quality; segments with their cluster); models are Columns or batch models."""
     div, depth, length = background(t)
     segs = segments(t, cfg)
     rolled = cover.roll_up(te_alignments(segs, t, cfg))
@@ -132,38 +136,74 @@ def build(t: Tables, cfg: CallerConfig, high: Column | None = None, low: Column
     black = intervals.semi(spans, named.where("kind = 'blacklist'").drop("kind"), "tid", KEYS, cfg.blacklist_slack, 4096).select(*KEYS, F.lit(True).alias("is_in_blacklist"))
     c = c.join(over.select(*KEYS, intervals.location_type(F.col("n"), F.col("min_dist"), cfg.location_slack).alias("location_type")), KEYS).join(repeat.select(*KEYS, F.col("rep").alias("rep_tid")), KEYS)
     c = c.join(black, KEYS, "left").withColumn("is_in_blacklist", F.coalesce("is_in_blacklist", F.lit(False)))
-    c = scoring.gated(c, high if high is not None else scoring.logistic(cfg.high, cfg.high_bias), low if low is not None else scoring.logistic(cfg.low, cfg.low_bias))
+    c = scoring.gated(c, high if high is not None else scoring.logistic(cfg.high, cfg.high_bias), low if low is not None else scoring.logistic(cfg.low, cfg.low_bias), keys=KEYS)
     return c.withColumn("low_quality", clusters.is_low_quality(F.col("is_in_blacklist"), F.col("probability"), F.col("num_seg"))), segs
 
 
 def assemblies(good: DataFrame, segs: DataFrame, t: Tables, cfg: CallerConfig) -> DataFrame:
-    s = segs.join(good.select(*KEYS, "rep_seg_id"), KEYS).join(t.reads.select("aln_id", "seq"), "aln_id")
+    """KEYS, contigs: one contig a cluster, or two (left flank, right flank) where reads clip on both sides and none spans.
+
+    Clusters whose reads don't make a contig keep the representative read.
+    """
+    two = (F.col("num_middle") == 0) & (F.col("num_left") > 0) & (F.col("num_right") > 0)
+    contig = F.when(F.col("_two") & (F.col("seg_type") == flags.LEFT_CLIP), 1).otherwise(0).alias("contig")
+    s = segs.join(good.select(*KEYS, "rep_seg_id", two.alias("_two")), KEYS).select("*", contig)
+    longest = F.struct(F.col("seg_id") == F.col("rep_seg_id"), F.col("query_end") - F.col("query_start"), -F.col("seg_id"))
+    reps = s.groupBy(*KEYS, "contig").agg(F.max_by("seg_id", longest).alias("_rep"))
+    s = s.join(reps, [*KEYS, "contig"]).join(t.reads.select("aln_id", "seq"), "aln_id")
     region = sq.trim_region(F.col("query_start"), F.col("query_end"), F.length("seq"), cfg.read_flank)
-    rows = s.select(*KEYS, "seg_id", (F.col("seg_id") == F.col("rep_seg_id")).alias("is_rep"), region.alias("r"), "seq").select(*KEYS, "seg_id", "is_rep", sq.sub(F.col("seq"), F.col("r.start"), F.col("r.end")).alias("seq"))
-    return assembly.assemble(cut(rows, "reads"), KEYS)
+    rows = s.select(*KEYS, "contig", "seg_id", (F.col("seg_id") == F.col("_rep")).alias("is_rep"), region.alias("r"), "seq").select(*KEYS, "contig", "seg_id", "is_rep", sq.sub(F.col("seq"), F.col("r.start"), F.col("r.end")).alias("seq"))
+    done = assembly.assemble(cut(rows, "reads"), [*KEYS, "contig"], edge=cfg.min_edge, node_len=cfg.node_len)
+    return done.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("contig", "assembly", "is_assembled"))).alias("contigs"))  # at most two
 
 
 def _clip(cigar: Column, last: bool) -> Column:
     return F.coalesce(F.regexp_extract(cigar, r"([0-9]+)S$" if last else r"^([0-9]+)S", 1).try_cast("int"), F.lit(0))
 
 
+def _reference(c: DataFrame, t: Tables, at: Column) -> DataFrame:
+    """The rows with the tile of their contig that holds `at` and what follows, and where it begins."""
+    parts = tiles(t.refs, TILE, 4 * FLANK, "tid").select("tid", F.col("tile").alias("_tile"), F.col("offset").alias("ref_offset"), F.col("seq").alias("ref_seq"))
+    return c.withColumn("_tile", F.floor(at / TILE).cast("int")).join(parts, ["tid", "_tile"]).drop("_tile")
+
+
 def insertions(good: DataFrame, assembled: DataFrame, t: Tables) -> DataFrame:
-    """Clusters with assembly, bounds of the insertion on it, region bits, insertion and flank sequences."""
-    c = good.join(assembled, KEYS).join(t.refs.select("tid", F.col("seq").alias("ref_seq")), "tid")
-    f = sq.flanks(F.col("ref_seq"), F.col("ref_mode"), F.col("ref_mode"))
-    lo = F.greatest(F.col("ref_mode") - 500, F.lit(0))
-    c = c.withColumns({"left_flank": f["left"], "right_flank": f["right"], "local_start": lo, "local": sq.sub(F.col("ref_seq"), lo, F.col("ref_mode") + 500)}).drop("ref_seq")
-    c = seqjoin.align_pairs(c, {"la": ("left_flank", "assembly"), "ra": ("right_flank", "assembly")})
+    """Clusters with their contigs, bounds of the insertion on them, region bits, insertion and flank sequences."""
+    lo = F.greatest(F.col("ref_mode") - FLANK, F.lit(0))
+    c = _reference(good.join(assembled, KEYS), t, lo)
+    at = F.col("ref_mode") - F.col("ref_offset")
+    f = sq.flanks(F.col("ref_seq"), at, at, FLANK)
+    c = c.withColumns({"left_flank": f["left"], "right_flank": f["right"], "local_start": lo, "local": sq.sub(F.col("ref_seq"), lo - F.col("ref_offset"), at + FLANK)}).drop("ref_seq", "ref_offset")
+    contig = lambda i: F.try_element_at("contigs", F.lit(i + 1))["assembly"]
+    c = c.withColumns({"a0": contig(0), "a1": contig(1), "is_assembled": F.exists("contigs", lambda x: x["is_assembled"])}).drop("contigs")
+    c = seqjoin.align_pairs(c, {"l0": ("left_flank", "a0"), "r0": ("right_flank", "a0"), "l1": ("left_flank", "a1"), "r1": ("right_flank", "a1")})
+    hit = lambda side, i: F.when(F.col(f"{side}{i}").isNotNull(), F.struct(F.lit(i).alias("contig"), _clip(F.col(f"{side}{i}.cigar"), side == "l").alias("clip"), F.col(f"{side}{i}").alias("x")))
+    best = lambda side: an.flank_hit(F.filter(F.array(hit(side, 0), hit(side, 1)), lambda x: x.isNotNull()))
+    c = c.withColumns({"la": best("l"), "ra": best("r")}).drop("l0", "r0", "l1", "r1")
     # the flank that touches the insertion must be aligned there, up to a short clip on that side
-    c = c.withColumns({"tid1": F.when(F.col("la").isNotNull(), 0), "tid2": F.when(F.col("ra").isNotNull(), 0), "left_most": F.col("la.t_end"), "right_most": F.col("ra.t_start")})
-    region = an.region_bits(F.col("tid1"), F.col("tid2"), F.col("left_most"), F.col("right_most"), _clip(F.col("la.cigar"), False), _clip(F.col("ra.cigar"), True))
-    c = c.withColumn("flag", region + F.when(F.col("is_assembled"), F.lit(flags.BIT["ASSEMBLED"])).otherwise(F.lit(0)).cast("long")).where(flags.has(F.col("flag"), "LEFT_FLANK_MAP", "RIGHT_FLANK_MAP", "DIFF_FLANK_MAP", "SAME_FLANK_MAP"))
-    left_only, right_only = flags.has(F.col("flag"), "LEFT_FLANK_MAP"), flags.has(F.col("flag"), "RIGHT_FLANK_MAP")
-    n = F.length("assembly")
-    begin, end = F.when(right_only, F.lit(0)).otherwise(F.col("left_most")), F.when(left_only, n).otherwise(F.col("right_most"))
-    up = F.when(right_only, F.lit(".")).otherwise(sq.sub(F.col("assembly"), begin - 500, begin))
-    down = F.when(left_only, F.lit(".")).otherwise(sq.sub(F.col("assembly"), end, end + 500))
-    return c.withColumns({"ins_seq": sq.sub(F.col("assembly"), begin, end), "upstream": up, "downstream": down}).where(F.length("ins_seq") > 0)
+    c = c.withColumns({"tid1": F.col("la.contig"), "tid2": F.col("ra.contig"), "left_most": F.col("la.x.t_end"), "right_most": F.col("ra.x.t_start")})
+    region = an.region_bits(F.col("tid1"), F.col("tid2"), F.col("left_most"), F.col("right_most"), _clip(F.col("la.x.cigar"), False), _clip(F.col("ra.x.cigar"), True))
+    own = lambda tid: F.when(F.col(tid) == 1, F.col("a1")).when(F.col(tid) == 0, F.col("a0"))
+    c = c.withColumns({"flag": region + F.when(F.col("is_assembled"), F.lit(flags.BIT["ASSEMBLED"])).otherwise(F.lit(0)).cast("long"), "left_asm": own("tid1"), "right_asm": own("tid2")}).drop("a0", "a1", "la", "ra")
+    c = _rescued(c.where(flags.has(F.col("flag"), "LEFT_FLANK_MAP", "RIGHT_FLANK_MAP", "DIFF_FLANK_MAP", "SAME_FLANK_MAP")))
+    bounds = (F.col("flag"), F.col("left_asm"), F.col("right_asm"), F.col("left_most"), F.col("right_most"))
+    beside = an.flank_sequences(*bounds, FLANK)
+    return c.withColumns({"ins_seq": an.insertion_sequence(*bounds), "upstream": beside["upstream"], "downstream": beside["downstream"]}).where(F.length("ins_seq") > 0)
+
+
+def _rescued(c: DataFrame) -> DataFrame:
+    """Insertions that one flank bounds, whose contig's other end may lie beside the breakpoint too."""
+    left = flags.has(F.col("flag"), "LEFT_FLANK_MAP")
+    one = F.when(left, F.col("left_asm")).when(flags.has(F.col("flag"), "RIGHT_FLANK_MAP"), F.col("right_asm"))
+    c = c.withColumn("one", one).withColumn("ends", an.contig_ends(F.col("flag"), F.col("one"), F.col("left_most"), F.col("right_most")))
+    c = seqjoin.align_pairs(c.withColumns({"end_l": F.col("ends.left"), "end_r": F.col("ends.right")}).drop("ends"), {"el": ("end_l", "local"), "er": ("end_r", "local")})
+    first, last = (lambda x: F.regexp_extract(x, r"^([0-9]+)", 1).try_cast("int")), (lambda x: F.regexp_extract(x, r"([0-9]+)[A-Z=]$", 1).try_cast("int"))
+    a = F.when(F.col("el").isNotNull(), F.struct(F.col("el.t_end").alias("end"), _clip(F.col("el.cigar"), False).alias("clip_out"), last(F.col("el.cigar")).alias("last"), F.length("end_l").alias("size")))
+    b = F.when(F.col("er").isNotNull(), F.struct(F.col("er.t_start").alias("start"), _clip(F.col("er.cigar"), True).alias("clip_out"), first(F.col("er.cigar")).alias("first"), F.length("end_r").alias("size")))
+    c = c.withColumn("reset", an.reset_one_flank(F.col("flag"), a, b, F.col("local_start"), F.col("ref_start"), F.col("ref_end"), F.length("one"), F.col("left_most"), F.col("right_most")))
+    both = F.col("reset.flag") != F.col("flag")
+    new = {"left_asm": F.when(both, F.col("one")).otherwise(F.col("left_asm")), "right_asm": F.when(both, F.col("one")).otherwise(F.col("right_asm")), "left_most": F.col("reset.left_most"), "right_most": F.col("reset.right_most")}
+    return c.withColumns(new).withColumn("flag", F.col("reset.flag")).drop("one", "end_l", "end_r", "el", "er", "reset")
 
 
 def _tails(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -211,8 +251,9 @@ def annotated(ins: DataFrame, t: Tables, cfg: CallerConfig) -> DataFrame:
     none = lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), F.lit(None).alias("reverse"), F.lit(0).alias("bits"), F.lit(None).alias("te_len"), F.lit(0).alias("cls"), F.lit(None).alias("te_tid"), F.lit(None).alias("ref_start"), F.lit(None).alias("ref_end"), F.lit(None).alias("score"), F.lit(None).alias("name"), F.lit(None).alias("ltr_len")).cast(ROW)  # noqa: E731, E501
     c = c.withColumn("rows", F.array_sort(F.concat("elements", F.transform("tails", none))))
     structure = an.structure_bits(F.col("rows"), F.length("ins_seq"), F.col("flag"), F.col("at_left"), F.col("at_right"))
-    first, last = F.element_at("elements", 1), F.element_at(F.array_sort(F.transform("elements", lambda e: F.struct(e["end"].alias("e"), e.alias("row")))), -1)["row"]
-    cls = F.when(first["ref_end"] - first["ref_start"] > last["ref_end"] - last["ref_start"], first["cls"]).otherwise(last["cls"])
+    outer = an.outermost(F.col("elements"))
+    first, last = outer["first"], outer["last"]
+    cls = an.insertion_class(first, last)
     single = F.size("elements") == 1
     own = F.aggregate("elements", F.lit(0).cast("bigint"), lambda a, e: a.bitwiseOR(e["bits"])).bitwiseAND(F.lit(flags.BIT["SELF_TO_SELF"]).cast("bigint"))
     solo = F.coalesce(an.solo_ltr(cls == flags.BIT["LTR"], single, first["ref_start"], first["ref_end"], first["te_len"], first["ltr_len"]), F.lit(False))
@@ -220,16 +261,26 @@ def annotated(ins: DataFrame, t: Tables, cfg: CallerConfig) -> DataFrame:
 
 
 def with_tsd(c: DataFrame, t: Tables) -> DataFrame:
-    """Reported start and end, and the duplicated target site, where both flanks are known."""
+    """Reported start and end, and the duplicated target site, where both flanks are known; the insertion, its flanks and annotations follow where the flanks turn out to end."""
     both = flags.has(F.col("flag"), "SAME_FLANK_MAP", "DIFF_FLANK_MAP")
-    left_end = F.col("left_most") + F.col("a_start")
-    right_start = F.col("right_most") - (F.length("ins_seq") - F.col("a_end"))
-    c = c.withColumns({"q_left": F.when(both, sq.sub(F.col("assembly"), F.col("left_most") - 100, left_end)), "q_right": F.when(both, sq.sub(F.col("assembly"), right_start, F.col("right_most") + 100))})
+    before, behind = F.col("a_start"), F.length("ins_seq") - F.col("a_end")
+    left_end, right_start = F.col("left_most") + before, F.col("right_most") - behind
+    ok = both & (left_end <= F.length("left_asm")) & (right_start >= 0)
+    c = c.withColumns({"q_left": F.when(ok, sq.sub(F.col("left_asm"), F.col("left_most") - 100, left_end)), "q_right": F.when(ok, sq.sub(F.col("right_asm"), right_start, F.col("right_most") + 100))})
     c = seqjoin.align_pairs(c, {"tl": ("q_left", "local"), "tr": ("q_right", "local")})
     lead, tail = _clip(F.col("tl.cigar"), False), _clip(F.col("tr.cigar"), True)
     call = an.tsd(F.col("ref_start"), F.col("ref_end"), F.when(lead <= 20, F.col("local_start") + F.col("tl.t_end")), F.when(tail <= 20, F.col("local_start") + F.col("tr.t_start")))
     c = c.withColumn("call", call).withColumns({"start": F.col("call.start"), "end": F.col("call.end")})
-    return c.withColumn("flag", F.col("flag").bitwiseOR(flags.bits_if(TSD=F.col("call.tsd"))))
+    # what isn't aligned of the queries is the insertion's: it begins and ends there, and positions on it move along
+    into = F.when(F.col("call.code").isin(1, 3), _clip(F.col("tl.cigar"), True) - before).otherwise(F.lit(0))
+    more = F.when(F.col("call.code").isin(2, 3), _clip(F.col("tr.cigar"), False) - behind).otherwise(F.lit(0))
+    c = c.withColumns({"into": into.cast("int"), "more": more.cast("int")})
+    c = c.withColumns({"left_most": F.col("left_most") - F.col("into"), "right_most": F.col("right_most") + F.col("more"), "rows": an.shifted(F.col("rows"), F.col("into"))})
+    bounds = (F.col("flag"), F.col("left_asm"), F.col("right_asm"), F.col("left_most"), F.col("right_most"))
+    beside, pad = an.flank_sequences(*bounds, FLANK), F.when(flags.has(F.col("flag"), "RIGHT_FLANK_MAP"), 50).otherwise(0)
+    # an insertion that is open on the left is shown behind 50 N
+    c = c.withColumns({"ins_seq": an.insertion_sequence(*bounds), "upstream": beside["upstream"], "downstream": beside["downstream"], "rows": an.shifted(F.col("rows"), pad)})
+    return c.withColumn("flag", F.col("flag").bitwiseOR(flags.bits_if(TSD=F.col("call.tsd")))).drop("into", "more")
 
 
 def genotyped(c: DataFrame, segs: DataFrame, t: Tables, cfg: CallerConfig) -> DataFrame:
@@ -243,13 +294,14 @@ def genotyped(c: DataFrame, segs: DataFrame, t: Tables, cfg: CallerConfig) -> Da
 def report(c: DataFrame, t: Tables) -> DataFrame:
     """The result table, one row for each insertion with an element."""
     flag = F.col("flag").bitwiseOR(flags.post_filter(F.col("flag"), F.col("clt_type")))
-    c = c.withColumn("flag", flag).select("*", *flags.decoded(flag)).join(t.contigs.select("tid", F.col("name").alias("chrom")), "tid").join(t.refs.select("tid", F.col("seq").alias("ref_seq")), "tid")
+    c = c.withColumn("flag", flag).select("*", *flags.decoded(flag)).join(t.contigs.select("tid", F.col("name").alias("chrom")), "tid")
+    c = _reference(c, t, F.col("start"))
     family = merge.ordered_names(F.transform("elements", lambda e: F.struct(e["te_tid"].alias("order"), e["name"].alias("name"))))
     c = c.withColumns({"leftclip_reads": F.col("num_left"), "spanning_reads": F.col("num_middle"), "rightclip_reads": F.col("num_right")})
     return c.select(
         "chrom", "start", "end", family.alias("family"), "frequency", an.strand(F.col("elements")).alias("strand"), flags.genotype(F.col("frequency")).alias("genotype"),
         "passed", an.query_regions(F.col("rows")).alias("query_region"), an.target_regions(F.col("rows")).alias("target_region"), F.col("num_seg_raw").alias("total_support"),
-        F.when(flags.has(F.col("flag"), "TSD"), sq.sub(F.col("ref_seq"), F.col("start"), F.col("end"))).otherwise(".").alias("tsd_seq"),
+        F.when(flags.has(F.col("flag"), "TSD"), sq.sub(F.col("ref_seq"), F.col("start") - F.col("ref_offset"), F.col("end") - F.col("ref_offset"))).otherwise(".").alias("tsd_seq"),
         sq.padded(F.col("ins_seq"), flags.has(F.col("flag"), "LEFT_FLANK_MAP"), flags.has(F.col("flag"), "RIGHT_FLANK_MAP")).alias("insertion_seq"), F.col("upstream").alias("upstream_seq"),
         F.col("downstream").alias("downstream_seq"), flags.extra_info().alias("extra_info"), "insertion_id", "flag", "probability",
     )
@@ -269,10 +321,10 @@ def ltr_length(hit: Column) -> Column:
     return F.when(ok, hit["t_end"] - hit["t_start"]).otherwise(0)
 
 
-def call(t: Tables, cfg: CallerConfig | None = None) -> DataFrame:
-    """From alignments to the result table; each stage is written to the shared folder, so that plans stay small and a lost executor costs one stage."""
+def call(t: Tables, cfg: CallerConfig | None = None, high: Column | Scorer | None = None, low: Column | Scorer | None = None) -> DataFrame:
+    """From alignments to the result table, with models for clusters of several reads and for the rest; each stage is written to the shared folder, so that plans stay small and a lost executor costs one stage."""
     cfg = cfg or CallerConfig()
-    built, segs = build(t, cfg)
+    built, segs = build(t, cfg, high, low)
     good = cut(built.where(~F.col("low_quality")), "clusters")
     found = cut(insertions(good, assemblies(good, segs, t, cfg), t), "insertions")
     named = cut(annotated(found, t, cfg), "annotations")

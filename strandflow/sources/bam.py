@@ -1,12 +1,21 @@
-"""BAM as a Spark data source: BGZF blocks, records, and partitions by contig from a .bai index."""
+"""BAM as a Spark data source: BGZF blocks, records in Arrow batches, and partitions and regions from a .bai index.
+
+An index says where records of a stretch of a contig begin, so that a contig is
+cut into partitions of about `split_bytes` of the file, and a region is read
+from its own places alone.  Without an index the file is one partition, since
+nothing else tells where a record begins.
+"""
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMA = "file_offset long, qname string, flag int, tid int, pos int, mapq int, cigar string, seq string, nm int, nn int, aln_score int, read_len int"
@@ -122,25 +131,83 @@ def records(b: Bgzf, end: int | None = None) -> Iterator[tuple]:
         yield at, name, flag, tid, pos, mapq, cigar, seq, tags["NM"], tags["nn"], tags["AS"], n_seq
 
 
-def index_ranges(f) -> list[tuple[int, int] | None]:
-    """For each contig the virtual offsets between which a .bai file places its records."""
-    raw = f.read()
-    if raw[:4] != b"BAI\1":
-        raise ValueError("not a BAI file")
-    at, out = 8, []
-    for _ in range(struct.unpack_from("<i", raw, 4)[0]):
-        n_bins = struct.unpack_from("<i", raw, at)[0]
-        at += 4
-        spans = []
-        for _ in range(n_bins):
-            number, n = struct.unpack_from("<Ii", raw, at)
-            at += 8
-            if number != 37450:  # the bin of totals
-                spans += [struct.unpack_from("<QQ", raw, at + 16 * k) for k in range(n)]
-            at += 16 * n
-        at += 4 + 8 * struct.unpack_from("<i", raw, at)[0]
-        out.append((min(s[0] for s in spans), max(s[1] for s in spans)) if spans else None)
-    return out
+class Index:
+    """A .bai file: by contig, the chunks of each bin, and the least offset of records that reach into each 16,384 bases."""
+
+    def __init__(self, f):
+        raw = f.read()
+        if raw[:4] != b"BAI\1":
+            raise ValueError("not a BAI file")
+        at = 8
+        self.bins: list[dict[int, list[tuple[int, int]]]] = []
+        self.linear: list[tuple[int, ...]] = []
+        for _ in range(struct.unpack_from("<i", raw, 4)[0]):
+            own: dict[int, list[tuple[int, int]]] = {}
+            n_bins = struct.unpack_from("<i", raw, at)[0]
+            at += 4
+            for _ in range(n_bins):
+                number, n = struct.unpack_from("<Ii", raw, at)
+                at += 8
+                if number != TOTALS:
+                    own[number] = [struct.unpack_from("<QQ", raw, at + 16 * k) for k in range(n)]
+                at += 16 * n
+            n = struct.unpack_from("<i", raw, at)[0]
+            self.bins.append(own)
+            self.linear.append(struct.unpack_from(f"<{n}Q", raw, at + 4))
+            at += 4 + 8 * n
+
+    def chunks(self, tid: int, beg: int = 0, end: int | None = None) -> list[tuple[int, int]]:
+        """Chunks, in order, that may hold records of a stretch of a contig."""
+        if not 0 <= tid < len(self.bins):
+            return []
+        found = sorted(c for number, own in self.bins[tid].items() if end is None or _reaches(number, beg, end) for c in own)
+        least = self.linear[tid][min(beg >> 14, len(self.linear[tid]) - 1)] if self.linear[tid] else 0
+        return [(a, b) for a, b in found if b > least]
+
+    def parts(self, tid: int, split_bytes: int, beg: int = 0, end: int | None = None) -> list[tuple[int, int]]:
+        """The same as disjoint ranges of about `split_bytes` of the file, cut where chunks begin."""
+        out: list[list[int]] = []
+        for a, b in self.chunks(tid, beg, end):
+            if out and (a >> 16) - (out[-1][0] >> 16) < split_bytes:
+                out[-1][1] = max(out[-1][1], b)
+            else:  # chunks of nested bins overlap
+                before = out[-1][1] if out else 0
+                if before > a:
+                    out[-1][1] = a
+                out.append([a, max(b, before)])
+        return [(a, b) for a, b in out]
+
+
+# The bin of totals, and the tree of bins as (first number, bits of a bin's width).
+TOTALS, LEVELS = 37450, ((0, 29), (1, 26), (9, 23), (73, 20), (585, 17), (4681, 14))
+
+
+def _reaches(number: int, beg: int, end: int) -> bool:
+    first, bits = next(x for x in reversed(LEVELS) if number >= x[0])
+    return (number - first) << bits < end and (number - first + 1) << bits > beg
+
+
+_ARROW = pa.schema([(n, {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}[k]) for n, k in (x.split() for x in SCHEMA.split(", "))])
+BATCH = 2_048
+
+
+def _batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    some: list[tuple] = []
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some, strict=True), _ARROW, strict=True)], schema=_ARROW)
+
+    for row in rows:
+        some.append(row)
+        if len(some) == BATCH:
+            yield batch()
+            some = []
+    if some:
+        yield batch()
+
+
+def _span(cigar: str) -> int:
+    return max(1, sum(int(n) for n, _ in re.findall(r"([0-9]+)([MDN=X])", cigar)))
 
 
 class _Part(InputPartition):
@@ -150,24 +217,28 @@ class _Part(InputPartition):
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
-        self.path = options["path"]
-        self.index = options.get("index")
-        self.only = int(options["tid"]) if options.get("tid") else None
+        number = lambda name: int(options[name]) if options.get(name) else None
+        self.path, self.index = options["path"], options.get("index")
+        self.only, self.beg, self.stop = number("tid"), number("beg") or 0, number("end")
+        self.split = number("split_bytes") or 32 << 20
 
     def partitions(self):
-        with _open(self.path) as f:
-            _, first = header(f)
         if not self.index:
-            return [_Part(self.path, self.only, first, None)]
+            with _open(self.path) as f:
+                return [_Part(self.path, self.only, header(f)[1], None)]
         with _open(self.index) as f:
-            ranges = index_ranges(f)
-        return [_Part(self.path, tid, *r) for tid, r in enumerate(ranges) if r and self.only in (None, tid)]
+            index = Index(f)
+        tids = range(len(index.bins)) if self.only is None else [self.only]
+        return [_Part(self.path, tid, *r) for tid in tids for r in index.parts(tid, self.split, self.beg, self.stop)] or [_Part(self.path, -2, 0, 0)]
 
     def read(self, part):
+        if part.end == 0:
+            return
         with _open(part.path) as f:
-            for row in records(Bgzf(f, part.start), part.end):
-                if part.tid is None or row[3] == part.tid:
-                    yield row
+            rows = (r for r in records(Bgzf(f, part.start), part.end) if part.tid is None or r[3] == part.tid)
+            if self.beg or self.stop is not None:
+                rows = (r for r in rows if (self.stop is None or r[4] < self.stop) and r[4] + _span(r[6]) > self.beg)
+            yield from _batches(rows)
 
 
 class BamSource(DataSource):
@@ -182,17 +253,42 @@ class BamSource(DataSource):
         return _Reader(self.options)
 
 
-def read_bam(spark: SparkSession, path: str, index: str | None = None, tid: int | None = None) -> DataFrame:
-    """All records, or with an index one partition for each contig (unplaced records need a read without index)."""
+def read_bam(spark: SparkSession, path: str, index: str | None = None, tid: int | None = None, beg: int | None = None, end: int | None = None, split_bytes: int | None = None) -> DataFrame:
+    """All records, those of a contig, or with `beg` and `end` those that overlap a stretch of it.
+
+    With an index, partitions are ranges of the file; unplaced records need a
+    read without index.
+    """
     spark.dataSource.register(BamSource)
     reader = spark.read.format("bam").option("path", path)
-    if index:
-        reader = reader.option("index", index)
-    if tid is not None:
-        reader = reader.option("tid", str(tid))
+    for name, value in (("index", index), ("tid", tid), ("beg", beg), ("end", end), ("split_bytes", split_bytes)):
+        if value is not None:
+            reader = reader.option(name, str(value))
     return reader.load()
 
 
+def fetch(offsets: DataFrame, path: str, offset: str = "file_offset") -> DataFrame:
+    """The records at the given offsets, one for each row; rows are dealt by ranges, so that a task reads on in one part of the file.  Null offsets give no row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows():
+            with _open(path) as f:
+                b, known = None, {}
+                for batch in batches:
+                    for at in batch.column(0).to_pylist():
+                        if b is None or b.block != at >> 16:
+                            b = Bgzf(f, at)
+                        else:
+                            b.at = at & 0xFFFF  # the same block is still there
+                        if at not in known:
+                            known = {at: next(records(b))}
+                        yield known[at]
+
+        yield from _batches(rows())
+
+    return offsets.where(F.col(offset).isNotNull()).select(F.col(offset).cast("long").alias("o")).repartitionByRange("o").sortWithinPartitions("o").mapInArrow(run, SCHEMA)
+
+
 def contigs(spark: SparkSession, path: str) -> DataFrame:
     with _open(path) as f:
         rows, _ = header(f)
@@ -210,8 +306,6 @@ def _bin(start: int, end: int) -> int:
 
 def write_bam(path: str, contig_rows: list[tuple[str, int]], rows: list[dict], index: str | None = None, block: int = 48_000) -> None:
     """Write records (sorted by tid and pos here) to a local BAM file, for exchange and tests."""
-    import re
-
     rows = sorted(rows, key=lambda r: (r["tid"] < 0, r["tid"], r["pos"]))
     out, pending, places = bytearray(), bytearray(), []
 

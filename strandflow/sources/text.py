@@ -29,10 +29,10 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("_r", rank).join(before, "_split").select((F.col("_before") + F.col("_r") - 1).cast("int").alias("ordinal"), "name", "seq", F.length("seq").alias("length"))
 
 
-def tiles(refs: DataFrame, size: int = 65_536, overlap: int = 2_000) -> DataFrame:
-    """Contigs in overlapping tiles (name, tile, offset, seq), so that a region is fetched without its whole contig."""
+def tiles(refs: DataFrame, size: int = 65_536, overlap: int = 2_000, key: str = "name") -> DataFrame:
+    """Contigs in overlapping tiles (key, tile, offset, seq), so that a region is fetched without its whole contig."""
     at = F.explode(F.sequence(F.lit(0), F.greatest(F.length("seq") - 1, F.lit(0)), F.lit(size)))
-    return refs.select("name", "seq", at.alias("offset")).select("name", (F.col("offset") / size).cast("int").alias("tile"), "offset", F.substring("seq", F.col("offset") + 1, F.lit(size + overlap)).alias("seq"))
+    return refs.select(key, "seq", at.alias("offset")).select(key, (F.col("offset") / size).cast("int").alias("tile"), "offset", F.substring("seq", F.col("offset") + 1, F.lit(size + overlap)).alias("seq"))
 
 
 def fasta_index(refs: DataFrame, *more: str) -> DataFrame:

@@ -245,3 +245,15 @@ def test_flank_runs_are_those_of_the_fold(spark):
     rows = [(0, "AAAAAAAACGT"), (1, "CGTCGTCGTCGT"), (2, "CGCGTTTTTTTT"), (3, ""), (4, None)]
     got = {r.i: (r.at_start, r.at_end) for r in runs.with_flank_runs(spark.createDataFrame(rows, "i int, s string"), "s", 20).collect()}
     assert got == {0: (True, False), 1: (False, False), 2: (False, True), 3: (False, False), 4: (None, None)}
+
+
+def test_read_homopolymers_follow_the_borders():
+    draft = "GCAAATTCG"
+    regions = consensus.polymers(draft)
+    assert regions == [(0, 0), (1, 1), (2, 4), (5, 6), (7, 7), (8, 8)]
+    shown = lambda read, cigar: {k: (t, x) for k, t, x in consensus.read_polymers(draft, regions, read, {"q_start": 0, "t_start": 0, "t_end": len(draft), "cigar": cigar})}
+    assert {k: t for k, (t, _) in shown(draft, "9M").items()} == {0: "G", 1: "C", 2: "AAA", 3: "TT", 4: "C", 5: "G"}
+    assert shown("GCAAAATTCG", "2M1I7M")[2] == ("AAAA", 0)  # inserted beside the run
+    assert shown("GCAATTCG", "2M1D6M")[2] == ("AA", 0)  # its first base is deleted
+    assert shown("GAAATTCG", "1M1D7M")[1] == ("", 0) and shown("GCTTCG", "2M3D4M").get(2) is None
+    assert shown("GCAAATTCG", "9M")[1] == ("C", 0) and consensus.read_polymers("AAC", [(0, 1), (2, 2)], "AAAC", {"q_start": 1, "t_start": 0, "t_end": 3, "cigar": "1S3M"})[0] == (0, "AA", 1)

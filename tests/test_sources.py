@@ -41,3 +41,21 @@ def test_bam_round_trip_with_and_without_index(spark, tmp_path):
     (tmp_path / "no.bam").write_bytes(b"nothing of the kind")
     with pytest.raises(ValueError, match="not a BGZF block"):
         bam.contigs(spark, str(tmp_path / "no.bam"))
+
+
+def test_bam_parts_regions_and_single_records(spark, tmp_path):
+    import random
+
+    rng = random.Random(3)
+    rows = [{"qname": f"r{i}", "flag": 0, "tid": rng.randrange(2), "pos": rng.randrange(0, 400_000), "mapq": 60, "cigar": "50M10I40M", "seq": "ACGT" * 25, "nm": 1, "nn": 0, "aln_score": 9} for i in range(3_000)]
+    path, index = str(tmp_path / "a.bam"), str(tmp_path / "a.bai")
+    bam.write_bam(path, [("one", 400_200), ("two", 400_200)], rows, index, block=3000)
+    key = lambda df: sorted((r.qname, r.tid, r.pos) for r in df.collect())
+    want = sorted((r["qname"], r["tid"], r["pos"]) for r in rows)
+    split = bam.read_bam(spark, path, index, split_bytes=4_000)
+    assert key(split) == want and split.rdd.getNumPartitions() > 8
+    for beg, end in ((0, 1), (100_000, 130_000), (131_072, 131_073), (399_999, 500_000)):
+        assert key(bam.read_bam(spark, path, index, 1, beg, end)) == [x for x in want if x[1] == 1 and x[2] < end and x[2] + 90 > beg]
+    assert bam.read_bam(spark, path, index, 7).count() == 0
+    some = split.where("pos % 7 = 0").select("file_offset")
+    assert key(bam.fetch(some.unionByName(some.limit(0)), path)) == [x for x in want if x[2] % 7 == 0]
