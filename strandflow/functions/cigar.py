@@ -128,8 +128,12 @@ def pair_totals(cigar: Column, pos: Column) -> Column:
         w = Walk(cigars)
         row, q, r, has_q, has_r = _pairs(w, positions.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False))
         n = np.bincount(row, minlength=len(w.n))
-        first = np.minimum(np.cumsum(n) - n, max(0, len(row) - 1))
-        sums = lambda v: np.where(n > 0, np.add.reduceat(v, first), 0) if len(v) else np.zeros(len(n), np.int64)
+        ends = np.cumsum(n)
+
+        def sums(v: np.ndarray) -> np.ndarray:
+            upto = np.concatenate([[0], np.cumsum(v)])
+            return upto[ends] - upto[ends - n]
+
         both = has_q & has_r
         found = (n, n - sums(has_q.astype(np.int64)), n - sums(has_r.astype(np.int64)), sums(np.where(has_q, q, 0)), sums(np.where(has_r, r, 0)), sums(np.where(both, q * r, 0)))
         none = (sums(has_q.astype(np.int64)) == 0, sums(has_r.astype(np.int64)) == 0, sums(both.astype(np.int64)) == 0)

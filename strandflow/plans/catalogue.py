@@ -147,7 +147,7 @@ k AS (SELECT *, e - greatest(s, coalesce(prev, s)) AS added FROM p WHERE prev IS
 SELECT l_suppkey, count(*) AS n, CAST(sum(added) AS BIGINT) AS covered, round(sum(score / q), 3) AS score FROM k GROUP BY l_suppkey""")
 def running_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = _t(spark, sf_dir, "lineitem").select("l_suppkey", _days("l_shipdate").cast("long").alias("s"), F.col("l_quantity").cast("long").alias("q"), F.col("l_extendedprice").alias("score"), "l_orderkey", "l_linenumber", "l_partkey").withColumn("e", F.col("s") + F.col("q"))
-    c = cover.running_cover(li, ["l_suppkey"], "s", "e", ["score", "e", "l_orderkey", "l_linenumber", "l_partkey"]).where("counted")
+    c = cover.running_cover(li, ["l_suppkey"], "s", "e", ["score", "e", "l_orderkey", "l_linenumber", "l_partkey"], bin_width=90).where("counted")
     return c.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"), F.sum("added").alias("covered"), _r(F.sum(F.col("score") / F.col("q")), "score", 3))
 
 

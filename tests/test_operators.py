@@ -27,10 +27,21 @@ def test_gap_clusters_with_and_without_bins(spark):
         assert got == want
 
 
+def test_pair_totals_beside_cigars_without_pairs(spark):
+    cigars = ["3M", "5S", None, "", "2M1D2M1I", "10H", None]
+    rows = spark.createDataFrame(list(enumerate(cigars)), "i int, cigar string").coalesce(1)
+    got = {r.i: r.t for r in rows.select("i", cg.pair_totals(F.col("cigar"), F.lit(10)).alias("t")).collect()}
+    assert tuple(got[0]) == (3, 0, 0, 0 + 1 + 2, 10 + 11 + 12, 0 * 10 + 1 * 11 + 2 * 12)
+    assert tuple(got[4]) == (6, 1, 1, 0 + 1 + 2 + 3 + 4, 10 + 11 + 12 + 13 + 14, 11 + 2 * 13 + 3 * 14)
+    assert all(tuple(got[i]) == (0, 0, 0, None, None, None) for i in (1, 2, 3, 5, 6))
+
+
 def test_running_cover_is_the_fold(spark):
     rng = random.Random(2)
     rows = [(g, s, s + rng.randrange(1, 60), i) for i, (g, s) in enumerate((rng.randrange(9), rng.randrange(300)) for _ in range(300))]
-    got = {r.i: (r.counted, r.added) for r in cover.running_cover(spark.createDataFrame(rows, "g int, s int, e int, i int"), ["g"], "s", "e", ["e", "i"]).collect()}
+    df = spark.createDataFrame(rows, "g int, s int, e int, i int")
+    got, binned = ({r.i: (r.counted, r.added) for r in cover.running_cover(df, ["g"], "s", "e", ["e", "i"], width).collect()} for width in (None, 40))
+    assert got == binned
     top = {}
     for g, s, e, i in sorted(rows):
         prev = top.get(g)
