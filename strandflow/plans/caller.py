@@ -143,17 +143,20 @@ def build(t: Tables, cfg: CallerConfig, high: Column | Scorer | None = None, low
 def assemblies(good: DataFrame, segs: DataFrame, t: Tables, cfg: CallerConfig) -> DataFrame:
     """KEYS, contigs: one contig a cluster, or two (left flank, right flank) where reads clip on both sides and none spans.
 
-    Clusters whose reads don't make a contig keep the representative read.
+    Clusters of a single read, and those whose reads don't make a contig, keep the representative read.
     """
-    two = (F.col("num_middle") == 0) & (F.col("num_left") > 0) & (F.col("num_right") > 0)
+    low = clusters.is_low_frequency(F.col("clt_type"))
+    two = ~low & (F.col("num_middle") == 0) & (F.col("num_left") > 0) & (F.col("num_right") > 0)
     contig = F.when(F.col("_two") & (F.col("seg_type") == flags.LEFT_CLIP), 1).otherwise(0).alias("contig")
-    s = segs.join(good.select(*KEYS, "rep_seg_id", two.alias("_two")), KEYS).select("*", contig)
+    s = segs.join(good.select(*KEYS, "rep_seg_id", two.alias("_two"), low.alias("_low")), KEYS).where(~F.col("_low") | (F.col("seg_id") == F.col("rep_seg_id"))).select("*", contig)
     longest = F.struct(F.col("seg_id") == F.col("rep_seg_id"), F.col("query_end") - F.col("query_start"), -F.col("seg_id"))
     reps = s.groupBy(*KEYS, "contig").agg(F.max_by("seg_id", longest).alias("_rep"))
     s = s.join(reps, [*KEYS, "contig"]).join(t.reads.select("aln_id", "seq"), "aln_id")
     region = sq.trim_region(F.col("query_start"), F.col("query_end"), F.length("seq"), cfg.read_flank)
-    rows = s.select(*KEYS, "contig", "seg_id", (F.col("seg_id") == F.col("_rep")).alias("is_rep"), region.alias("r"), "seq").select(*KEYS, "contig", "seg_id", "is_rep", sq.sub(F.col("seq"), F.col("r.start"), F.col("r.end")).alias("seq"))
-    done = assembly.assemble(cut(rows, "reads"), [*KEYS, "contig"], edge=cfg.min_edge, node_len=cfg.node_len)
+    rows = s.select(*KEYS, "contig", "seg_id", (F.col("seg_id") == F.col("_rep")).alias("is_rep"), region.alias("r"), "seq", "_low").select(*KEYS, "contig", "seg_id", "is_rep", sq.sub(F.col("seq"), F.col("r.start"), F.col("r.end")).alias("seq"), "_low")
+    rows = cut(rows, "reads")
+    done = assembly.assemble(rows.where("not _low").drop("_low"), [*KEYS, "contig"], edge=cfg.min_edge, node_len=cfg.node_len)
+    done = done.unionByName(rows.where("_low").select(*KEYS, "contig", F.col("seq").alias("assembly"), F.lit(False).alias("is_assembled")))
     return done.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("contig", "assembly", "is_assembled"))).alias("contigs"))  # at most two
 
 

@@ -99,3 +99,18 @@ def test_batch_models_can_be_given(spark, tmp_path):
     built, _ = caller.build(t, caller.CallerConfig(), yes, no)
     p = {(r.clt_type == 0): round(r.probability, 3) for r in built.where("te_aligned_frac >= 0.8 and not is_in_blacklist").collect()}
     assert p.pop(True) == 1.0 and set(p.values()) <= {0.0}
+
+
+def test_clusters_of_one_read_keep_it(spark):
+    import random
+
+    rng = random.Random(4)
+    dna = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    one, many = dna(900), dna(900)
+    t, _ = tables(spark)
+    t.reads = spark.createDataFrame([(0, "a", one), *((i, f"b{i}", many) for i in (1, 2, 3))], t.reads.schema)
+    good = spark.createDataFrame([(0, 0, 1, 0, 2, 0, 2), (0, 1, 10, 0, 3, 0, 0)], "tid int, idx long, rep_seg_id long, num_left int, num_middle int, num_right int, clt_type int")
+    segs = spark.createDataFrame([(0, 0, 0, 0, 2, 100, 200), (0, 0, 1, 0, 2, 500, 650), *((0, 1, 10 * i, i, 2, 300, 600) for i in (1, 2, 3))], "tid int, idx long, seg_id long, aln_id long, seg_type int, query_start int, query_end int")
+    got = {r.idx: r.contigs for r in caller.assemblies(good, segs, t, caller.CallerConfig()).collect()}
+    assert [(x.contig, x.assembly, x.is_assembled) for x in got[0]] == [(0, one, False)]
+    assert [(x.contig, x.assembly, x.is_assembled) for x in got[1]] == [(0, many, True)]
