@@ -31,6 +31,38 @@ def chains(found: DataFrame, band: int = 64) -> DataFrame:
     return found.groupBy("q_id", "t_id", "strand", diag.alias("diag")).agg(F.count(F.lit(1)).alias("n_seeds"), F.min("q_pos").alias("q_lo"), F.max("q_pos").alias("q_hi"), F.min("t_pos").alias("t_lo"), F.max("t_pos").alias("t_hi"))
 
 
+def kmer_runs(seq: Column, k: int) -> Column:
+    """array<struct<pos,kmer,size>>: k-mers without N, of which those that follow each other and are equal (a run of one letter) are one entry."""
+    new = lambda x: (x["pos"] == 0) | (F.substring(seq, x["pos"], F.lit(k)) != x["kmer"])
+    one_letter = lambda x: x["kmer"] == F.repeat(F.substring(x["kmer"], 1, 1), k)
+    run = lambda x: F.length(F.regexp_extract(F.substring(seq, x["pos"] + 1, F.length(seq)), r"^(.)\1*", 0)) - (k - 1)
+    return F.transform(F.filter(kmers(seq, k), new), lambda x: F.struct(x["pos"].alias("pos"), x["kmer"].alias("kmer"), F.when(one_letter(x), run(x)).otherwise(1).alias("size")))
+
+
+def chained(queries: DataFrame, targets: DataFrame, k: int = 11, band: int = 64) -> DataFrame:
+    """What `chains` makes of `seeds`, without a row for each seed: two runs of one letter meet once, and give a row for each band between them.
+
+    So tails of A, which many sequences share, cost their number and not the
+    square of their length.
+    """
+    both = F.explode(F.array(F.struct(F.lit(0).alias("strand"), F.col("q_seq").alias("s")), F.struct(F.lit(1).alias("strand"), F.reverse(F.translate("q_seq", "ACGT", "TGCA")).alias("s"))))
+    hashed = (F.xxhash64("x.kmer").alias("h"), F.col("x.kmer").alias("kmer"))
+    q = queries.select("q_id", both.alias("o")).select("q_id", "o.strand", F.explode(kmer_runs(F.col("o.s"), k)).alias("x")).select("q_id", "strand", F.col("x.pos").alias("q_pos"), F.col("x.size").alias("m"), *hashed)
+    t = targets.select("t_id", F.explode(kmer_runs(F.col("t_seq"), k)).alias("x")).select("t_id", F.col("x.pos").alias("t_pos"), F.col("x.size").alias("n"), *hashed)
+    met = q.join(t, ["h", "kmer"]).withColumn("at", F.col("q_pos") - F.col("t_pos"))
+    lo, hi = F.col("at") - (F.col("n") - 1), F.col("at") + (F.col("m") - 1)
+    met = met.withColumn("diag", F.explode(F.sequence(F.floor(lo / band), F.floor(hi / band))))
+    met = met.withColumns({"lo": (F.greatest(lo, F.col("diag") * band) - F.col("at")).cast("int"), "hi": (F.least(hi, F.col("diag") * band + (band - 1)) - F.col("at")).cast("int")})
+    # on the diagonal d of two runs of m and n places lie min(m, n + d) - max(0, d) pairs
+    m, n = F.col("m"), F.col("n")
+    many = F.aggregate(F.sequence("lo", "hi"), F.lit(0).cast("long"), lambda a, d: a + F.least(m, n + d) - F.greatest(d, F.lit(0)))
+    count = F.when((m == 1) | (n == 1), (F.col("hi") - F.col("lo") + 1).cast("long")).otherwise(many)
+    return met.groupBy("q_id", "t_id", "strand", "diag").agg(
+        F.sum(count).alias("n_seeds"), F.min(F.col("q_pos") + F.greatest("lo", F.lit(0))).alias("q_lo"), F.max(F.col("q_pos") + F.least(m, n + F.col("hi")) - 1).alias("q_hi"),
+        F.min(F.col("t_pos") + F.greatest(-F.col("hi"), F.lit(0))).alias("t_lo"), F.max(F.col("t_pos") + F.least(n, m - F.col("lo")) - 1).alias("t_hi"),
+    )
+
+
 MATCH, MISMATCH, OPEN, EXTEND = 2, -4, -4, -2
 
 
@@ -100,7 +132,7 @@ def align(queries: DataFrame, targets: DataFrame, k: int = 11, min_seeds: int =
     Query ranges are on the strand that aligns; a chain and its neighbour band
     are one alignment.  With `per_query`, only so many of the best by query.
     """
-    found = chains(seeds(queries, targets, k), band)
+    found = chained(queries, targets, k, band)
     w = Window.partitionBy("q_id", "t_id", "strand").orderBy("diag")
     joined = found.withColumn("_new", F.when(F.col("diag") - F.lag("diag").over(w) <= 1, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(w))
     run = joined.groupBy("q_id", "t_id", "strand", "_run").agg(F.sum("n_seeds").alias("n"), F.max_by("diag", F.struct("n_seeds", "diag")).alias("diag")).where(F.col("n") >= min_seeds)

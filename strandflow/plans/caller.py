@@ -102,12 +102,11 @@ def segments(t: Tables, cfg: CallerConfig) -> DataFrame:
     a = valid(t.alignments).withColumn("segs", cg.segments(F.col("cigar"), F.col("pos"), cfg.min_seg_len)).where(F.size("segs") > 0)
     a = a.withColumn("aln_type", F.aggregate("segs", F.lit(0), lambda x, s: x.bitwiseOR(s["seg_type"]))).withColumn("refend", F.col("pos") + cg.sum_of(cg.ops(F.col("cigar")), cg.REF))
     marks = t.intervals.where("kind in ('repeat', 'gap')").join(t.contigs.select("tid", F.col("name").alias("contig")), "contig").select("tid", F.col("start").alias("i_start"), F.col("end").alias("i_end"))
-    sides = []
-    for c in ("pos", "refend"):
-        p = a.select("tid", "aln_id", F.col(c).alias("at"))
-        o = intervals.point_overlaps(p, marks, "tid", "at", ["aln_id"], cfg.location_slack, 4096)
-        sides.append(o.select("aln_id", intervals.location_type(F.col("n"), F.col("min_dist"), cfg.location_slack).alias(f"loc_{c}")))
-    a = a.join(sides[0], "aln_id").join(sides[1], "aln_id").withColumn("aln_location_type", intervals.alignment_location(F.col("loc_pos"), F.col("loc_refend")))
+    ends = F.explode(F.array(*(F.struct(F.lit(c).alias("side"), F.col(c).alias("at")) for c in ("pos", "refend"))))
+    near = intervals.point_overlaps(a.select("tid", "aln_id", ends.alias("x")).select("tid", "aln_id", "x.*"), marks, "tid", "at", ["aln_id", "side"], cfg.location_slack, 4096)
+    kind = intervals.location_type(F.col("n"), F.col("min_dist"), cfg.location_slack)
+    kinds = near.groupBy("aln_id").agg(*(F.max(F.when(F.col("side") == c, kind)).alias(f"loc_{c}") for c in ("pos", "refend")))
+    a = a.join(kinds, "aln_id").withColumn("aln_location_type", intervals.alignment_location(F.col("loc_pos"), F.col("loc_refend")))
     s = a.select("aln_id", "qname", "tid", F.col("mapq").alias("map_qual"), "read_len", "aln_type", "aln_location_type", F.col("pos").alias("aln_refstart"), F.col("refend").alias("aln_refend"), F.explode("segs").alias("s"))
     names = ("seg_type", "query_start", "query_end", "ref_position", "left_match", "overhang", "match_len", "order")
     return s.select("*", *(F.col(f"s.{n}").alias(n) for n in names)).withColumn("seg_id", F.col("aln_id") * 65536 + F.col("order")).drop("s").where(F.col("overhang") >= cfg.overhang)

@@ -323,7 +323,7 @@ def seed_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(f"""WITH {_SEQS} SELECT q_id, t_id, strand, CAST(floor((q_pos - t_pos) / 64) AS BIGINT) AS diag, count(*) AS n_seeds, CAST(min(q_pos) AS INTEGER) AS q_lo, CAST(max(q_pos) AS INTEGER) AS q_hi, CAST(min(t_pos) AS INTEGER) AS t_lo, CAST(max(t_pos) AS INTEGER) AS t_hi
 FROM h GROUP BY q_id, t_id, strand, floor((q_pos - t_pos) / 64)""")
 def seed_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return seqjoin.chains(seqjoin.seeds(*_sequences(spark, sf_dir)))
+    return seqjoin.chained(*_sequences(spark, sf_dir))
 
 
 @register(None)

@@ -268,3 +268,18 @@ def test_read_homopolymers_follow_the_borders():
     assert shown("GCAATTCG", "2M1D6M")[2] == ("AA", 0)  # its first base is deleted
     assert shown("GAAATTCG", "1M1D7M")[1] == ("", 0) and shown("GCTTCG", "2M3D4M").get(2) is None
     assert shown("GCAAATTCG", "9M")[1] == ("C", 0) and consensus.read_polymers("AAC", [(0, 1), (2, 2)], "AAAC", {"q_start": 1, "t_start": 0, "t_end": 3, "cigar": "1S3M"})[0] == (0, "AA", 1)
+
+
+def test_chains_of_runs_are_those_of_seeds(spark):
+    rng = random.Random(21)
+    dna = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    core = dna(80)
+    tail = lambda n, c="A": dna(rng.randrange(3)) + c * n
+    q = [(i, x) for i, x in enumerate([core + tail(90), tail(200) + core, dna(50) + "T" * 40, "A" * 11, "A" * 10, "", "ACACACACACACACACAC" * 4, core + "N" + core, tail(30) + tail(12, "C") + tail(25)])]
+    t = [(i, x) for i, x in enumerate([core + tail(30), "A" * 300, "T" * 13 + dna(30), "CACACACACACACACA", tail(12, "C")])]
+    a, b = spark.createDataFrame(q, "q_id int, q_seq string"), spark.createDataFrame(t, "t_id int, t_seq string")
+    names = ["q_id", "t_id", "strand", "diag", "n_seeds", "q_lo", "q_hi", "t_lo", "t_hi"]
+    for band in (64, 7):
+        shown = lambda df: sorted(tuple(r[n] for n in names) for r in df.collect())
+        want = shown(seqjoin.chains(seqjoin.seeds(a, b), band))
+        assert len(want) > 20 and shown(seqjoin.chained(a, b, band=band)) == want
