@@ -27,8 +27,9 @@ from ._labels import remainder
 from ._store import keyed
 from ._text import chunks
 
-#: The bound on documents (rows) that are learned from, in all, and on languages: the commonest ones.
-MAX_TRAIN, MAX_LANGUAGES = 4_000, 500
+#: The bound on documents (rows) that are learned from, in all, and on languages: the commonest ones.  A row's bag has at most
+#: BUCKETS entries of eight bytes, and an eighth of that at 2 kB of text, so that the driver gets some 50 MB and never over 0.5 GB.
+MAX_TRAIN, MAX_LANGUAGES = 1_500, 500
 SIZES, BUCKETS, DIM = (2, 3, 4, 5), 1 << 15, 16
 #: Each text is learned from as a whole, and as snippets of so many words.
 SNIPPET_WORDS = (3, 8, 25)
@@ -120,7 +121,8 @@ def _learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         ids, counts = bags(pa.array(text, pa.string()))
         place = [zlib.crc32(f"{key}\0".encode() + t.encode()) for key, t in order]
-        yield pa.RecordBatch.from_arrays([pa.array(place, pa.int64()), pa.array(lang, pa.string()), pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], ["place", "lang", "ids", "counts"])
+        raw = [pa.array([x.tobytes() for x in bag], pa.binary()) for bag in (ids, counts)]  # as bytes, which the driver reads without a Python number for each
+        yield pa.RecordBatch.from_arrays([pa.array(place, pa.int64()), pa.array(lang, pa.string()), *raw], ["place", "lang", "ids", "counts"])
 
 
 def train(docs: DataFrame, keep, max_train: int = MAX_TRAIN, epochs: int = 4, seed: int = 7) -> Model | None:
@@ -137,17 +139,17 @@ def train(docs: DataFrame, keep, max_train: int = MAX_TRAIN, epochs: int = 4, se
     some = F.lit(False)
     for lang, n in counts.items():
         some = some | ((F.col("lang") == lang) & (F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < int(scale * min(1.0, share / n))))
-    rows = known.where(some).select(F.col("doc_id").cast("string").alias("doc_id"), "lang", F.col("text").cast("string").alias("text")).mapInArrow(_learned, "place long, lang string, ids array<int>, counts array<int>")
+    rows = known.where(some).select(F.col("doc_id").cast("string").alias("doc_id"), "lang", F.col("text").cast("string").alias("text")).mapInArrow(_learned, "place long, lang string, ids binary, counts binary")
     most = (1 + len(SNIPPET_WORDS)) * max_train
-    rows = rows.orderBy("place", "lang", F.hash("ids"), F.size("ids")).limit(most).toPandas()  # the order of arrival must not matter
+    rows = rows.orderBy("place", "lang", F.crc32("ids"), F.length("ids")).limit(most).toPandas()  # the order of arrival must not matter
     if not len(rows):
         return None
     languages = sorted(counts)
     y = rows["lang"].map({v: i for i, v in enumerate(languages)}).to_numpy()
     rng = np.random.default_rng(seed)
     apart = rng.random(len(y)) < 0.2 if len(y) >= 50 else np.zeros(len(y), bool)
-    ids = [np.asarray(x, np.int32) for x in rows["ids"]]
-    shares = [np.asarray(x, np.float32) / max(1, sum(x)) for x in rows["counts"]]
+    ids = [np.frombuffer(x, np.int32) for x in rows["ids"]]
+    shares = [(n := np.frombuffer(x, np.int32)).astype(np.float32) / max(1, n.sum()) for x in rows["counts"]]
     k = len(languages)
     emb = (rng.random((BUCKETS, DIM), np.float32) - 0.5) / DIM
     w, bias = (rng.random((DIM, k), np.float32) - 0.5), np.zeros(k, np.float32)
