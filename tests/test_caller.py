@@ -33,6 +33,8 @@ def clipped(spark, seed, sides):
     rng = random.Random(seed)
     dna = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
     ref, te, pos, tsd = dna(60_000), dna(1600), 30_000, 12
+    # the bases beside the site differ from the insertion's ends (its first base, and the tail's A): else two sites would explain the reads as well
+    ref = f"{ref[: pos - tsd - 1]}C{ref[pos - tsd : pos]}{'G' if te[0] == 'C' else 'C'}{ref[pos + 1 :]}"
     body = te + "A" * 30
     allele = ref[:pos] + body + ref[pos - tsd : pos] + ref[pos:]
     alignments, reads, k = [], [], 0
