@@ -47,6 +47,36 @@ def _table(size: int) -> tuple[np.ndarray, np.ndarray]:
     return _TABLES[size]
 
 
+def _expanded(codes: np.ndarray, clear: int) -> np.ndarray:
+    """Colour indices that the codes behind a clear code stand for, without a loop over them.
+
+    The entry that code i adds is code i and the first letter of the next one,
+    and so it lies in the result already, where code i begins.  Each code copies
+    an earlier stretch, down to literals; both lengths and letters are found by
+    following these references in doubled steps.
+    """
+    n = len(codes)
+    literal = codes < clear
+    room = np.minimum(4096, clear + 1 + np.arange(n))
+    if not literal[0]:
+        raise ValueError("LZW code without a prefix")
+    if (~literal & ((codes > room) | (codes == 4096))).any() or (codes[literal] > 255).any():
+        raise ValueError("LZW code out of range")
+    entry = np.where(literal, np.arange(n), codes - clear - 2)
+    size, hop = (~literal).astype(np.int64), entry
+    while (more := size.take(hop)).any():
+        size, hop = size + more, hop.take(hop)
+    size += 1
+    ends = np.cumsum(size)
+    starts = ends - size
+    at = np.arange(ends[-1]) - np.repeat(starts - starts[entry], size)
+    for _ in range(int(2 * size.max()).bit_length()):  # no letter is copied more often than twice the longest code
+        at = at.take(at)
+    letters = np.zeros(ends[-1], np.uint8)
+    letters[starts[literal]] = codes[literal]
+    return letters[at]
+
+
 def lzw_decode(stream: bytes, size: int, pixels: int) -> bytes:
     """Colour indices of one image; `size` is the stream's minimum code size."""
     if not 1 <= size <= 11:
@@ -54,57 +84,34 @@ def lzw_decode(stream: bytes, size: int, pixels: int) -> bytes:
     clear, end = 1 << size, (1 << size) + 1
     data = np.frombuffer(stream + b"\0\0\0", np.uint8).astype(np.uint32)
     bits, at = len(stream) * 8, 0
-    base = [bytes([i]) for i in range(min(clear, 256))] + [b""] * (clear - min(clear, 256)) + [b"", b""]
-    table, prev, out, done = list(base), b"", [], 0
-    read = 0  # codes since the last clear
+    out, done, run, read = [], 0, [], 0  # the run: codes since the last clear code, and how many
     while done < pixels:
-        widths, offs = _table(size)
         if read < _SPAN:
+            widths, offs = _table(size)
             w, pos = widths[read:], at + offs[read:-1] - offs[read]
         else:
             w = np.full(_SPAN, 12)
             pos = at + 12 * np.arange(_SPAN)
-        fit = pos + w <= bits
-        w, pos = w[fit], pos[fit]
-        if not len(pos):
-            raise ValueError("LZW stream ends early")
+        fit = int(np.searchsorted(pos + w, bits, "right"))
+        w, pos = w[:fit], pos[:fit]
         b = pos >> 3
         codes = ((data[b] | data[b + 1] << 8 | data[b + 2] << 16) >> (pos & 7).astype(np.uint32)) & ((1 << w) - 1).astype(np.uint32)
         stop = np.flatnonzero((codes == clear) | (codes == end))
-        n = int(stop[0]) if len(stop) else len(codes)
-        room, some = len(table), iter(codes[:n].tolist())
-        if not prev and n:
-            c = next(some)
-            if c >= clear:
-                raise ValueError("LZW code without a prefix")
-            prev = table[c]
-            out.append(prev)
-        grow, give = table.append, out.append
-        for c in some:
-            if c < room:
-                entry = table[c]
-            elif c == room and room < 4096:
-                entry = prev + prev[:1]
-            else:
-                raise ValueError("LZW code out of range")
-            if room < 4096:
-                grow(prev + entry[:1])
-                room += 1
-            give(entry)
-            prev = entry
-        done = sum(map(len, out)) if n else done
+        n = int(stop[0]) if len(stop) else fit
+        run.append(codes[:n])
         read += n
-        at = int(pos[n - 1] + w[n - 1]) if n else at
-        if len(stop):
-            at = int(pos[n] + w[n])
-            if int(codes[n]) == end:
+        if len(stop) or not fit:
+            if read:
+                out.append(_expanded(np.concatenate(run).astype(np.int64), clear))
+                done += len(out[-1])
+            if not fit or int(codes[n]) == end:
                 break
-            table, prev, read = list(base), b"", 0
-            out = [b"".join(out)]
-    got = b"".join(out)
-    if len(got) < pixels:
+            at, run, read = int(pos[n] + w[n]), [], 0
+        else:
+            at = int(pos[-1] + w[-1])
+    if done < pixels:
         raise ValueError("LZW stream ends early")
-    return got[:pixels]
+    return np.concatenate([*out, np.zeros(0, np.uint8)])[:pixels].tobytes()
 
 
 def lzw_encode(data: bytes) -> bytes:
@@ -129,18 +136,15 @@ def lzw_encode(data: bytes) -> bytes:
     if word is not None:
         put(word)
     put(257)
-    c = np.array(codes, np.uint32)
+    c = np.array(codes)
     at = np.arange(len(c))
     cleared = np.maximum.accumulate(np.where(c == 256, at, -1))
     before = np.concatenate([[-1], cleared[:-1]])
     w = _table(8)[0][at - before - 1]
     ends = np.cumsum(w)
-    flat = np.zeros(-(-int(ends[-1]) // 8) * 8, np.uint8)
     starts = ends - w
-    for j in range(12):
-        on = w > j
-        flat[starts[on] + j] = (c[on] >> np.uint32(j)) & np.uint32(1)
-    return np.packbits(flat, bitorder="little").tobytes()
+    place, value, size = starts >> 3, c << (starts & 7), -(-int(ends[-1]) // 8)
+    return sum(np.bincount(place + k, value >> 8 * k & 255, size + 2) for k in range(3))[:size].astype(np.uint8).tobytes()  # codes share bytes, but no bits
 
 
 def _blocks(raw: bytes) -> bytes:

@@ -76,6 +76,44 @@ def test_media_are_what_a_plain_decoder_reads():
         assert plain_payload(gif.encode(payload)) == payload == gif.payload_of(gif.decode(gif.encode(payload)))
 
 
+def late_clear(data, size):
+    """A code stream of an encoder that goes on with a full table and sends no second clear code."""
+    clear = 1 << size
+    table, word, codes, widths = {(i,): i for i in range(clear)}, (), [clear], [size + 1]
+    width = size + 1
+
+    def put(code):
+        codes.append(code)
+        widths.append(width)
+
+    for b in data:
+        if (*word, b) in table:
+            word = (*word, b)
+            continue
+        put(table[word])
+        if len(table) + 2 < 4096:
+            table[(*word, b)] = len(table) + 2
+            if len(table) + 2 > 1 << width and width < 12:
+                width += 1
+        word = (b,)
+    put(table[word])
+    if len(table) + 2 == 1 << width and width < 12:  # the reader has added an entry meanwhile
+        width += 1
+    put(clear + 1)
+    bits = "".join(f"{c:0{w}b}"[::-1] for c, w in zip(codes, widths, strict=True))
+    return bytes(int(bits[i : i + 8][::-1], 2) for i in range(0, len(bits), 8))
+
+
+@pytest.mark.parametrize("size", [2, 5, 8])
+def test_streams_with_a_full_table(size):
+    rng = random.Random(size)
+    for n in (1, 2, 40, 9_000, 60_000):
+        for letters in (1, 2, 1 << size):
+            data = bytes(rng.randrange(letters) for _ in range(n))
+            stream = late_clear(data, size)
+            assert plain_lzw(stream, size, n) == data == gif.lzw_decode(stream, size, n)
+
+
 def test_null_and_broken_media_have_a_row(spark):
     good = gif.encode(gif.padded(b"text"))
     df = spark.createDataFrame([(1, 4, good, "x"), (2, 0, None, "x"), (3, 9, b"GIF89a no", "x"), (4, 4, good[:-40], "x"), (4, 4, good, "x")], "doc_id long, n_bytes long, media binary, feature string")
