@@ -65,9 +65,12 @@ def structure_bits(rows: Column, ins_len: Column, flag: Column, at_left: Column,
     is_te_l, is_te_r = yes(lft["kind"] == "TE"), yes(rgt["kind"] == "TE")
     fwd_l, fwd_r = is_te_l & ~rev_l, is_te_r & ~rev_r
     retro = lambda r: yes(flags.has(r["cls"], *flags.RETRO))
-    head = (first["kind"] == "PolyT") & three(lft) & (lft["start"] - first["end"] < 20) & (first["start"] < 100)
-    ahead = F.try_element_at(rows, F.when(n > 1, n - 1))
-    tail = (last["kind"] == "PolyA") & three(rgt) & (last["start"] - ahead["end"] < 20) & (ins_len - last["end"] < 100)
+    # the tails next to the outermost elements: the last T before the first one, the first A behind the last one
+    place = F.array_position(F.transform(rows, lambda r: r["kind"] != "PolyT"), True).cast("int")
+    behind = F.array_position(F.reverse(F.transform(rows, lambda r: r["kind"] != "PolyA")), True).cast("int")
+    before, after = F.try_element_at(rows, F.when(place > 1, place - 1)), F.try_element_at(rows, F.when(behind > 1, 1 - behind))
+    head = (first["kind"] == "PolyT") & three(lft) & (lft["start"] - before["end"] < 20) & (first["start"] < 100)
+    tail = (last["kind"] == "PolyA") & three(rgt) & (after["start"] - rgt["end"] < 20) & (ins_len - last["end"] < 100)
     poly = (n >= 2) & (yes(head) | yes(tail))
     full5 = (fwd_l & five(lft)) | (rev_r & five(rgt))
     full3 = (rev_l & three(lft)) | (fwd_r & three(rgt))

@@ -181,12 +181,12 @@ def _annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.select(F.col("l_orderkey").alias("k"), row.alias("row")).distinct().groupBy("k").agg(F.array_sort(F.collect_list("row")).alias("rows"))
 
 
-_STRUCTURE = f"""x AS (SELECT k, rows, len(rows) AS n, rows[1] AS f, rows[len(rows)] AS t, list_filter(rows, lambda r: r.kind <> 'PolyT')[1] AS lf, list_filter(rows, lambda r: r.kind <> 'PolyA')[-1] AS rg, CASE WHEN len(rows) > 1 THEN rows[len(rows) - 1] END AS ah,
+_STRUCTURE = f"""x AS (SELECT k, rows, len(rows) AS n, rows[1] AS f, rows[len(rows)] AS t, list_filter(rows, lambda r: r.kind <> 'PolyT')[1] AS lf, list_filter(rows, lambda r: r.kind <> 'PolyA')[-1] AS rg, rows[nullif(list_position(list_transform(rows, lambda r: r.kind <> 'PolyT'), true), 0) - 1] AS bf, rows[len(rows) - nullif(list_position(list_reverse(list_transform(rows, lambda r: r.kind <> 'PolyA')), true), 0) + 2] AS af,
   k * 48271 % 64 & 4 <> 0 AS lo, k * 48271 % 64 & 8 <> 0 AS ro, k % 3 = 0 AS at_l, k % 4 = 0 AS at_r FROM l),
 y AS (SELECT *, coalesce(lf.reverse, false) AS rev_l, coalesce(rg.reverse, false) AS rev_r, coalesce(lf.kind = 'TE', false) AND NOT coalesce(lf.reverse, false) AS fwd_l, coalesce(rg.kind = 'TE', false) AND NOT coalesce(rg.reverse, false) AS fwd_r,
   coalesce(lf.bits & {B['5P_FULL']} <> 0, false) AS five_l, coalesce(rg.bits & {B['5P_FULL']} <> 0, false) AS five_r, coalesce(lf.bits & {B['3P_FULL']} <> 0, false) AS three_l, coalesce(rg.bits & {B['3P_FULL']} <> 0, false) AS three_r,
   coalesce(lf.cls & {flags.mask(*flags.RETRO)} <> 0, false) AS retro_l, coalesce(rg.cls & {flags.mask(*flags.RETRO)} <> 0, false) AS retro_r FROM x),
-z AS (SELECT *, n >= 2 AND (coalesce(f.kind = 'PolyT' AND three_l AND lf.s - f.e < 20 AND f.s < 100, false) OR coalesce(t.kind = 'PolyA' AND three_r AND rg.s - ah.e < 20 AND 600 - t.e < 100, false)) AS poly,
+z AS (SELECT *, n >= 2 AND (coalesce(f.kind = 'PolyT' AND three_l AND lf.s - bf.e < 20 AND f.s < 100, false) OR coalesce(t.kind = 'PolyA' AND three_r AND af.s - rg.e < 20 AND 600 - t.e < 100, false)) AS poly,
   (fwd_l AND five_l) OR (rev_r AND five_r) AS full5, (rev_l AND three_l) OR (fwd_r AND three_r) AS full3 FROM y)"""
 
 
