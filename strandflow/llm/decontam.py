@@ -94,6 +94,13 @@ class Automaton:
         whole[0] = False
         self.whole, self.ends = whole, whole | (self.shorter > 0)
 
+    @classmethod
+    def of(cls, fields: dict) -> Automaton:
+        """The automaton with these fields, which are not copied: workers get them alone, so that they need no module of this package."""
+        own = cls.__new__(cls)
+        own.__dict__ = fields
+        return own
+
     def _fill_table(self) -> None:
         n = len(self.key)
         self.shift = np.uint64(64 - max(4, int(2 * n - 1).bit_length()))
@@ -221,7 +228,7 @@ def _runs(hit: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _pass(automaton, first: bool, last: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a: Automaton = automaton.value
+        a = Automaton.of(automaton.value)
         for batch in batches:
             for lo, hi, data, off in chunks(batch.column(1)):
                 part = batch.slice(lo, hi - lo)
@@ -255,7 +262,7 @@ def _pass(automaton, first: bool, last: bool):
 
 
 def _automata(spark: SparkSession, benchmark: DataFrame, window: int, block_bytes: int, unnamed: bool = False) -> Iterator[tuple[int, int, object]]:
-    """(number, count, broadcast automaton) of the parts of a benchmark; with `unnamed`, rows with a null item_id are items too, named ''."""
+    """(number, count, broadcast fields of an automaton) of the parts of a benchmark; with `unnamed`, rows with a null item_id are items too, named ''."""
     items = benchmark.where("text is not null").select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
     items = items.fillna("", "item_id") if unnamed else items.where("item_id is not null")
     words = F.size(F.regexp_extract_all("text", F.lit(_ITEM_WORD), F.lit(0)))
@@ -263,7 +270,7 @@ def _automata(spark: SparkSession, benchmark: DataFrame, window: int, block_byte
     parts = max(1, -(-int(total["words"]) * window // MOST_STATES), -(-int(total["bytes"]) // block_bytes))
     for k in range(parts):
         own = items if parts == 1 else items.where(F.pmod(F.xxhash64("item_id", *(["text"] if unnamed else [])), F.lit(parts)) == k)
-        yield k, parts, spark.sparkContext.broadcast(Automaton([(r["item_id"], r["text"].encode()) for r in own.collect()], window))  # bounded by both
+        yield k, parts, spark.sparkContext.broadcast(vars(Automaton([(r["item_id"], r["text"].encode()) for r in own.collect()], window)))  # bounded by both
 
 
 def uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, text_col: str = "text", unnamed: bool = False) -> DataFrame:
@@ -276,9 +283,10 @@ def uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
 
     def one_pass(automaton):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            a = Automaton.of(automaton.value)
             for batch in batches:
                 for lo, hi, data, off in chunks(batch.column(at)):
-                    _, _, doc, last, _ = automaton.value.scan(data, off)
+                    _, _, doc, last, _ = a.scan(data, off)
                     keep = np.ones(hi - lo, bool)
                     keep[doc[last]] = False
                     yield pa.RecordBatch.from_arrays([batch.column(i).slice(lo, hi - lo) for i in range(len(names))], names).filter(pa.array(keep, pa.bool_()))

@@ -262,6 +262,24 @@ def test_parts_of_a_benchmark_are_one(spark, monkeypatch):
         assert {r.doc_id for r in decontam.uncontaminated(d, b).collect()} == {x[0] for x in want if not x[-1]}
 
 
+def test_workers_need_no_module_of_the_package(tmp_path):
+    """From a folder of its own, the package is on the driver's path alone."""
+    code = f"""
+import sys
+sys.path.insert(0, {ROOT!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+from strandflow.llm import decontam, neardup
+docs = spark.createDataFrame([(1, "a b c d e f g h i j k"), (2, "x y"), (3, "x y")], "doc_id long, text string")
+bench = spark.createDataFrame([(7, "b c d e f g h i j k l")], "item_id long, text string")
+print([r.n_hit for r in decontam.contamination(spark, docs, bench).orderBy("doc_id").collect()], decontam.uncontaminated(docs, bench).count(), neardup.near_duplicates(spark, docs, 2).where("kept").count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300, cwd=tmp_path, env=env)
+    assert out.returncode == 0, out.stderr[-500:]
+    assert out.stdout.split("\n")[-2] == "[10, 0, 0] 2 2"
+
+
 @pytest.mark.parametrize("block", [1 << 20, 2_000])
 def test_blocks_lose_no_link(spark, monkeypatch, block):
     from test_other_operators import components, near_copies
