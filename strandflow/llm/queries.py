@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, gif, langid, neardup, pii, quality, spm, tokencount, toxicity
-from ._store import table
+from . import chat, decontam, divergence, gif, langid, neardup, pii, quality, spm, tokencount, toxicity
+from ._store import Scratch, table
 
 #: Files of public tokenizers; the folder is a parameter of the functions below.
 BPE_FILE, SPM_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -62,6 +62,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str, path: str | None = None
     return spm.digest(table(spark, sf_dir, "documents"), path or tokenizer_path(SPM_FILE))
 
 
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergences(table(spark, sf_dir, "documents"), Scratch(spark, "divergence"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -69,7 +73,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op2_media, op3_quality, op4_chat, op5_pii, op6_language, op7_toxicity, op8_neardup, op9_token_counts, op10_sentencepiece, pipeline)
+    f.__name__: f for f in (op1_decontamination, op2_media, op3_quality, op4_chat, op5_pii, op6_language, op7_toxicity, op8_neardup, op9_token_counts, op10_sentencepiece, op13_divergence, pipeline)
 }
 
 _FOLD = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -113,4 +117,24 @@ r(a, b) AS (SELECT rep, rep FROM c UNION SELECT r.a, e.v FROM r JOIN e ON r.b =
 k AS (SELECT a AS rep, min(b) AS component_id FROM r GROUP BY a)
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(k.component_id, s.doc_id) AS component_id, s.doc_id = coalesce(k.component_id, s.doc_id) AS kept
 FROM s LEFT JOIN c ON len(s.s) > 0 AND s.s = c.s LEFT JOIN k ON c.rep = k.rep""",
+    "op13_divergence": r"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS r,
+                  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT lang, source, r, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS c FROM t GROUP BY ALL HAVING count(DISTINCT r) >= 10),
+g AS (SELECT DISTINCT lang, source FROM d),
+l AS (SELECT lang, count(term) AS v, coalesce(sum(c), 0) AS n FROM (SELECT DISTINCT lang FROM d) LEFT JOIN kept USING (lang) GROUP BY lang),
+own AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+grid AS (SELECT g.lang, g.source, k.term, k.c, coalesce(own.n, 0) AS n FROM g JOIN kept k USING (lang) LEFT JOIN own USING (lang, source, term)),
+total AS (SELECT lang, source, sum(n) AS n FROM grid GROUP BY ALL),
+p AS (SELECT grid.lang, source, term, grid.n, CAST(1 + (1000000000::HUGEINT * (grid.n + 2)) // CAST(total.n + 2 * v AS HUGEINT) AS BIGINT) AS p,
+             CAST(1 + (1000000000::HUGEINT * (c + 2)) // CAST(l.n + 2 * v AS HUGEINT) AS BIGINT) AS q
+      FROM grid JOIN total USING (lang, source) JOIN l USING (lang)),
+pair AS (SELECT a.lang, a.source, b.source AS item, coalesce(sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)), 0) AS value
+         FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+         LEFT JOIN p x ON x.lang = a.lang AND x.source = a.source LEFT JOIN p y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term GROUP BY ALL),
+term AS (SELECT lang, source, term AS item, (p - q) * (p - q) // (p + q) AS value FROM p WHERE n > 0 AND p > q),
+ranked AS (SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pair
+           UNION ALL SELECT * FROM (SELECT lang, source, 'term' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM term) WHERE rank <= 10)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked""",
 }
