@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, divergence, gif, langid, neardup, pii, quality, spm, tokencount, toxicity
+from . import chat, decontam, divergence, gif, langid, neardup, pii, quality, repair, rules, spm, tokencount, toxicity
 from ._store import Scratch, table
 
 #: Files of public tokenizers; the folder is a parameter of the functions below.
@@ -62,6 +62,15 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str, path: str | None = None
     return spm.digest(table(spark, sf_dir, "documents"), path or tokenizer_path(SPM_FILE))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, times = repair.damaged(table(spark, sf_dir, "conversations"))
+    return repair.repairs(rows, Scratch(spark, "repair"), times)
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judged(table(spark, sf_dir, "documents"), Scratch(spark, "rules"))
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergences(table(spark, sf_dir, "documents"), Scratch(spark, "divergence"))
 
@@ -73,7 +82,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op2_media, op3_quality, op4_chat, op5_pii, op6_language, op7_toxicity, op8_neardup, op9_token_counts, op10_sentencepiece, op13_divergence, pipeline)
+    f.__name__: f for f in (op1_decontamination, op2_media, op3_quality, op4_chat, op5_pii, op6_language, op7_toxicity, op8_neardup, op9_token_counts, op10_sentencepiece, op11_conversation_repair, op12_quality_rules, op13_divergence, pipeline)
 }
 
 _FOLD = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -117,6 +126,42 @@ r(a, b) AS (SELECT rep, rep FROM c UNION SELECT r.a, e.v FROM r JOIN e ON r.b =
 k AS (SELECT a AS rep, min(b) AS component_id FROM r GROUP BY a)
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(k.component_id, s.doc_id) AS component_id, s.doc_id = coalesce(k.component_id, s.doc_id) AS kept
 FROM s LEFT JOIN c ON len(s.s) > 0 AND s.s = c.s LEFT JOIN k ON c.rep = k.rep""",
+    "op11_conversation_repair": r"""
+WITH RECURSIVE crc AS (SELECT list(v ORDER BY n) AS t FROM (SELECT n, list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, n) AS v FROM range(256) b(n))),
+src AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+               list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda c: CAST(ascii(c) AS BIGINT)) AS b FROM conversations),
+k AS (SELECT src.* EXCLUDE (b), xor(4294967295, list_reduce(b, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295)) % 20 AS kind FROM src, crc),
+dam AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+        FROM k, range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)),
+pos AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM dam),
+flt AS (SELECT *, left(role, 1) AS c, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
+               WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 't' ELSE '' END AS f FROM pos),
+adj AS (SELECT *, lag(c) OVER (PARTITION BY conv_id ORDER BY i) || c AS two FROM flt),
+one AS (SELECT conv_id, list({'c': c, 'm': f IN ('b', 'd'), 't': CASE WHEN f = 't' THEN 3 ELSE 0 END} ORDER BY i) AS l, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+               count(*) FILTER (f = 'b') AS blank, count(*) FILTER (f = 'd') AS duplicate, count(*) FILTER (f = 't') AS truncated, count(*) FILTER (two NOT IN ('su', 'ua', 'au')) AS illegal FROM adj GROUP BY conv_id),
+step(conv_id, i, s0, a0, s1, a1, s2, a2, s3, a3) AS (
+  SELECT conv_id, 0, 0, '', 1000000000, '', 1000000000, '', 1000000000, '' FROM one
+  UNION ALL
+  SELECT conv_id, i + 1, n0.s, n0.a, n1.s, n1.a, n2.s, n2.a, n3.s, n3.a FROM (
+    SELECT conv_id, i, {'s': q0.s + 4, 'a': q0.a || 'D'} AS n0,
+      list_min([{'s': q1.s + 4, 'a': q1.a || 'D'}] || CASE WHEN NOT r.m AND r.c = 's' THEN [{'s': q0.s + r.t, 'a': q0.a || 'K'}] ELSE [] END) AS n1,
+      list_min([{'s': q2.s + 4, 'a': q2.a || 'D'}] || CASE WHEN NOT r.m THEN [{'s': q0.s + r.t + 3, 'a': q0.a || 'R'}, {'s': q1.s + r.t + 3, 'a': q1.a || 'R'}, {'s': q3.s + r.t + 3, 'a': q3.a || 'R'}] ELSE [] END
+        || CASE WHEN NOT r.m AND r.c = 'u' THEN [{'s': q0.s + r.t, 'a': q0.a || 'K'}, {'s': q1.s + r.t, 'a': q1.a || 'K'}, {'s': q3.s + r.t, 'a': q3.a || 'K'}] ELSE [] END) AS n2,
+      list_min([{'s': q3.s + 4, 'a': q3.a || 'D'}] || CASE WHEN NOT r.m THEN [{'s': q2.s + r.t + 3, 'a': q2.a || 'R'}] ELSE [] END || CASE WHEN NOT r.m AND r.c = 'a' THEN [{'s': q2.s + r.t, 'a': q2.a || 'K'}] ELSE [] END) AS n3
+    FROM (SELECT *, list_min([p2, {'s': q3.s + 3, 'a': q3.a || 'I'}]) AS q2 FROM (
+      SELECT *, list_min([{'s': s3, 'a': a3}, {'s': p2.s + 3, 'a': p2.a || 'I'}]) AS q3 FROM (
+        SELECT step.*, l[i + 1] AS r, {'s': s0, 'a': a0} AS q0, {'s': s1, 'a': a1} AS q1,
+               list_min([{'s': s2, 'a': a2}, {'s': s0 + 3, 'a': a0 || 'I'}, {'s': s1 + 3, 'a': a1 || 'I'}, {'s': s3 + 3, 'a': a3 || 'I'}]) AS p2
+        FROM step JOIN one ON step.conv_id IS NOT DISTINCT FROM one.conv_id WHERE i < len(l)))))),
+fin AS (SELECT step.conv_id, list_min([{'s': s0, 'a': a0}, {'s': s3, 'a': a3}, {'s': s2 + 3, 'a': a2 || 'I'}, {'s': s1 + 6, 'a': a1 || 'II'}]) AS x FROM step JOIN one ON step.conv_id IS NOT DISTINCT FROM one.conv_id WHERE i = len(l)),
+ops AS (SELECT conv_id, j, substr(x.a, j, 1) AS op, length(replace(left(x.a, j), 'I', '')) AS i FROM (SELECT conv_id, x, unnest(range(1, length(x.a) + 1)) AS j FROM fin)),
+lines AS (SELECT o.conv_id, o.j, o.op, p.role, p.text, row_number() OVER (PARTITION BY o.conv_id ORDER BY o.j) AS m FROM ops o LEFT JOIN pos p ON o.op <> 'I' AND o.conv_id IS NOT DISTINCT FROM p.conv_id AND o.i = p.i WHERE o.op <> 'D'),
+sys AS (SELECT conv_id, CAST(bool_or(m = 1 AND op = 'K' AND left(role, 1) = 's') AS INTEGER) AS s FROM lines GROUP BY conv_id),
+txt AS (SELECT lines.conv_id, string_agg(CASE op WHEN 'K' THEN role ELSE CASE WHEN (m - s) % 2 = 1 THEN 'user' ELSE 'assistant' END END || ':' || CASE op WHEN 'I' THEN '' ELSE text END, chr(10) ORDER BY j) AS t
+        FROM lines JOIN sys ON lines.conv_id IS NOT DISTINCT FROM sys.conv_id GROUP BY lines.conv_id)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       CAST(coalesce(x.s, 0) AS BIGINT) AS cost, coalesce(x.a, '') AS audit, sha256(coalesce(t, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN one ON o.conv_id IS NOT DISTINCT FROM one.conv_id LEFT JOIN fin ON o.conv_id IS NOT DISTINCT FROM fin.conv_id LEFT JOIN txt ON o.conv_id IS NOT DISTINCT FROM txt.conv_id""",
     "op13_divergence": r"""
 WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS r,
                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
