@@ -71,6 +71,11 @@ def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judged(table(spark, sf_dir, "documents"), Scratch(spark, "rules"))
 
 
+def quality_rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of op12's base rule alone, which SQL can say."""
+    return rules.counted(table(spark, sf_dir, "documents")).select("doc_id", *rules.FEATURES[:5], rules.base_failed().alias("base_failed"))
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergences(table(spark, sf_dir, "documents"), Scratch(spark, "divergence"))
 
@@ -82,7 +87,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op2_media, op3_quality, op4_chat, op5_pii, op6_language, op7_toxicity, op8_neardup, op9_token_counts, op10_sentencepiece, op11_conversation_repair, op12_quality_rules, op13_divergence, pipeline)
+    f.__name__: f for f in (op1_decontamination, op2_media, op3_quality, op4_chat, op5_pii, op6_language, op7_toxicity, op8_neardup, op9_token_counts, op10_sentencepiece, op11_conversation_repair, op12_quality_rules, quality_rule_counts, op13_divergence, pipeline)
 }
 
 _FOLD = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -162,6 +167,16 @@ txt AS (SELECT lines.conv_id, string_agg(CASE op WHEN 'K' THEN role ELSE CASE WH
 SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
        CAST(coalesce(x.s, 0) AS BIGINT) AS cost, coalesce(x.a, '') AS audit, sha256(coalesce(t, '')) AS repaired_sha256
 FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN one ON o.conv_id IS NOT DISTINCT FROM one.conv_id LEFT JOIN fin ON o.conv_id IS NOT DISTINCT FROM fin.conv_id LEFT JOIN txt ON o.conv_id IS NOT DISTINCT FROM txt.conv_id""",
+    "quality_rule_counts": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+n AS (SELECT r, doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+             list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+g AS (SELECT r, p, array_to_string(w[p:p + 4], ' ') AS gram FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS p FROM d WHERE len(w) > 4)),
+hit AS (SELECT r, p FROM (SELECT r, p, count(*) OVER (PARTITION BY r, gram) AS c FROM g) WHERE c > 1),
+rep AS (SELECT r, count(DISTINCT q) AS n FROM (SELECT r, unnest(range(p, p + 5)) AS q FROM hit) GROUP BY r)
+SELECT doc_id, n_words, word_chars, n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words,
+       n_words < 10 OR 100 * coalesce(rep.n, 0) > 20 * n_words AS base_failed
+FROM n LEFT JOIN rep USING (r)""",
     "op13_divergence": r"""
 WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS r,
                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
