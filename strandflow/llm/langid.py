@@ -27,9 +27,9 @@ from ._labels import remainder
 from ._store import keyed
 from ._text import chunks
 
-#: The bound on documents (rows) that are learned from, in all, and on languages: the commonest ones.  A row's bag has at most
-#: BUCKETS entries of eight bytes, and an eighth of that at 2 kB of text, so that the driver gets some 50 MB and never over 0.5 GB.
-MAX_TRAIN, MAX_LANGUAGES = 1_500, 500
+#: The bound on documents (rows) that are learned from, in all, or one for each language where these are more.  A row's bag has at most
+#: BUCKETS entries of eight bytes, and an eighth of that at 2 kB of text, so that the driver gets some 50 MB and, of so many rows, never over 0.5 GB.
+MAX_TRAIN = 1_500
 SIZES, BUCKETS, DIM = (2, 3, 4, 5), 1 << 15, 16
 #: Each text is learned from as a whole, and as snippets of so many words.
 SNIPPET_WORDS = (3, 8, 25)
@@ -73,17 +73,19 @@ def _padded(texts: pa.Array) -> pa.Array:
 @dataclass
 class Model:
     languages: list[str]
-    table: np.ndarray  # buckets x languages: embeddings times softmax weights
+    table: np.ndarray  # buckets x languages: embeddings times softmax weights; or the embeddings, where languages are more than dimensions
     bias: np.ndarray
     temperature: float
     threshold: float
+    weights: np.ndarray | None = None  # dimensions x languages, beside embeddings
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         """Calibrated probabilities by row; rows without n-grams have zeros."""
         out = np.zeros((len(texts), len(self.languages)), np.float64)
         for lo, hi, data, off in chunks(_padded(texts), CHUNK):
             b, d = ngrams(data, off)
-            z = np.stack([np.bincount(d, self.table[b, k], minlength=hi - lo) for k in range(len(self.languages))], 1)
+            z = np.stack([np.bincount(d, self.table[b, k], minlength=hi - lo) for k in range(self.table.shape[1])], 1)
+            z = z if self.weights is None else z @ self.weights
             n = np.bincount(d, minlength=hi - lo)
             z = (z / np.maximum(n, 1)[:, None] + self.bias) / self.temperature
             p = np.exp(z - z.max(1, keepdims=True))
@@ -128,19 +130,22 @@ def _learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, keep, max_train: int = MAX_TRAIN, epochs: int = 4, seed: int = 7) -> Model | None:
     """Learn from text and lang of the rows that `keep` admits; None if there is nothing to learn from.
 
-    About max_train / languages rows of each language are drawn by a hash of
-    their ids, and no more than max_train rows in all reach the driver.
+    All languages are learned.  About max_train / languages rows of each, at
+    least one, are drawn by a hash of their ids, and no more than max_train rows
+    or one a language reach the driver.
     """
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).where(keep)
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).where(keep).select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a number for each language
     if not counts:
         return None
     share, scale = max(1, max_train // len(counts)), 1 << 30
-    some = F.lit(False)
-    for lang, n in counts.items():
-        some = some | ((F.col("lang") == lang) & (F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < int(scale * min(1.0, share / n))))
-    rows = known.where(some).select(F.col("doc_id").cast("string").alias("doc_id"), "lang", F.col("text").cast("string").alias("text")).mapInArrow(_learned, "place long, lang string, ids binary, counts binary")
-    most = (1 + len(SNIPPET_WORDS)) * max_train
+    rates = docs.sparkSession.createDataFrame([(lang, int(scale * min(1.0, share / n))) for lang, n in counts.items()], "lang string, bound long")
+    # of a language whose every hash is above its bound, the row of the least hash stands in
+    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(scale))
+    first = known.groupBy("lang").agg(F.min(drawn).alias("least")).join(rates, "lang").select("lang", F.greatest("bound", F.col("least") + 1).alias("bound"))
+    some = known.join(F.broadcast(first), "lang").where(drawn < F.col("bound"))
+    rows = some.select(F.col("doc_id").cast("string").alias("doc_id"), "lang", F.col("text").cast("string").alias("text")).mapInArrow(_learned, "place long, lang string, ids binary, counts binary")
+    most = (1 + len(SNIPPET_WORDS)) * max(max_train, len(counts))
     rows = rows.orderBy("place", "lang", F.crc32("ids"), F.length("ids")).limit(most).toPandas()  # the order of arrival must not matter
     if not len(rows):
         return None
@@ -175,10 +180,11 @@ def train(docs: DataFrame, keep, max_train: int = MAX_TRAIN, epochs: int = 4, se
             first = np.flatnonzero(np.concatenate([[True], np.diff(own[order]) > 0]))
             emb[own[order][first]] -= np.add.reduceat(move[order], first)
             step += 1
-    model = Model(languages, (emb @ w).astype(np.float32), bias, 1.0, 0.0)
+    model = Model(languages, emb, bias, 1.0, 0.0, w) if k > DIM else Model(languages, (emb @ w).astype(np.float32), bias, 1.0, 0.0)
     check = np.array([i for i in np.flatnonzero(apart) if len(ids[i])], int)
     if len(check) and k > 1:
-        z = np.stack([share @ model.table[own] for own, share in ((ids[i], shares[i]) for i in check)]) + bias
+        z = np.stack([share @ model.table[own] for own, share in ((ids[i], shares[i]) for i in check)])
+        z = (z if model.weights is None else z @ model.weights) + bias
 
         def softmax(t: float) -> np.ndarray:
             q = np.exp(z / t - (z / t).max(1, keepdims=True))
