@@ -25,8 +25,9 @@ KINDS = (*BASE, "iban", "secret", "ssn")
 CONTEXT, ADD_SCORE = 40, 0.6
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]+\Z")
-IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+#: A run of digits is tried from its first one only: what fails there fails from any later one.
+IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
@@ -84,23 +85,19 @@ def ibans(text: str) -> list[tuple[int, int]]:
 
 
 def emails(text: str) -> list[tuple[int, int]]:
-    """What a leftmost search for local@domain finds, without trying the local part at every letter."""
+    """What a leftmost search for local@domain finds: each run of local characters is walked once, back from its sign."""
     out, done, at = [], 0, text.find("@")
     while at >= 0:
-        m = None
-        if at > done and LOCAL_END.match(text[at - 1]):
-            m = DOMAIN.match(text, at + 1)
+        m = DOMAIN.match(text, at + 1) if at > done and text[at - 1] in LOCAL else None
         if m:
-            lo = at - 1
-            step = 64
-            while True:  # the run of local characters that ends before the sign
-                left = max(done, at - step)
-                tail = LOCAL_END.search(text, left, at)
-                lo = tail.start()
-                if lo > left or left == done:
+            hi, step = at, 64
+            while hi > done:  # piece by piece, each stripped at the speed of C
+                left = max(done, hi - step)
+                rest = len(text[left:hi].rstrip(LOCAL))
+                hi, step = left + rest, step * 4
+                if rest:
                     break
-                step *= 4
-            out.append((lo, m.end()))
+            out.append((hi, m.end()))
             done = m.end()
         at = text.find("@", max(at + 1, done))
     return out
