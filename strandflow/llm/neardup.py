@@ -309,16 +309,15 @@ def deduplicated(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int
     some = docs.join(small(mixed.where("doc_id is not null")), "doc_id", "left_semi").select(*docs.columns)
     if mixed.where("doc_id is null").count():
         some = some.unionByName(docs.where("doc_id is null"))
-    name = "set"
-    while name in docs.columns:
-        name += "_"
+    taken = {c.lower() for c in docs.columns}
+    name, heir_id, heir_cls, row = (next(x for i in range(len(taken) + 1) if (x := f"{c}{'_' * i}") not in taken) for c in ("set", "heir_id", "heir_cls", "row"))
     some = with_sets(some, name, k)
-    heirs = rows.where(F.col("first") & (F.col("n_shingles") > 0)).select(F.col("doc_id").alias("_id"), F.col("cls").alias("_cls")).distinct()
-    some_first = some.join(heirs, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col(name) == F.col("_cls")), "left_semi")
+    heirs = rows.where(F.col("first") & (F.col("n_shingles") > 0)).select(F.col("doc_id").alias(heir_id), F.col("cls").alias(heir_cls)).distinct()
+    some_first = some.join(heirs, F.col("doc_id").eqNullSafe(F.col(heir_id)) & (F.col(name) == F.col(heir_cls)), "left_semi")
     # rows that share an id and a set: one by the hash of all that can be hashed
     whole = F.struct(*docs.columns)
     least = F.xxhash64(*(f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()))
-    one = some_first.groupBy("doc_id", name).agg(F.min_by(whole, least).alias("_row")).select("_row.*")
+    one = some_first.groupBy("doc_id", name).agg(F.min_by(whole, least).alias(row)).select(f"{row}.*")
     return rest.unionByName(some.where(F.col(name).isNull()).select(*docs.columns)).unionByName(one.select(*docs.columns))
 
 
