@@ -12,13 +12,14 @@ begin a window's length early, which is all that a state depends on, and all
 segments of a chunk advance together, however long a text is.
 
 A benchmark beyond MOST_STATES or `block_bytes` is cut into parts by a hash of
-its items, each an automaton of its own in a chained pass over the same rows:
-so the broadcast is bounded, and the result is the same.
+its items' pieces, each an automaton of its own in a chained pass over the same
+rows: so the broadcast is bounded, and the result is the same.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
@@ -33,6 +34,8 @@ from ._text import LOWER, Rolling, chunks, mix, word_bounds
 WINDOW, SEGMENT = 10, 128
 #: The bound on states of one automaton, and so on what is broadcast (about 160 MB); an item's word makes at most `window` states.
 MOST_STATES = 4_000_000
+#: Windows of a piece of an item.  Pieces are dealt, so that a benchmark of a single huge item is cut as well.
+PIECE = 2_000
 #: The bound on bytes of items in one automaton.
 BLOCK_BYTES = 32 << 20
 #: Bytes of words: letters, digits and all bytes of non-ASCII characters; the rest is a gap.
@@ -265,11 +268,16 @@ def _automata(spark: SparkSession, benchmark: DataFrame, window: int, block_byte
     """(number, count, broadcast fields of an automaton) of the parts of a benchmark; with `unnamed`, rows with a null item_id are items too, named ''."""
     items = benchmark.where("text is not null").select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
     items = items.fillna("", "item_id") if unnamed else items.where("item_id is not null")
-    words = F.size(F.regexp_extract_all("text", F.lit(_ITEM_WORD), F.lit(0)))
+    words = F.regexp_extract_all("text", F.lit(_ITEM_WORD), F.lit(0))
+    # pieces of PIECE windows, which overlap by less than a window: together they have the windows of their item and no other
+    at = F.explode(F.sequence(F.lit(0), F.greatest(F.size("words") - window, F.lit(0)), F.lit(PIECE)))
+    items = items.withColumn("words", words).select("item_id", "words", at.alias("at")).select("item_id", "at", F.array_join(F.slice("words", F.col("at") + 1, PIECE + window - 1), " ").alias("text"))
+    words = F.size(F.split("text", " "))
     total = items.agg(F.coalesce(F.sum(words), F.lit(0)).alias("words"), F.coalesce(F.sum(F.octet_length("text") + F.octet_length("item_id")), F.lit(0)).alias("bytes")).first()
-    parts = max(1, -(-int(total["words"]) * window // MOST_STATES), -(-int(total["bytes"]) // block_bytes))
+    over = 1 + (total["words"] * window > MOST_STATES or total["bytes"] > block_bytes) / 4  # a part takes a fifth less than the bound on average, for what hashes deal unevenly
+    parts = max(1, math.ceil(over * total["words"] * window / MOST_STATES), math.ceil(over * total["bytes"] / block_bytes))
     for k in range(parts):
-        own = items if parts == 1 else items.where(F.pmod(F.xxhash64("item_id", *(["text"] if unnamed else [])), F.lit(parts)) == k)
+        own = items if parts == 1 else items.where(F.pmod(F.xxhash64("item_id", "at", *(["text"] if unnamed else [])), F.lit(parts)) == k)
         yield k, parts, spark.sparkContext.broadcast(vars(Automaton([(r["item_id"], r["text"].encode()) for r in own.collect()], window)))  # bounded by both
 
 
