@@ -1,4 +1,4 @@
-"""Sequence-similarity join: k-mer seeds, diagonal chains, banded extension."""
+"""Sequence-similarity join: k-mer seeds, diagonal chains, banded extension of many pairs at once."""
 
 from __future__ import annotations
 
@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .banded import align_batch, best_alignments
+
 
 def kmers(seq: Column, k: int) -> Column:
     """array<struct<pos,kmer>> of all k-mers without N."""
@@ -25,6 +27,23 @@ def seeds(queries: DataFrame, targets: DataFrame, k: int = 11) -> DataFrame:
     return q.join(t, ["h", "kmer"]).select("q_id", "t_id", "strand", "q_pos", "t_pos")
 
 
+def word_grams(df: DataFrame, key: str, text: str = "text", n: int = 8) -> DataFrame:
+    """key, p (from 1), gram: the strings of n words of whole texts, words being what single spaces part."""
+    w = df.select(key, F.split(text, " ").alias("_w")).where(F.size("_w") >= n).select(key, "_w", F.explode(F.sequence(F.lit(1), F.size("_w") - (n - 1))).alias("p"))
+    return w.select(key, F.col("p").cast("long").alias("p"), F.array_join(F.slice("_w", F.col("p"), F.lit(n)), " ").alias("gram"))
+
+
+def shared_grams(a: DataFrame, b: DataFrame, a_key: str, b_key: str, n: int = 8) -> DataFrame:
+    """a_key, p, b_key, ip, gram: the places of texts at which both have the same n words.
+
+    Grams of `a` are dropped by their hashes first, which Spark broadcasts if
+    those of `b` are few; so only what may match is shuffled with its words.
+    """
+    theirs = word_grams(b, b_key, n=n).withColumnRenamed("p", "ip").withColumn("_h", F.xxhash64("gram"))
+    mine = word_grams(a, a_key, n=n).withColumn("_h", F.xxhash64("gram")).join(theirs.select("_h").distinct(), "_h", "left_semi")
+    return mine.join(theirs, ["_h", "gram"]).drop("_h")
+
+
 def chains(found: DataFrame, band: int = 64) -> DataFrame:
     """Seeds gathered by diagonal band: how many, and the stretch that they cover."""
     diag = F.floor((F.col("q_pos") - F.col("t_pos")) / band)
@@ -67,7 +86,10 @@ MATCH, MISMATCH, OPEN, EXTEND = 2, -4, -4, -2
 
 
 def align_local(q: str, t: str, centre: int, half_band: int = 100) -> dict | None:
-    """Best local alignment with affine gaps near the diagonal q - t = centre: score, ranges, CIGAR (with soft clips), edits."""
+    """Best local alignment with affine gaps near the diagonal q - t = centre: score, ranges, CIGAR (with soft clips), edits.
+
+    One pair at a time, as the rule for `banded.align_batch`, which the dataflow uses.
+    """
     n, m = len(q), len(t)
     if not n or not m:
         return None
@@ -141,12 +163,9 @@ def align(queries: DataFrame, targets: DataFrame, k: int = 11, min_seeds: int =
 
     def extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for r in pdf.itertuples(index=False):
-                q = r.q_seq.translate(flip)[::-1] if r.strand else r.q_seq
-                hit = align_local(q, r.t_seq, int(r.diag * band + band // 2))
-                if hit and hit["score"] >= min_score:
-                    rows.append({"q_id": r.q_id, "t_id": r.t_id, "strand": r.strand, **hit})
+            queries = [q.translate(flip)[::-1] if back else q for q, back in zip(pdf["q_seq"], pdf["strand"], strict=True)]
+            hits = align_batch(queries, pdf["t_seq"].tolist(), [int(d) * band + band // 2 for d in pdf["diag"]])
+            rows = [{"q_id": q, "t_id": t, "strand": back, **hit} for q, t, back, hit in zip(pdf["q_id"], pdf["t_id"], pdf["strand"], hits, strict=True) if hit and hit["score"] >= min_score]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in ALIGNMENT.split(", ")])
 
     out = pairs.mapInPandas(extend, ALIGNMENT)
@@ -158,19 +177,7 @@ def align(queries: DataFrame, targets: DataFrame, k: int = 11, min_seeds: int =
 
 def best_alignment(q: str, t: str, k: int = 11, half_band: int = 100) -> dict | None:
     """The alignment of one pair along its best-seeded diagonal, or None without a seed."""
-    if len(q) < k or len(t) < k:
-        return None
-    at: dict[str, list[int]] = {}
-    for i in range(len(t) - k + 1):
-        at.setdefault(t[i : i + k], []).append(i)
-    votes: dict[int, int] = {}
-    for i in range(len(q) - k + 1):
-        for j in at.get(q[i : i + k], ()):
-            votes[(i - j) // 16] = votes.get((i - j) // 16, 0) + 1
-    if not votes:
-        return None
-    diag = max(votes, key=lambda d: (votes[d] + votes.get(d + 1, 0), -abs(d)))
-    return align_local(q, t, diag * 16 + 16, half_band)
+    return best_alignments([q], [t], k, half_band)[0]
 
 
 PAIR = "struct<score:int,q_start:int,q_end:int,t_start:int,t_end:int,cigar:string,nm:int>"
@@ -180,12 +187,9 @@ def align_pairs(df: DataFrame, pairs: dict[str, tuple[str, str]], min_score: int
     """The rows with one struct column for each named (query column, target column); null without an alignment."""
     fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), *(f"{name} {PAIR}" for name in pairs)])
 
-    def one(q, t):
-        hit = best_alignment(q, t) if isinstance(q, str) and isinstance(t, str) else None
-        return hit if hit and hit["score"] >= min_score else None
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pdf.assign(**{name: pd.Series([one(q, t) for q, t in zip(pdf[a], pdf[b], strict=True)], index=pdf.index, dtype=object) for name, (a, b) in pairs.items()})
+            hits = {name: [h if h and h["score"] >= min_score else None for h in best_alignments(pdf[a].tolist(), pdf[b].tolist())] for name, (a, b) in pairs.items()}
+            yield pdf.assign(**{name: pd.Series(h, index=pdf.index, dtype=object) for name, h in hits.items()})
 
     return df.mapInPandas(run, fields)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import cigar as cg
 from ..functions import flags, scoring, sequences
 from ..operators import clusters as cl
-from ..operators import consensus, cover, intervals, merge, runs
+from ..operators import consensus, cover, intervals, merge, runs, seqjoin
 from .registry import QUERIES, SQL
 from .registry import register as _register
 from .registry import table as _t
@@ -24,13 +24,13 @@ BIAS = -1.6
 ALIGNED, BAD = 10.0, 5.0
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import records  # noqa: F401  registers its own
+    from . import reads, records  # noqa: F401  they register their own
 
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import records  # noqa: F401
+    from . import reads, records  # noqa: F401
 
     return dict(SQL)
 
@@ -400,29 +400,22 @@ def length_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consensus.length_mode(w, ["source"], "len", 3)
 
 
-_KMER = """g AS (SELECT doc_id, p, array_to_string(w[p:p + 7], ' ') AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS p FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents) WHERE len(w) >= 8)),
+KMER = """g AS (SELECT doc_id, p, array_to_string(w[p:p + 7], ' ') AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS p FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents) WHERE len(w) >= 8)),
 h AS (SELECT item_id, p, array_to_string(w[p:p + 7], ' ') AS gram FROM (SELECT item_id, w, unnest(range(1, len(w) - 6)) AS p FROM (SELECT item_id, string_split(text, ' ') AS w FROM benchmark) WHERE len(w) >= 8))"""
 
 
-def _grams(df: DataFrame, key: str) -> DataFrame:
-    w = df.select(key, F.split("text", " ").alias("w")).where(F.size("w") >= 8).select(key, "w", F.explode(F.sequence(F.lit(1), F.size("w") - 7)).alias("p"))
-    return w.select(key, F.col("p").cast("long").alias("p"), F.array_join(F.slice("w", F.col("p"), F.lit(8)), " ").alias("gram"))
+def seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return seqjoin.shared_grams(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark"), "doc_id", "item_id")
 
 
-def _seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = _grams(_t(spark, sf_dir, "documents"), "doc_id")
-    b = _grams(_t(spark, sf_dir, "benchmark"), "item_id").withColumnRenamed("p", "ip")
-    return a.join(b, "gram")
-
-
-@_register(f"WITH {_KMER} SELECT doc_id, item_id, count(DISTINCT g.gram) AS shared FROM g JOIN h USING (gram) GROUP BY doc_id, item_id")
+@_register(f"WITH {KMER} SELECT doc_id, item_id, count(DISTINCT g.gram) AS shared FROM g JOIN h USING (gram) GROUP BY doc_id, item_id")
 def kmer_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _seeds(spark, sf_dir).groupBy("doc_id", "item_id").agg(F.countDistinct("gram").alias("shared"))
+    return seeds(spark, sf_dir).groupBy("doc_id", "item_id").agg(F.countDistinct("gram").alias("shared"))
 
 
-@_register(f"WITH {_KMER} SELECT doc_id, item_id, g.p - h.p AS diag, count(*) AS n_seeds, min(g.p) AS first, max(g.p) AS last FROM g JOIN h USING (gram) GROUP BY doc_id, item_id, g.p - h.p")
+@_register(f"WITH {KMER} SELECT doc_id, item_id, g.p - h.p AS diag, count(*) AS n_seeds, min(g.p) AS first, max(g.p) AS last FROM g JOIN h USING (gram) GROUP BY doc_id, item_id, g.p - h.p")
 def diagonal_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _seeds(spark, sf_dir).groupBy("doc_id", "item_id", (F.col("p") - F.col("ip")).alias("diag")).agg(F.count(F.lit(1)).alias("n_seeds"), F.min("p").alias("first"), F.max("p").alias("last"))
+    return seeds(spark, sf_dir).groupBy("doc_id", "item_id", (F.col("p") - F.col("ip")).alias("diag")).agg(F.count(F.lit(1)).alias("n_seeds"), F.min("p").alias("first"), F.max("p").alias("last"))
 
 
 @_register("""WITH t AS (SELECT doc_id, text, length(text) AS n, length(text) // 2 AS b FROM documents)
