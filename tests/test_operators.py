@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -283,3 +284,38 @@ def test_chains_of_runs_are_those_of_seeds(spark):
         shown = lambda df: sorted(tuple(r[n] for n in names) for r in df.collect())
         want = shown(seqjoin.chains(seqjoin.seeds(a, b), band))
         assert len(want) > 20 and shown(seqjoin.chained(a, b, band=band)) == want
+
+
+def test_interval_joins_cut_hot_places_and_long_intervals(spark, monkeypatch):
+    monkeypatch.setattr(intervals, "RANGE_ROWS", 40)
+    rng = random.Random(9)
+    q = [("x", s, s + rng.randrange(0, 90), i) for i, s in enumerate(rng.randrange(3000) for _ in range(300))]
+    q += [("x", 1500, 1500 + i % 3, 300 + i) for i in range(600)]  # most queries at one place
+    q += [("x", 0, 3000, 900), ("y", 5, 5, 901), ("z", 1, 2, 902), (None, 1, 2, 903), ("x", None, 2, 904)]
+    iv = [("x", s, s + rng.randrange(1, 400), i) for i, s in enumerate(rng.randrange(3000) for _ in range(120))]
+    iv += [("x", 0, 5000, 120), ("x", 1, 4999, 121), ("x", 1500, 1500, 122), ("x", 1500, 1500, 123), ("y", 5, 5, 124), ("y", 0, 9, 125), (None, 0, 9, 126), ("x", None, 9, 127)]
+    a, b = spark.createDataFrame(q, "k string, start long, end long, id long"), spark.createDataFrame(iv, "k string, i_start long, i_end long, rep long")
+    for slack in (0, 3, 50):
+        hits = {i: [(u, v, j) for m, u, v, j in iv if k == m and k and None not in (s, u) and u < e + slack and v > max(s - slack, 0)] for k, s, e, i in q}
+        pairs = intervals.overlap_pairs(a, b, "k", slack)
+        assert sorted((r.id, r.rep) for r in pairs.collect()) == sorted((i, j) for i, h in hits.items() for _, _, j in h)
+        for r in intervals.interval_overlaps(a, b, "k", ["id"], slack, None, "rep").collect():
+            h, (_, s, e, _) = hits[r.id], q[r.id]
+            assert r.n == len(h) and r.rep == (max(h, key=lambda x: (x[0], x[1], -x[2]))[2] if h else None)
+            assert r.min_dist == (min(abs(x - y) for u, v, _ in h for x in (s, e) for y in (u, v)) if h else None)
+    left, right = intervals._dealt(a.withColumns({"_lo": F.col("start"), "_hi": F.col("end")}), b.withColumns({"_s": F.col("i_start"), "_e": F.col("i_end")}), "k")
+    sizes = [r["count"] for r in left.groupBy("k", "_part", "_copy").count().collect()]
+    assert max(sizes) < 200 and sum(sizes) < 1.2 * len(q)  # the hot place is split, and few queries touch two stretches
+    assert len(right.where("rep = 120 and _copy = 0").select("_part").distinct().collect()) == right.where("k = 'x'").select("_part").distinct().count()
+
+
+def test_lists_have_no_containment():
+    from strandflow.operators.intervals import Lists
+
+    rng = np.random.default_rng(3)
+    s = rng.integers(0, 100, 400)
+    e = s + rng.integers(0, 60, 400)
+    found = Lists(s, e).lists
+    assert sorted(i for _, _, at in found for i in at) == list(range(400))
+    assert all((np.diff(a) >= 0).all() and (np.diff(b) > 0).all() for a, b, _ in found)
+    assert Lists(s[:0], e[:0]).lists == [] and len(Lists(np.arange(50), np.arange(50) + 5).lists) == 1
