@@ -39,12 +39,9 @@ def config(args: argparse.Namespace) -> caller.CallerConfig:
 
 def check_files(spark: SparkSession, args: argparse.Namespace) -> None:
     """FileNotFoundError for a file that was named and isn't there, on whatever file system."""
-    jvm = spark.sparkContext._jvm
     for name in ("bam", "class", "te_fn", "ref_fa", "repeat", "gap", "blacklist", "index", "high", "low"):
-        if path := getattr(args, name):
-            place = jvm.org.apache.hadoop.fs.Path(path)
-            if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
-                raise FileNotFoundError(path)
+        if (path := getattr(args, name)) and not files.exists(spark, path):
+            raise FileNotFoundError(path)
 
 
 def main(argv: Sequence[str] | None = None) -> None:

@@ -11,7 +11,7 @@ intervals(contig, start, end, name, kind, rep_tid).
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -22,7 +22,7 @@ from ..functions import flags, scoring
 from ..functions.scoring import Scorer
 from ..functions import sequences as sq
 from ..lineage import Scratch
-from ..operators import assembly, clusters, cover, intervals, merge, seqjoin
+from ..operators import assembly, chains, clusters, cover, intervals, merge, seqjoin
 from ..operators.runs import flank_run, scoring_runs
 from ..sources.text import tiles
 from . import annotate as an
@@ -58,11 +58,13 @@ class CallerConfig:
 @dataclass
 class Tables:
     contigs: DataFrame
-    refs: DataFrame
+    refs: DataFrame | None
     te: DataFrame
     alignments: DataFrame
     reads: DataFrame
     intervals: DataFrame
+    #: (tid, tile, offset, seq) of TILE bases and 4 * FLANK more, in place of refs.
+    tiles: DataFrame | None = None
 
 
 KEYS = ["tid", "idx"]
@@ -114,7 +116,7 @@ def segments(t: Tables, cfg: CallerConfig) -> DataFrame:
 
 def te_alignments(segs: DataFrame, t: Tables, cfg: CallerConfig) -> DataFrame:
     q = segs.join(t.reads.select("aln_id", "seq"), "aln_id").select(F.col("seg_id").cast("string").alias("q_id"), sq.sub(F.col("seq"), F.col("query_start"), F.col("query_end")).alias("q_seq"))
-    hits = seqjoin.align(cut(q, "segment_seqs"), t.te.select(F.col("te_tid").cast("string").alias("t_id"), F.col("seq").alias("t_seq")), cfg.seed)
+    hits = chains.align(cut(q, "segment_seqs"), t.te.select(F.col("te_tid").cast("string").alias("t_id"), F.col("seq").alias("t_seq")), cfg.seed)
     return hits.select(F.col("q_id").cast("long").alias("seg_id"), F.col("t_id").cast("int").alias("te_tid"), F.col("score").alias("aln_score"), F.col("q_start").alias("query_start"), F.col("q_end").alias("query_end"),
                        cg.mapped_length(F.col("cigar")).alias("map_len"), cg.divergence(F.col("cigar"), F.col("nm"), F.lit(0)).alias("divergence"))
 
@@ -165,7 +167,7 @@ def _clip(cigar: Column, last: bool) -> Column:
 
 def _reference(c: DataFrame, t: Tables, at: Column) -> DataFrame:
     """The rows with the tile of their contig that holds `at` and what follows, and where it begins."""
-    parts = tiles(t.refs, TILE, 4 * FLANK, "tid").select("tid", F.col("tile").alias("_tile"), F.col("offset").alias("ref_offset"), F.col("seq").alias("ref_seq"))
+    parts = (t.tiles if t.tiles is not None else tiles(t.refs, TILE, 4 * FLANK, "tid")).select("tid", F.col("tile").alias("_tile"), F.col("offset").alias("ref_offset"), F.col("seq").alias("ref_seq"))
     return c.withColumn("_tile", F.floor(at / TILE).cast("int")).join(parts, ["tid", "_tile"]).drop("_tile")
 
 
@@ -232,7 +234,7 @@ ROW = "struct<start:int,end:int,kind:string,reverse:boolean,bits:bigint,te_len:i
 def annotated(ins: DataFrame, t: Tables, cfg: CallerConfig) -> DataFrame:
     """Element, PolyA and PolyT rows of each insertion, structure bits and class; insertions without an element go."""
     ins = ins.withColumn("insertion_id", F.concat_ws("-", F.col("tid").cast("string"), F.col("idx").cast("string")))
-    hits = seqjoin.align(ins.select(F.col("insertion_id").alias("q_id"), F.col("ins_seq").alias("q_seq")), t.te.select(F.col("te_tid").cast("string").alias("t_id"), F.col("seq").alias("t_seq")), cfg.seed)
+    hits = chains.align(ins.select(F.col("insertion_id").alias("q_id"), F.col("ins_seq").alias("q_seq")), t.te.select(F.col("te_tid").cast("string").alias("t_id"), F.col("seq").alias("t_seq")), cfg.seed)
     te = t.te.select(F.col("te_tid").cast("string").alias("t_id"), F.col("te_tid").alias("own_tid"), F.col("name").alias("te_name"), F.col("length").alias("te_len"), F.col("class_bit").alias("cls"), "ltr_len")
     h = hits.join(te, "t_id").withColumnRenamed("q_id", "insertion_id").join(ins.select("insertion_id", F.length("ins_seq").alias("n"), "rep_tid"), "insertion_id")
     rev = F.col("strand") == 1
@@ -326,6 +328,8 @@ def ltr_length(hit: Column) -> Column:
 def call(t: Tables, cfg: CallerConfig | None = None, high: Column | Scorer | None = None, low: Column | Scorer | None = None) -> DataFrame:
     """From alignments to the result table, with models for clusters of several reads and for the rest; each stage is written to the shared folder, so that plans stay small and a lost executor costs one stage."""
     cfg = cfg or CallerConfig()
+    if t.tiles is None:
+        t = replace(t, tiles=cut(tiles(t.refs, TILE, 4 * FLANK, "tid"), "tiles"))  # two stages read them
     built, segs = build(t, cfg, high, low)
     good = cut(built.where(~F.col("low_quality")), "clusters")
     found = cut(insertions(good, assemblies(good, segs, t, cfg), t), "insertions")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import flags
 from ..operators import merge
 
+#: The columns of the result table.
 RESULT = (
     "chrom", "start", "end", "family", "frequency", "strand", "genotype", "passed", "query_region", "target_region", "total_support", "tsd_seq", "insertion_seq",
     "upstream_seq", "downstream_seq", "extra_info",
@@ -30,9 +34,25 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
 
 
 def tiles(refs: DataFrame, size: int = 65_536, overlap: int = 2_000, key: str = "name") -> DataFrame:
-    """Contigs in overlapping tiles (key, tile, offset, seq), so that a region is fetched without its whole contig."""
-    at = F.explode(F.sequence(F.lit(0), F.greatest(F.length("seq") - 1, F.lit(0)), F.lit(size)))
-    return refs.select(key, "seq", at.alias("offset")).select(key, (F.col("offset") / size).cast("int").alias("tile"), "offset", F.substring("seq", F.col("offset") + 1, F.lit(size + overlap)).alias("seq"))
+    """Contigs in overlapping tiles (key, tile, offset, seq), so that a region is fetched without its whole contig.
+
+    A contig is cut once from front to end, in batches of some tiles; an indexed
+    file is better read by `fasta.read_tiles`, for which no row holds a contig.
+    """
+    kind = refs.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                seq = batch.column(1)[row].as_py()
+                if seq is None:
+                    continue
+                for lo in range(0, max(len(seq), 1), 64 * size):
+                    at = range(lo, min(lo + 64 * size, max(len(seq), 1)), size)
+                    cols = [pa.array([batch.column(0)[row].as_py()] * len(at), batch.schema.field(0).type), pa.array([x // size for x in at], pa.int32()), pa.array(list(at), pa.int32()), pa.array([seq[x : x + size + overlap] for x in at], pa.string())]
+                    yield pa.RecordBatch.from_arrays(cols, [key, "tile", "offset", "seq"])
+
+    return refs.select(key, F.col("seq").cast("string")).mapInArrow(run, f"`{key}` {kind}, tile int, offset int, seq string")
 
 
 def fasta_index(refs: DataFrame, *more: str) -> DataFrame:
@@ -40,6 +60,7 @@ def fasta_index(refs: DataFrame, *more: str) -> DataFrame:
 
 
 def read_fai(spark: SparkSession, path: str) -> DataFrame:
+    """name, length of the contigs of a FASTA index."""
     return spark.read.csv(path, sep="\t", schema="name string, length int, offset long, line_bases int, line_width int").select("name", "length")
 
 
