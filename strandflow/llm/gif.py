@@ -291,13 +291,14 @@ def frames_of(media: DataFrame, id_col: str = "doc_id", media_col: str = "media"
     """One row per frame: id, frame, start_ms, delay_ms, its place, histogram, pixels (RGBA, if asked), error.
 
     Null media give no row.  Bytes that aren't a whole GIF give one row with an
-    error and nothing else.  Repeated rows give their frames each.
+    error and nothing else.  Repeated rows give their frames each.  Ids keep
+    their type; an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "frame", "start_ms", "delay_ms", "x", "y", "width", "height", "histogram", "pixels", "error"]
-        kinds = [pa.int64(), *[pa.int32()] * 7, pa.list_(pa.int64()), pa.binary(), pa.string()]
         for batch in batches:
+            kinds = [batch.schema.field(0).type, *[pa.int32()] * 7, pa.list_(pa.int64()), pa.binary(), pa.string()]
             for key, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if not raw.is_valid:
                     continue

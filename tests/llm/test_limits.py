@@ -4,7 +4,7 @@ import random
 import re
 import time
 
-from strandflow.llm import decontam, langid, neardup, pii
+from strandflow.llm import decontam, gif, langid, neardup, pii
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -70,3 +70,9 @@ def test_one_huge_item_is_cut_too(spark, monkeypatch):
     assert found() == one and len(sizes) > 2 and max(sizes) <= 30_000
     want = {0: 30, 1: 15, 2: 15, 3: 5, 4: 0, 5: 9_000, 6: 0}
     assert {r[0]: r[2] for r in one} == want
+
+
+def test_frames_keep_the_type_of_ids(spark):
+    docs = spark.createDataFrame([("a", "some text"), ("b", None)], "doc_id string, text string")
+    got = gif.frames_of(gif.store_texts(docs)).collect()
+    assert {r.doc_id for r in got} == {"a", "b"} and all(r.error is None and sum(r.histogram) == r.width * r.height for r in got if r.histogram)
