@@ -134,6 +134,8 @@ def assemble(reads: DataFrame, keys: list[str], rounds: int = 2, edge: int = 0,
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         draft = pdf["_draft"].iloc[0]
+        if pdf["_settled"].iloc[0]:
+            return same(pdf, pd.DataFrame({"_at": [-1], "_kind": [1], "_text": [draft], "_votes": [0]}))
         counts, letters, after = votes(draft, others(pdf))
         at, letter = np.nonzero(counts)
         out = [(-1, 0, draft, 0)] + [(j, 0, letters[c], int(counts[j, c])) for j, c in zip(at.tolist(), letter.tolist(), strict=True)] + [(j, 1, t, n) for (j, t), n in after.items()]
@@ -147,7 +149,8 @@ def assemble(reads: DataFrame, keys: list[str], rounds: int = 2, edge: int = 0,
         np.add.at(counts, (base["_at"].to_numpy(), base["_text"].map({c: i for i, c in enumerate(letters)}).to_numpy(np.int64)), base["_votes"].to_numpy())
         extra = pdf[(pdf["_at"] >= 0) & (pdf["_kind"] == 1)]
         after = Counter({(j, t): n for j, t, n in zip(extra["_at"], extra["_text"], extra["_votes"], strict=True)})
-        return pdf[[*keys, "_own", "_n"]].head(1).assign(_draft=rebuilt(draft, counts, letters, after, edge=edge_of(pdf)))
+        new = draft if base.empty and extra.empty else rebuilt(draft, counts, letters, after, edge=edge_of(pdf))
+        return pdf[[*keys, "_own", "_n"]].head(1).assign(_draft=new, _settled=new == draft)  # a vote that changes nothing isn't held again
 
     def edge_of(pdf: pd.DataFrame) -> int:
         n = int(pdf["_n"].iloc[0])
@@ -167,7 +170,7 @@ def assemble(reads: DataFrame, keys: list[str], rounds: int = 2, edge: int = 0,
         for at, kind, text, n in zip(pdf["_at"], pdf["_kind"], pdf["_text"], pdf["_votes"], strict=True):
             if at >= 0:
                 seen.setdefault(at, Counter())[text, kind] += n
-        return pdf[[*keys, "_own", "_n"]].head(1).assign(_draft=recalibrate([draft[a : b + 1] for a, b in polymers(draft)], seen))
+        return pdf[[*keys, "_own", "_n"]].head(1).assign(_draft=recalibrate([draft[a : b + 1] for a, b in polymers(draft)], seen), _settled=True)
 
     own = f"_own {fields['seg_id']}, _n long"
     counted = f"{head}, {own}, _at int, _kind int, _text string, _votes long"
@@ -180,12 +183,12 @@ def assemble(reads: DataFrame, keys: list[str], rounds: int = 2, edge: int = 0,
     shown = scratch.cut(shown, "pieces")
     first = shown.where("_kind = 0").groupBy(*of, "_at", F.pmod(F.xxhash64("_text"), F.ceil(F.col("_n") / SLICE)).alias("_slice")).applyInPandas(graph, counted)
     piece = first.unionByName(shown.where("_kind = 1")).groupBy(*of, "_at").applyInPandas(graph, counted)
-    drafts = piece.groupBy(*of).agg(F.array_sort(F.collect_list(F.struct("_at", "_text"))).alias("_x")).select(*of, F.array_join(F.transform("_x", lambda x: x["_text"]), "").alias("_draft"))
+    drafts = piece.groupBy(*of).agg(F.array_sort(F.collect_list(F.struct("_at", "_text"))).alias("_x")).select(*of, F.array_join(F.transform("_x", lambda x: x["_text"]), "").alias("_draft"), F.lit(False).alias("_settled"))
     for name, show, settle in [(f"votes{i}", count, fold) for i in range(rounds)] + [("lengths", runs, lengths)]:
         drafts = scratch.cut(drafts, name)  # also: a draft is made once, however often it is read
         shown = dealt(drafts).applyInPandas(show, counted)
         summed = shown.groupBy(*of, "_at", "_kind", "_text").agg(F.sum("_votes").alias("_votes"))
-        drafts = summed.groupBy(*keys).applyInPandas(settle, f"{head}, {own}, _draft string")
+        drafts = summed.groupBy(*keys).applyInPandas(settle, f"{head}, {own}, _draft string, _settled boolean")
     text = F.regexp_replace("_draft", "N", "")
     done = drafts.select(*keys, text.alias("assembly"), (F.length(text) >= node_len).alias("is_assembled"))
     return done.unionByName(alone.select(*keys, text.alias("assembly"), F.lit(False).alias("is_assembled")))

@@ -93,10 +93,11 @@ def background(t: Tables) -> tuple[float, float, float]:
     """Mean divergence, depth and median read length of the longest contig (the first of equals)."""
     longest = t.contigs.agg(F.max_by(F.struct("tid", "length"), F.struct("length", -F.col("tid"))).alias("c")).select("c.*")
     rows = valid(t.alignments).join(F.broadcast(longest), "tid")  # one row
-    row = rows.agg(F.avg(cg.divergence(F.col("cigar"), F.col("nm"), F.col("nn"))).alias("div"), (F.sum(cg.mapped_length(F.col("cigar"))) / F.first("length")).alias("depth"), F.median("read_len").alias("len")).first()
-    if row["depth"] is None:
+    rows = rows.select("tid", "length", "read_len", cg.divergence(F.col("cigar"), F.col("nm"), F.col("nn")).alias("div"), cg.mapped_length(F.col("cigar")).alias("mapped"))
+    row = clusters.background(rows, "tid", "length", "div", "read_len", "mapped").first()
+    if row["bg_depth"] is None:
         raise ValueError("no valid alignments on the longest contig")
-    return float(row["div"] or 0.0), float(row["depth"]), float(row["len"])
+    return float(row["bg_div"] or 0.0), float(row["bg_depth"]), float(row["bg_read_len"])
 
 
 def segments(t: Tables, cfg: CallerConfig) -> DataFrame:
