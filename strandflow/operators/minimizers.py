@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,22 +54,47 @@ def minimizer_places(codes: np.ndarray, k: int, w: int, wild: int | None = ord("
     return at, h[at]
 
 
-def with_minimizers(df: DataFrame, seq: str, name: str = "minimizers", k: int = 15, w: int = 5, once: bool = False) -> DataFrame:
-    """The rows with an array of (pos, hash); with `once`, of hashes that stand at one place of the sequence only.  A null or short sequence has none."""
+#: Minimizers of an Arrow batch, about; those of a longer sequence are a batch of their own.
+BATCH = 200_000
 
-    @F.pandas_udf("array<struct<pos:int,hash:long>>")
-    def places(texts: pd.Series) -> pd.Series:
-        out = []
-        for t in texts:
-            at, h = minimizer_places(np.frombuffer((t or "").encode("utf-32-le"), np.uint32), k, w)
-            if once and len(h):
-                _, first, n = np.unique(h, return_index=True, return_counts=True)
-                keep = np.sort(first[n == 1])
-                at, h = at[keep], h[keep]
-            out.append([{"pos": p, "hash": x} for p, x in zip(at.tolist(), h.astype(np.int64).tolist(), strict=True)])
-        return pd.Series(out)
 
-    return df.withColumn(name, places(F.col(seq)))
+def minimizer_rows(df: DataFrame, seq: str, keep: list[str], k: int = 15, w: int = 5, once: bool = False) -> DataFrame:
+    """keep, size (letters of the sequence), pos, hash: a row for each minimizer; with `once`, of hashes that stand at one place of the sequence only.
+
+    Null and short sequences have none.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of, size, place, value, total = [], [], [], [], 0
+
+            def made(batch: pa.RecordBatch = batch) -> pa.RecordBatch:
+                rows = pa.array(np.repeat(of, [len(x) for x in place]))
+                cols = [pa.array(np.repeat(size, [len(x) for x in place]).astype(np.int32)), pa.array(np.concatenate(place).astype(np.int32)), pa.array(np.concatenate(value).astype(np.int64))]
+                return pa.RecordBatch.from_arrays([*(batch.column(i).take(rows) for i in range(len(keep))), *cols], [*keep, "size", "pos", "hash"])
+
+            for row, t in enumerate(batch.column(len(keep)).to_pylist()):
+                at, h = minimizer_places(np.frombuffer((t or "").encode("utf-32-le"), np.uint32), k, w)
+                if once and len(h):
+                    _, first, n = np.unique(h, return_index=True, return_counts=True)
+                    only = np.sort(first[n == 1])
+                    at, h = at[only], h[only]
+                if not len(at):
+                    continue
+                of.append(row)
+                size.append(len(t))
+                place.append(at)
+                value.append(h)
+                total += len(at)
+                if total > BATCH:
+                    yield made()
+                    of, size, place, value, total = [], [], [], [], 0
+            if total:
+                yield made()
+
+    head = ", ".join(f"`{c}` {kinds[c]}" for c in keep)
+    return df.select(*keep, seq).mapInArrow(run, f"{head}, size int, pos int, hash long")
 
 
 def has_repeat(seq: str, k: int) -> Column:
@@ -92,7 +120,7 @@ def anchors(queries: DataFrame, targets: DataFrame, k: int = 11, w: int = 5, bot
     ways = [F.struct(F.lit(0).alias("strand"), F.col("q_seq").alias("seq"))]
     if both_strands:
         ways.append(F.struct(F.lit(1).alias("strand"), reverse_complement("q_seq").alias("seq")))
-    q = with_minimizers(queries.select("q_id", F.explode(F.array(*ways)).alias("x")).select("q_id", "x.strand", "x.seq"), "seq", "m", k, w)
-    q = q.select("q_id", "strand", F.explode("m").alias("x")).select("q_id", "strand", F.col("x.pos").alias("q_pos"), F.col("x.hash").alias("hash"))
-    t = with_minimizers(targets.select("t_id", "t_seq"), "t_seq", "m", k, w).select("t_id", F.explode("m").alias("x")).select("t_id", F.col("x.pos").alias("t_pos"), F.col("x.hash").alias("hash"))
+    q = queries.select("q_id", F.explode(F.array(*ways)).alias("x")).select("q_id", "x.strand", "x.seq")
+    q = minimizer_rows(q, "seq", ["q_id", "strand"], k, w).withColumnRenamed("pos", "q_pos").drop("size")
+    t = minimizer_rows(targets, "t_seq", ["t_id"], k, w).withColumnRenamed("pos", "t_pos").drop("size")
     return q.join(t, "hash").select("q_id", "t_id", "strand", "q_pos", "t_pos")

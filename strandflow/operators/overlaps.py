@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .minimizers import with_minimizers
+from .minimizers import minimizer_rows
 
 #: k-mers and windows of minimizers, and letters that an overlap has to have.
 K, W, MIN_OVERLAP = 15, 5, 256
@@ -24,8 +24,8 @@ BAND = 64
 
 def places(reads: DataFrame, keys: list[str], k: int = K, w: int = W) -> DataFrame:
     """keys, hash, seg_id, before, after: the minimizers of reads (keys, seg_id, seq), with the read's letters up to each and from it on."""
-    m = with_minimizers(reads.select(*keys, "seg_id", "seq"), "seq", "_m", k, w, once=True)
-    return m.select(*keys, "seg_id", F.length("seq").alias("_n"), F.explode("_m").alias("_x")).select(*keys, "seg_id", F.col("_x.hash").alias("hash"), F.col("_x.pos").alias("before"), (F.col("_n") - F.col("_x.pos")).alias("after"))
+    m = minimizer_rows(reads, "seq", [*keys, "seg_id"], k, w, once=True)
+    return m.select(*keys, "seg_id", "hash", F.col("pos").alias("before"), (F.col("size") - F.col("pos")).alias("after"))
 
 
 def _dominated(group: list) -> Column:
@@ -131,6 +131,8 @@ def layout(reads: DataFrame, keys: list[str], edge: DataFrame, scratch, k: int =
         return pd.DataFrame([(i, *x) for i, x in enumerate(path)], columns=["_order", "seg_id", "_start", "_end"]).assign(**{c: pdf[c].iloc[0] for c in keys})[[*keys, "_order", "seg_id", "_start", "_end"]]
 
     head = ", ".join(f"{c} {fields[c]}" for c in keys)
+    # few bytes and much work: a number of partitions of its own, which isn't made smaller for its bytes
+    rows = rows.repartition(int(reads.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
     paths = rows.groupBy(*keys).applyInPandas(lay, f"{head}, _order int, seg_id string, _start int, _end int").withColumn("seg_id", F.col("seg_id").cast(fields["seg_id"]))
     piece = F.struct("_order", F.expr("substring(seq, _start + 1, _end - _start)").alias("_text"))
     laid = paths.join(reads.select(*keys, "seg_id", "seq"), [*keys, "seg_id"]).groupBy(*keys).agg(F.array_sort(F.collect_list(piece)).alias("_pieces"))
