@@ -63,4 +63,4 @@ def test_queries_match_sql(spark, name):
 
 
 def test_every_operator_has_a_query():
-    assert [n.split("_")[0] for n in queries.QUERIES] == [*(f"op{i}" for i in range(1, 11)), "pipeline"]
+    assert [n.split("_")[0] for n in queries.QUERIES if n != "quality_rule_counts"] == [*(f"op{i}" for i in range(1, 14)), "pipeline"]
