@@ -228,7 +228,8 @@ def _packs(pack_tokens: int):
 def packs(convs: DataFrame, pack_tokens: int = PACK_TOKENS, partitions: int | None = None) -> DataFrame:
     """Packs of the prefix tree: tokens are code points of the formatted text, leaves say which node ends a conversation.
 
-    No conversations give no packs; equal ones are leaves each.
+    No conversations give no packs; equal ones are leaves each.  A long
+    conversation is held whole by one task.
     """
     kind = convs.schema["conv_id"].dataType.simpleString()
     n = partitions or int(convs.sparkSession.conf.get("spark.sql.shuffle.partitions"))

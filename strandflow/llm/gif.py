@@ -275,7 +275,11 @@ def padded(raw: bytes, block: int = BLOCK) -> bytes:
 
 
 def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_bytes, media (GIF); null texts count as empty.  Other columns are ignored."""
+    """One row per input row: doc_id, n_bytes, media (GIF); null texts count as empty.
+
+    A long text is one image, made whole in memory; repeated rows are stored
+    each; an empty table gives no rows.  Other columns are ignored.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -205,8 +205,9 @@ def identified(docs: DataFrame, model: Model | None, id_col: str = "doc_id", tex
     """One row per input row: doc_id, lang_pred, score, rejected.
 
     Null texts, texts without a letter (Unicode's category L), and all texts if
-    there is no model, are `und` with score 0 and rejected.  Repeated rows are
-    scored each.  Other columns are ignored.
+    there is no model, are `und` with score 0 and rejected.  Of equal scores the
+    first language by name counts.  Long texts are scored whole, repeated rows
+    each; an empty table gives no rows.  Other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

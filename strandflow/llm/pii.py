@@ -187,7 +187,10 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The same rows and columns with personal data replaced in the text; null texts stay null."""
+    """The same rows and columns with personal data replaced in the text; null texts stay null.
+
+    Repeated rows are redacted each, long texts whole; an empty table stays empty.
+    """
     names = docs.columns
     at = names.index(text_col)
 

@@ -221,7 +221,12 @@ def train(docs: DataFrame, labels: DataFrame, keep, max_train: int = MAX_TRAIN)
 
 
 def scored(docs: DataFrame, model: Model, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, score, predicted.  Null texts are scored as empty.  Other columns are ignored."""
+    """One row per input row: doc_id, score, predicted (1 at a score of exactly the threshold).
+
+    Null texts are scored as empty, and an empty one from the model's constant.
+    Long texts are scored whole, repeated rows each; an empty table gives no
+    rows.  Other columns are ignored.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

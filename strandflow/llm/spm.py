@@ -299,6 +299,10 @@ def decoded(ids: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: st
 
 
 def digest(docs: DataFrame, model_path: str, scores: str = "auto", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_tokens, ids_sha256 (little-endian int32), decoded_sha256 and whether the text came back; a null text counts as empty."""
+    """doc_id, n_bytes, n_tokens, ids_sha256 (little-endian int32), decoded_sha256 and whether the text came back; a null text counts as empty.
+
+    Repeated rows are encoded each, long texts whole; an empty table gives no
+    rows.  Other columns are ignored.
+    """
     rows, kind = keyed(docs, id_col, text_col)
     return rows.mapInArrow(_batches(model_path, scores, False, True), f"doc_id {kind}, {DIGEST}")

@@ -82,7 +82,8 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 1024, table_
     """One row per input row: doc_id, n_bytes (UTF-8), n_tokens, over_limit.
 
     Null texts count as empty: no bytes, no tokens.  Repeated rows are counted
-    each.  Other columns are ignored.
+    each, long texts whole; exactly `limit` tokens aren't over it; an empty table
+    gives no rows.  Other columns are ignored.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)).cast("long").alias("n_bytes"))
     out = rows.mapInArrow(_count(tokenizer_path, table_size), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_tokens long")
