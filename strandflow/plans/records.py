@@ -166,9 +166,10 @@ l AS (SELECT k, list({{'s': s, 'e': e, 'kind': kind, 'reverse': reverse, 'bits':
 
 
 def _annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """k and rows: annotations in order."""
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", (F.col("l_linenumber") % 4).alias("m")).distinct()
-    te = F.col("m").isin(1, 2)
+    """k and rows: annotations in order; items of one part, supplier and kind are one, others stay, also where their annotations are equal."""
+    line = F.col("l_linenumber") % 4
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", F.when(line == 0, 0).when(line == 3, 3).otherwise(1).alias("m")).distinct()
+    te = F.col("m") == 1
     only = lambda c: F.when(te, c)
     bits = F.when(F.col("l_suppkey") % 3 == 0, B["5P_FULL"]).otherwise(0) + F.when(F.col("l_suppkey") % 4 != 0, B["3P_FULL"]).otherwise(0)
     tid = (F.col("l_partkey") % 7).cast("int")
@@ -178,7 +179,7 @@ def _annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
         only((F.col("l_partkey") % 700 + 300).cast("int")).alias("te_len"), F.when(te, F.expr("shiftleft(cast(1 as bigint), cast(15 + l_partkey % 5 as int))")).otherwise(F.lit(0).cast("long")).alias("cls"), only(tid).alias("te_tid"),
         only((F.col("l_suppkey") % 60).cast("int")).alias("ref_start"), only((F.col("l_partkey") % 220 + 80).cast("int")).alias("ref_end"), only(F.concat(F.lit("T"), tid.cast("string"))).alias("name"),
     )
-    return li.select(F.col("l_orderkey").alias("k"), row.alias("row")).distinct().groupBy("k").agg(F.array_sort(F.collect_list("row")).alias("rows"))
+    return li.select(F.col("l_orderkey").alias("k"), row.alias("row")).groupBy("k").agg(F.array_sort(F.collect_list("row")).alias("rows"))
 
 
 _STRUCTURE = f"""x AS (SELECT k, rows, len(rows) AS n, rows[1] AS f, rows[len(rows)] AS t, list_filter(rows, lambda r: r.kind <> 'PolyT')[1] AS lf, list_filter(rows, lambda r: r.kind <> 'PolyA')[-1] AS rg, rows[nullif(list_position(list_transform(rows, lambda r: r.kind <> 'PolyT'), true), 0) - 1] AS bf, rows[len(rows) - nullif(list_position(list_reverse(list_transform(rows, lambda r: r.kind <> 'PolyA')), true), 0) + 2] AS af,
