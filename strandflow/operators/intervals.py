@@ -7,7 +7,9 @@ row, however long they are.  Equal positions can't be cut: the queries of such a
 place are dealt to several groups, each with a copy of the intervals.  In a
 group, intervals are decomposed into lists in which none contains another, so
 that starts and ends both ascend: what a query overlaps is then one slice of
-each list, and counts and nearest edges need no list of pairs.
+each list, and counts and nearest edges need no list of pairs.  For these, equal
+intervals are one with a weight (each would open a list of its own, which all
+queries probe), and queries of one place are one.
 
 A pair belongs to the stretch of the later of its two starts.
 """
@@ -151,24 +153,30 @@ def overlap_pairs(queries: DataFrame, intervals: DataFrame, key: str, slack, wid
     return _cogrouped(left, right, key, run, ", ".join(f"`{c}` {t}" for c, t in kinds))
 
 
-def _summed(queries: DataFrame, intervals: DataFrame, key: str, ids: list[str], edges: list[str], rep: str | None) -> DataFrame:
-    """ids, n, min_dist over all pairs of the queries' `edges` and the intervals', and `rep`: in groups first, then over a query's stretches."""
+def _summed(queries: DataFrame, intervals: DataFrame, key: str, edges: list[str], rep: str | None) -> tuple[DataFrame, list[str]]:
+    """(a row for each place of the queries that overlaps something, with n, min_dist over all pairs of the `edges` and the intervals', and `rep`; the columns of a place).
+
+    Queries of one place have one result, and equal intervals differ by `rep`
+    alone: each is one row of the join, which so follows the number of places.
+    """
+    place = [key, "_lo", "_hi", *edges]
     kinds = {f.name: f.dataType.simpleString() for f in queries.schema}
     rep_kind = intervals.schema[rep].dataType.simpleString() if rep else None
-    left = queries.select(*dict.fromkeys([key, *ids, *edges, "_lo", "_hi"]))
-    right = intervals.select(*dict.fromkeys([key, "_s", "_e", *([rep] if rep else [])]))
+    left = queries.select(*place).distinct()
+    right = intervals.groupBy(key, "_s", "_e").agg(F.count(F.lit(1)).alias("_n"), *([F.min(rep).alias(rep)] if rep else []))
     far = np.int64(1 << 62)
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         lo, hi, least = (_longs(a, c) for c in ("_lo", "_hi", "_from"))
         at_edges = [_longs(a, c) for c in edges]
-        value = _longs(b, rep) if rep else np.zeros(len(b), np.int64)
+        many, value = _longs(b, "_n"), _longs(b, rep) if rep else np.zeros(len(b), np.int64)
         count, dist = np.zeros(len(lo), np.int64), np.full(len(lo), far)
         best = [np.full(len(lo), -far), np.full(len(lo), -far), np.full(len(lo), -far)]  # start, end, -rep of the greatest
         for starts, ends, at, first, end in Lists(_longs(b, "_s"), _longs(b, "_e")).slices(lo, hi, least):
             hit = np.flatnonzero(end > first)
             f, e = first[hit], end[hit]
-            count[hit] += e - f
+            before = np.concatenate([[0], np.cumsum(many[at])])
+            count[hit] += before[e] - before[f]
             for x in at_edges:
                 dist[hit] = np.minimum(dist[hit], np.minimum(_nearest(starts, x[hit], f, e), _nearest(ends, x[hit], f, e)))
             new = (starts[e - 1], ends[e - 1], -value[at[e - 1]])
@@ -176,31 +184,37 @@ def _summed(queries: DataFrame, intervals: DataFrame, key: str, ids: list[str],
             for k in range(3):
                 best[k][hit[over]] = new[k][over]
         keep = pa.array(np.flatnonzero(count))
-        out = a.select(ids).take(keep)
+        out = a.select(place).take(keep)
         cols = [pa.array(x).take(keep) for x in (count, dist, *best)]
-        return pa.Table.from_arrays([*out.columns, *cols], names=[*ids, "n", "min_dist", "_bs", "_be", "_br"])
+        return pa.Table.from_arrays([*out.columns, *cols], names=[*place, "n", "min_dist", "_bs", "_be", "_br"])
 
-    parts = _cogrouped(left, right, key, run, ", ".join(f"`{c}` {kinds[c]}" for c in ids) + ", n long, min_dist long, _bs long, _be long, _br long")
+    parts = _cogrouped(left, right, key, run, ", ".join(f"`{c}` {kinds[c]}" for c in place) + ", n long, min_dist long, _bs long, _be long, _br long")
     # a query that spans stretches has a row in each
-    found = parts.groupBy(*ids).agg(F.sum("n").alias("n"), F.min("min_dist").alias("min_dist"), *([(-F.max_by("_br", F.struct("_bs", "_be", "_br"))).cast(rep_kind).alias(rep)] if rep else []))
-    return found
+    found = parts.groupBy(*place).agg(F.sum("n").alias("n"), F.min("min_dist").alias("min_dist"), *([(-F.max_by("_br", F.struct("_bs", "_be", "_br"))).cast(rep_kind).alias(rep)] if rep else []))
+    return found, place
+
+
+def _kept(queries: DataFrame) -> DataFrame:
+    """The queries as a table, since they are read for their places and for their results."""
+    return Scratch(queries.sparkSession, "queries").cut(queries, "all")
 
 
 def point_overlaps(points: DataFrame, intervals: DataFrame, key: str, point: str, ids: list[str], slack, width=None, i=("i_start", "i_end")) -> DataFrame:
     """ids, n (intervals within `slack` of the point) and min_dist (to the nearest of their edges); points without any have 0 and null."""
     p = F.col(point)
-    left = points.withColumns({"_at": p.cast("long"), "_lo": _low(p - slack), "_hi": (p + slack).cast("long")})
+    left = _kept(points.select(*dict.fromkeys([key, point, *ids]))).withColumns({"_at": p.cast("long"), "_lo": _low(p - slack), "_hi": (p + slack).cast("long")})
     right = intervals.withColumns({"_s": F.col(i[0]).cast("long"), "_e": F.col(i[1]).cast("long")})
-    found = _summed(left, right, key, ids, ["_at"], None)
-    return points.select(*ids).join(found, ids, "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+    found, place = _summed(left, right, key, ["_at"], None)
+    return left.select(*dict.fromkeys([*place, *ids])).join(found, place, "left").select(*ids, F.coalesce("n", F.lit(0).cast("long")).alias("n"), "min_dist")
 
 
 def interval_overlaps(queries: DataFrame, intervals: DataFrame, key: str, ids: list[str], slack, width, rep: str, q=("start", "end"), i=("i_start", "i_end")) -> DataFrame:
     """ids, n, min_dist over all four pairs of edges, and `rep` of the interval with the greatest start, then end, then the least rep (a whole number)."""
-    left = queries.withColumns({"_qs": F.col(q[0]).cast("long"), "_qe": F.col(q[1]).cast("long"), "_lo": _low(F.col(q[0]) - slack), "_hi": (F.col(q[1]) + slack).cast("long")})
+    edges = {"_qs": F.col(q[0]).cast("long"), "_qe": F.col(q[1]).cast("long"), "_lo": _low(F.col(q[0]) - slack), "_hi": (F.col(q[1]) + slack).cast("long")}
+    left = _kept(queries.select(*dict.fromkeys([key, *q, *ids]))).withColumns(edges)
     right = intervals.withColumns({"_s": F.col(i[0]).cast("long"), "_e": F.col(i[1]).cast("long")})
-    found = _summed(left, right, key, ids, ["_qs", "_qe"], rep)
-    return queries.select(*ids).join(found, ids, "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+    found, place = _summed(left, right, key, ["_qs", "_qe"], rep)
+    return left.select(*dict.fromkeys([*place, *ids])).join(found.withColumnRenamed(rep, "_rep"), place, "left").select(*ids, F.coalesce("n", F.lit(0).cast("long")).alias("n"), "min_dist", F.col("_rep").alias(rep))
 
 
 def location_type(n: Column, min_dist: Column, near: int = 50) -> Column:
@@ -215,9 +229,10 @@ def alignment_location(start_type: Column, end_type: Column) -> Column:
 
 def semi(queries: DataFrame, intervals: DataFrame, key: str, ids: list[str], slack, width=None, how: str = "left_semi", q=("start", "end"), i=("i_start", "i_end")) -> DataFrame:
     """The queries that some interval overlaps within `slack`, or with how="left_anti" the others."""
-    left = queries.withColumns({"_lo": _low(F.col(q[0]) - slack), "_hi": (F.col(q[1]) + slack).cast("long")})
+    left = _kept(queries).withColumns({"_lo": _low(F.col(q[0]) - slack), "_hi": (F.col(q[1]) + slack).cast("long")})
     right = intervals.withColumns({"_s": F.col(i[0]).cast("long"), "_e": F.col(i[1]).cast("long")})
-    return queries.join(_summed(left, right, key, ids, [], None).select(*ids), ids, how)
+    found, place = _summed(left, right, key, [], None)
+    return left.join(found.select(*place), place, how).select(*queries.columns)
 
 
 def spanning(breakpoints: DataFrame, reads: DataFrame, supporters: DataFrame, key: str, cluster: list[str], read: str, margin, width=None, at=("ref_start", "ref_end")) -> DataFrame:

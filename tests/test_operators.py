@@ -319,3 +319,21 @@ def test_lists_have_no_containment():
     assert sorted(i for _, _, at in found for i in at) == list(range(400))
     assert all((np.diff(a) >= 0).all() and (np.diff(b) > 0).all() for a, b, _ in found)
     assert Lists(s[:0], e[:0]).lists == [] and len(Lists(np.arange(50), np.arange(50) + 5).lists) == 1
+
+
+def test_equal_intervals_and_queries_are_one_row_of_the_join(spark, monkeypatch):
+    sizes = []
+    monkeypatch.setattr(intervals, "_dealt", lambda q, i, key, dealt=intervals._dealt: sizes.append((q.count(), i.count())) or dealt(q, i, key))
+    q = [("x", 10 + i % 2, 12 + i % 2, i) for i in range(400)] + [("x", 90, 91, 400), (None, 1, 2, 401)]
+    iv = [("x", 5 + i % 3, 12, 1000 - i) for i in range(300)] + [("x", 13, 13, 7), ("x", 13, 13, 3)]
+    a, b = spark.createDataFrame(q, "k string, start long, end long, id long"), spark.createDataFrame(iv, "k string, i_start long, i_end long, rep long")
+    near = lambda k, lo, hi: [(u, v, r) for m, u, v, r in iv if k == m and u < hi + 2 and v > max(lo - 2, 0)]
+    least = lambda hits, *at: min((abs(x - y) for u, v, _ in hits for x in at for y in (u, v)), default=None)
+    spans = {i: near(k, s, e) for k, s, e, i in q}
+    got = {r.id: (r.n, r.min_dist, r.rep) for r in intervals.interval_overlaps(a, b, "k", ["id"], 2, None, "rep").collect()}
+    assert got == {i: (len(spans[i]), least(spans[i], s, e), 3 if spans[i] else None) for _, s, e, i in q}
+    points = {r.id: (r.n, r.min_dist) for r in intervals.point_overlaps(a, b, "k", "start", ["id"], 2).collect()}
+    assert points == {i: (len(h := near(k, s, s)), least(h, s)) for k, s, _, i in q}
+    assert {r.id for r in intervals.semi(a, b, "k", ["id"], 2).collect()} == set(range(400))
+    assert {r.id for r in intervals.semi(a, b, "k", ["id"], 2, how="left_anti").collect()} == {400, 401}
+    assert len(sizes) == 4 and all(n <= 4 and m <= 4 for n, m in sizes), sizes
