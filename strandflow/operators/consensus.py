@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,30 +22,74 @@ def vote(df: DataFrame, keys: list[str], value: str, n: str | None = None) -> Da
     return counted.groupBy(*keys).agg(best.alias("_v")).select(*keys, F.col("_v.value").alias(value), F.col("_v._n").alias("n"))
 
 
+#: Letters that are counted at once; of a batch's counts up to four times as many are held.
+LETTERS = 500_000
+
+
+def _stretches(texts: pa.Array, most: int) -> Iterator[tuple[list[int], list[int], list[str]]]:
+    """(rows, first places, letters) of up to `most` letters in all; a long text is cut."""
+    rows, starts, parts, room = [], [], [], most
+    for row in range(len(texts)):
+        t, at = texts[row].as_py() or "", 0
+        while at < len(t):
+            part = t[at : at + room]
+            rows.append(row)
+            starts.append(at)
+            parts.append(part)
+            at, room = at + len(part), room - len(part)
+            if not room:
+                yield rows, starts, parts
+                rows, starts, parts, room = [], [], [], most
+    if rows:
+        yield rows, starts, parts
+
+
+def _merged(counts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """One (values, counts) of several."""
+    values, n = (np.concatenate(x) for x in zip(*counts, strict=True))
+    order = np.argsort(values, kind="stable")
+    values = values[order]
+    new = np.flatnonzero(np.diff(values, prepend=-1))
+    return values[new], np.add.reduceat(n[order], new)
+
+
 def position_counts(df: DataFrame, key: str, text: str) -> DataFrame:
     """key, pos (from 1), ch, n: how often each character stands at each place of the texts of a key.
 
-    Counted batch by batch in numpy, so that a place of a batch is a few rows and
-    not one for each text; the counts of all batches have yet to be summed.
-    Null texts count as empty.
+    Counted in numpy, a bounded number of letters at once, and summed within a
+    batch as long as that is bounded too, so that a place is a few rows and not
+    one for each text; these counts have yet to be summed.  Null texts count as
+    empty.
     """
     kind = df.schema[key].dataType.simpleString()
+    most = LETTERS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).dictionary_encode(null_encoding="encode")
             of = ids.indices.to_numpy()
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            size = np.array([len(t) for t in texts])
-            codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.int64)
-            if not len(codes):
-                continue
-            pos = np.arange(len(codes)) - np.repeat(np.cumsum(size) - size, size)
-            packed, n = np.unique((np.repeat(of, size) * (int(size.max()) + 1) + pos) * 0x110000 + codes, return_counts=True)
-            where, ch = packed // 0x110000, packed % 0x110000
-            shown = pa.array([chr(c) for c in ch.tolist()], pa.string())
-            cols = [ids.dictionary.take(pa.array(where // (int(size.max()) + 1))), pa.array((where % (int(size.max()) + 1) + 1).astype(np.int32)), shown, pa.array(n.astype(np.int64))]
-            yield pa.RecordBatch.from_arrays(cols, [key, "pos", "ch", "n"])
+            wide = (pc.max(pc.utf8_length(batch.column(1))).as_py() or 0) + 1
+
+            def shown(packed: np.ndarray, n: np.ndarray, ids: pa.Array = ids, wide: int = wide) -> pa.RecordBatch:
+                where, ch = packed // 0x110000, packed % 0x110000
+                letters, number = np.unique(ch, return_inverse=True)
+                ch = pa.array([chr(c) for c in letters.tolist()], pa.string()).take(pa.array(number))
+                cols = [ids.dictionary.take(pa.array(where // wide)), pa.array((where % wide + 1).astype(np.int32)), ch, pa.array(n)]
+                return pa.RecordBatch.from_arrays(cols, [key, "pos", "ch", "n"])
+
+            held: list[tuple[np.ndarray, np.ndarray]] = []
+            for rows, starts, parts in _stretches(batch.column(1), most):
+                size = np.array([len(t) for t in parts])
+                codes = np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32)
+                # place in a row of `wide` places for each key
+                first = of[rows].astype(np.int64) * wide + starts - (np.cumsum(size) - size)
+                held.append(np.unique((np.repeat(first, size) + np.arange(len(codes))) * 0x110000 + codes, return_counts=True))
+                if sum(len(x) for x, _ in held) > 4 * most:
+                    held = [_merged(held)]
+                    if len(held[0][0]) > 2 * most:
+                        yield shown(*held.pop())
+            if held:
+                yield shown(*_merged(held))
 
     return df.select(key, F.col(text).cast("string")).mapInArrow(run, f"`{key}` {kind}, pos int, ch string, n long")
 

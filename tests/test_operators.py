@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,6 +128,22 @@ def test_votes_and_length_mode(spark):
     assert got == {"tie": 3, "more": 5, "none": 7}
 
 
+def test_letters_are_counted_in_bounded_pieces(spark, monkeypatch):
+    rng, most = random.Random(6), []
+    rows = [(rng.choice(["x", "y", None]), "".join(rng.choice("abé😀") for _ in range(rng.randrange(0, 90)))) for _ in range(60)] + [("x", None), ("y", "ab" * 400), ("z", "")]
+    monkeypatch.setattr(consensus, "LETTERS", 50)
+    got = consensus.vote(consensus.position_counts(spark.createDataFrame(rows, "k string, t string"), "k", "t"), ["k", "pos"], "ch", "n")
+    seen = {}
+    for k, t in rows:
+        for i, c in enumerate(t or "", 1):
+            seen.setdefault((k, i), []).append(c)
+    assert {(r.k, r.pos): (r.ch, r.n) for r in got.collect()} == {at: min(((c, x.count(c)) for c in x), key=lambda v: (-v[1], v[0])) for at, x in seen.items()}
+    for _, starts, parts in consensus._stretches(pa.array([t for _, t in rows]), 50):
+        most.append(sum(map(len, parts)))
+        assert len(starts) == len(parts)
+    assert max(most) == 50 and sum(most) == sum(len(t or "") for _, t in rows)
+
+
 def test_recalibration():
     assert consensus.recalibrate(["AAA", "C", "GG"], {}) == "AAACGG"
     assert consensus.recalibrate(["AAA", "C", "GG"], {0: [("AAAA", 0)] * 3, 1: [("CC", 0)] * 3, 2: [("G", 0)] * 3}) == "AAAACG"  # the region after a change is copied
