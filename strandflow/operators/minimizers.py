@@ -13,17 +13,19 @@ from pyspark.sql import functions as F
 #: The longest period whose repetition is left out; see `minimizer_places`.
 MAX_PERIOD = 6
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
+_BASE, _ONE = np.uint64(0x9E3779B97F4A7C15), np.ones(1, np.uint64)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
 def hashed(codes: np.ndarray, k: int) -> np.ndarray:
-    """A mixed 63-bit hash of each k-mer of an array of letters."""
+    """A mixed 63-bit hash of each k-mer of an array of letters: a polynomial of them, from sums of all letters before, so that k costs nothing."""
     n = len(codes) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    h = np.zeros(n, np.uint64)
     with np.errstate(over="ignore"):
-        for i in range(k):
-            h = h * np.uint64(0x9E3779B97F4A7C15) + codes[i : n + i].astype(np.uint64) + np.uint64(1)
+        up, down = (np.multiply.accumulate(np.concatenate([_ONE, np.full(len(codes), x)])) for x in (_BASE, _INVERSE))
+        sums = np.concatenate([[np.uint64(0)], np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * down[:-1], dtype=np.uint64)])
+        h = (sums[k:] - sums[:-k]) * up[k - 1 : n + k - 1]
         h ^= h >> np.uint64(29)
         h *= np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(32)
@@ -54,6 +56,42 @@ def minimizer_places(codes: np.ndarray, k: int, w: int, wild: int | None = ord("
     return at, h[at]
 
 
+def all_places(texts: list[str], k: int, w: int, wild: int | None = ord("N"), max_period: int = MAX_PERIOD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(texts' numbers, places, hashes) of the minimizers of many texts that stand at one place of their text only, in few calls for all."""
+    size = np.array([len(t) for t in texts], np.int64)
+    start = np.cumsum(size) - size
+    codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    h = hashed(codes, k)
+    of = np.repeat(np.arange(len(texts)), size)[: len(h)]
+    place = np.arange(len(h)) - start[of]
+    inside = place <= size[of] - k
+    out = ~inside
+    for p in range(1, min(max_period, len(h) - 1) + 1):
+        out[p:] |= (h[p:] == h[:-p]) & (place[p:] >= p)
+    if wild is not None:
+        bad = np.concatenate([[0], np.cumsum(codes == wild)])
+        out |= bad[k:] > bad[:-k]
+    h = np.where(out, _NONE, h)
+    # a window of w k-mers, or of all of a text that has fewer
+    at = [np.zeros(0, np.int64)]
+    if len(h) >= w:
+        first = np.flatnonzero(place[: len(h) - w + 1] <= size[of[: len(h) - w + 1]] - k - w + 1)
+        best = first.copy()
+        least = h[first]
+        for i in range(1, w):
+            less = h[first + i] < least
+            best[less] = first[less] + i
+            least = np.minimum(least, h[first + i])
+        at.append(best)
+    at += [np.array([s + h[s : s + n - k + 1].argmin()]) for s, n in zip(start.tolist(), size.tolist(), strict=True) if k <= n < k + w - 1]
+    at = np.unique(np.concatenate(at))
+    at = at[h[at] != _NONE]
+    order = np.lexsort((h[at], of[at]))
+    new = (np.diff(h[at][order], prepend=_NONE) != 0) | (np.diff(of[at][order], prepend=-1) != 0)
+    at = at[np.sort(order[new & np.append(new[1:], True)])]
+    return of[at], place[at], h[at]
+
+
 #: Minimizers of an Arrow batch, about; those of a longer sequence are a batch of their own.
 BATCH = 200_000
 

@@ -5,21 +5,29 @@ is known by how far it reaches to the left and to the right of that place.  One
 that another exceeds on both sides is contained in it; all others are in order,
 and only neighbours are linked, so that a place costs its reads and not their
 pairs, and edges over several reads at once (transitive ones) aren't made.
+
+Clusters of up to GROUP_LETTERS letters are laid out in a group each, so that
+reads are shuffled once and their places, which take many times the bytes of the
+reads, never; places of larger ones are rows that windows compare.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .minimizers import minimizer_rows
+from .minimizers import all_places, minimizer_rows
 
 #: k-mers and windows of minimizers, and letters that an overlap has to have.
 K, W, MIN_OVERLAP = 15, 5, 256
 #: Reads of a cluster that are compared in one window at first; a larger one is thinned slice by slice.
 SLICE_READS = 2_048
 BAND = 64
+#: Letters of a cluster's reads that are laid out in one group at most.
+GROUP_LETTERS = 2_000_000
 
 
 def places(reads: DataFrame, keys: list[str], k: int = K, w: int = W) -> DataFrame:
@@ -98,16 +106,85 @@ def longest_path(edges: list[tuple], sizes: dict, least: int) -> list[tuple]:
     return best[2]
 
 
-def layout(reads: DataFrame, keys: list[str], edge: DataFrame, scratch, k: int = K, w: int = W, min_overlap: int = MIN_OVERLAP) -> DataFrame:
+def chosen_path(edges: list[tuple], sizes: dict, edge: int, any_inside: bool) -> list[tuple]:
+    """The longest path at `edge` places, or else at fewer; empty where no two reads overlap."""
+    path: list[tuple] = []
+    for least in range(edge, 0, -1):
+        path = longest_path(edges, sizes, least)
+        if len(path) > 1:
+            break
+    return path if len(path) > 1 or any_inside else []
+
+
+def lay_out(names: list, seqs: list[str], edge: int, k: int, w: int, min_overlap: int) -> tuple[str, int] | None:
+    """(contig, reads of its path) of one cluster's reads in order of their names, as `contained` and `links` say it for all; None without an overlap."""
+    of, before, h = all_places(seqs, k, w)
+    after = np.array([len(s) for s in seqs], np.int64)[of] - before
+
+    def ordered(*by: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.lexsort((*by[::-1], h))
+        return order, np.flatnonzero(np.diff(h[order]) == 0) + 1  # and the rows that aren't the first of their place
+
+    order, later = ordered(-before, -after, of)
+    group = np.zeros(len(h), np.int64)
+    group[later] = 1
+    group = np.cumsum(1 - group)
+    reach = after[order] + group * (1 << 32)
+    top = np.maximum.accumulate(reach)
+    inside = np.zeros(len(seqs), bool)
+    inside[of[order[later[top[later - 1] >= reach[later]]]]] = True
+    keep = ~inside[of]
+    of, before, after, h = of[keep], before[keep], after[keep], h[keep]
+    order, later = ordered(-before, after, of)
+    a, b = order[later - 1], order[later]
+    far = before[b] + after[a] >= min_overlap
+    a, b = a[far], b[far]
+    shift, deep = before[a] - before[b], np.minimum(before[b], after[a])
+    band = shift // BAND
+    # of a band's places the deepest comes last, of a pair's bands that of most places
+    order = np.lexsort((before[b], before[a], deep, band, of[b], of[a]))
+    cols = np.stack([of[a], of[b], band, before[a], before[b]])[:, order]
+    last = np.flatnonzero(np.append((np.diff(cols[:3]) != 0).any(axis=0), True)) if len(order) else order
+    n = np.diff(last, prepend=-1)
+    found: dict[tuple[int, int], tuple] = {}
+    for x, y, z, p, q, m in zip(*cols[:, last].tolist(), n.tolist(), strict=True):
+        found[x, y] = max(found.get((x, y), (0, 0, 0, 0)), (m, -z, p, q))
+    sizes = {str(names[r]): len(seqs[r]) for r in np.unique(of).tolist()}
+    path = chosen_path([(str(names[x]), str(names[y]), m, p, q) for (x, y), (m, _, p, q) in found.items()], sizes, edge, bool(inside.any()))
+    text = {str(name): seq for name, seq in zip(names, seqs, strict=True)}
+    return ("".join(text[r][s:e] for r, s, e in path), len(path)) if path else None
+
+
+def layout(reads: DataFrame, keys: list[str], edge: DataFrame | int, scratch, k: int = K, w: int = W, min_overlap: int = MIN_OVERLAP) -> DataFrame:
     """keys, laid, n_reads: the longest contig of each cluster whose reads (keys, seg_id, seq) overlap; clusters without an overlap are left out.
 
-    `edge` (keys, edge) says at how many places two reads have to meet.  Where
-    that leaves no path, fewer are tried, down to one.  A group of the last step
-    holds numbers of the reads that aren't contained, which begin at different
-    letters; texts are only joined to the chosen path.
+    `edge`, one number or (keys, edge), says at how many places two reads have to
+    meet.  Where that leaves no path, fewer are tried, down to one.
     """
     fields = {f.name: f.dataType.simpleString() for f in reads.schema}
-    at = scratch.cut(places(reads.where(F.length("seq") >= min_overlap), keys, k, w), "places")  # a shorter read overlaps none
+    reads = reads.where(F.length("seq") >= min_overlap)  # a shorter read overlaps none
+    large = scratch.cut(reads.groupBy(*keys).agg(F.sum(F.length("seq")).alias("_letters")).where(F.col("_letters") > GROUP_LETTERS), "large").drop("_letters")
+    asked = (lambda df: df.withColumn("edge", F.lit(edge))) if isinstance(edge, int) else lambda df: df.join(edge, keys)
+    some = not large.isEmpty()
+
+    def group(t: pa.Table) -> pa.Table:
+        t = t.sort_by("seg_id")
+        laid = lay_out(t.column("seg_id").to_pylist(), t.column("seq").to_pylist(), t.column("edge")[0].as_py(), k, w, min_overlap)
+        head = t.select(keys).slice(0, 1 if laid else 0)
+        return pa.Table.from_arrays([*head.columns, pa.array([laid[0]] if laid else [], pa.string()), pa.array([laid[1]] if laid else [], pa.int32())], names=[*keys, "laid", "n_reads"])
+
+    small = asked(reads.join(large, keys, "left_anti") if some else reads).select(*keys, "seg_id", "seq", "edge")
+    laid = small.groupBy(*keys).applyInArrow(group, ", ".join(f"{c} {fields[c]}" for c in keys) + ", laid string, n_reads int")
+    if not some:
+        return laid
+    edges = asked(large).select(*keys, "edge")
+    return laid.unionByName(_layout_by_places(reads.join(large, keys, "left_semi"), keys, edges, scratch, k, w, min_overlap))
+
+
+def _layout_by_places(reads: DataFrame, keys: list[str], edge: DataFrame, scratch, k: int, w: int, min_overlap: int) -> DataFrame:
+    """The same for clusters of any size; a group of the last step holds numbers of the reads that aren't contained, which begin at different letters, and texts are only joined to the chosen path."""
+    fields = {f.name: f.dataType.simpleString() for f in reads.schema}
+    at = scratch.cut(places(reads, keys, k, w), "places")
     inside = scratch.cut(contained(at.join(edge, keys), keys, 1), "contained")
     outer = at.join(inside, [*keys, "seg_id"], "left_anti")
     edges = links(outer, keys, min_overlap)
@@ -121,13 +198,7 @@ def layout(reads: DataFrame, keys: list[str], edge: DataFrame, scratch, k: int =
         is_node = pdf["b"].isna()
         sizes = {r.a: int(r.n) for r in pdf[is_node].itertuples()}
         found = [(r.a, r.b, int(r.n), int(r.a_pos), int(r.b_pos)) for r in pdf[~is_node].itertuples()]
-        path: list[tuple] = []
-        for least in range(int(pdf["edge"].iloc[0]), 0, -1):
-            path = longest_path(found, sizes, least)
-            if len(path) > 1:
-                break
-        if len(path) < 2 and pdf["_inside"].isna().iloc[0]:
-            path = []  # no two reads overlap
+        path = chosen_path(found, sizes, int(pdf["edge"].iloc[0]), not pdf["_inside"].isna().iloc[0])
         return pd.DataFrame([(i, *x) for i, x in enumerate(path)], columns=["_order", "seg_id", "_start", "_end"]).assign(**{c: pdf[c].iloc[0] for c in keys})[[*keys, "_order", "seg_id", "_start", "_end"]]
 
     head = ", ".join(f"{c} {fields[c]}" for c in keys)

@@ -23,10 +23,7 @@ def assemble_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "text").where(F.length("text") > SLICE).where(~minimizers.has_repeat("text", MEET))
     at = F.explode(F.sequence(F.lit(0), F.ceil((F.length("text") - SLICE) / STEP).cast("int") * STEP, F.lit(STEP)))
     cut = d.select("doc_id", "text", at.alias("at")).select("doc_id", F.xxhash64("doc_id", "at").alias("seg_id"), F.substring("text", F.col("at") + 1, F.lit(SLICE)).alias("seq"))
-    scratch = Scratch(spark, "slices")
-    reads = scratch.cut(cut.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id"), "reads")  # in many files, as each is a task of what follows
-    edge = reads.select("doc_id").distinct().withColumn("edge", F.lit(2))
-    laid = overlaps.layout(reads, ["doc_id"], edge, scratch, k=MEET, min_overlap=MEET)
+    laid = overlaps.layout(cut, ["doc_id"], 2, Scratch(spark, "slices"), k=MEET, min_overlap=MEET)
     return laid.select("doc_id", F.md5("laid").alias("contig_md5"), F.col("n_reads").cast("int").alias("n_reads"))
 
 

@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 from strandflow.functions import scoring
 from strandflow.lineage import Scratch
 from strandflow.operators import assembly, banded, chains, minimizers, overlaps, poa, seqjoin
@@ -65,6 +66,38 @@ def test_layout_keeps_only_neighbours(spark):
     assert [(r.laid, r.n_reads) for r in overlaps.layout(reads, ["k"], edge, Scratch(spark, "test")).collect()] == [(t[:1900], 11)]
 
 
+def test_layout_in_a_group_equals_that_by_places(spark, monkeypatch, tmp_path):
+    rng = random.Random(12)
+    rows = []
+    for c in range(6):
+        t = dna(rng, 1_500) + "N" * 3 + "CA" * 20 + dna(rng, 900)
+        cuts = [(a, a + rng.randrange(200, 700)) for a in (rng.randrange(0, 2_000) for _ in range(25))]
+        rows += [(f"c{c}", c * 100 + i, noisy(rng, t[a:b], 0.01 * (c % 2)), False) for i, (a, b) in enumerate(cuts)]
+    rows += [("apart", 900 + i, dna(rng, 400), False) for i in range(3)] + [("one", 990, dna(rng, 400), False), ("short", 991, "ACGT", False)]
+    reads = frame(spark, rows).drop("is_rep")
+    edge = reads.select("k").distinct().withColumn("edge", F.lit(2))
+    made, cut = [], Scratch.cut
+    monkeypatch.setattr(Scratch, "cut", lambda self, df, name, *a: made.append(name) or cut(self, df, name, *a))
+    shown = lambda e: sorted(map(tuple, overlaps.layout(reads, ["k"], e, Scratch(spark, "test"), min_overlap=60).collect()))
+    got = shown(edge)
+    assert len(got) == 6 and "places" not in made and shown(2) == got  # places aren't written
+    monkeypatch.setattr(overlaps, "GROUP_LETTERS", 8_000)
+    assert shown(edge) == got and "places" in made
+    monkeypatch.setattr(overlaps, "GROUP_LETTERS", 0)
+    assert shown(2) == got
+
+
+def test_minimizers_of_many_texts_are_those_of_each():
+    rng = random.Random(13)
+    texts = [dna(rng, rng.randrange(0, 90)) for _ in range(60)] + ["", "CA" * 40, "ACGTN" * 12, "A" * 30, dna(rng, 40) * 2]
+    for k, w in ((15, 5), (5, 9), (30, 1)):
+        want = []
+        for i, t in enumerate(texts):
+            at, h = minimizers.minimizer_places(np.frombuffer(t.encode("utf-32-le"), np.uint32), k, w)
+            want += [(i, p, x) for p, x in zip(at.tolist(), h.tolist(), strict=True) if h.tolist().count(x) == 1]
+        assert list(zip(*(x.tolist() for x in minimizers.all_places(texts, k, w)), strict=True)) == want
+
+
 def test_paths_of_odd_graphs():
     sizes = {"a": 10, "b": 10, "c": 10, "d": 10}
     edges = [("a", "b", 5, 4, 0), ("b", "c", 5, 4, 0), ("a", "c", 1, 8, 0)]
