@@ -155,15 +155,18 @@ def lay_out(names: list, seqs: list[str], edge: int, k: int, w: int, min_overlap
     return ("".join(text[r][s:e] for r, s, e in path), len(path)) if path else None
 
 
-def layout(reads: DataFrame, keys: list[str], edge: DataFrame | int, scratch, k: int = K, w: int = W, min_overlap: int = MIN_OVERLAP) -> DataFrame:
+def layout(reads: DataFrame, keys: list[str], edge: DataFrame | int, scratch, k: int = K, w: int = W, min_overlap: int = MIN_OVERLAP, letters: DataFrame | None = None) -> DataFrame:
     """keys, laid, n_reads: the longest contig of each cluster whose reads (keys, seg_id, seq) overlap; clusters without an overlap are left out.
 
-    `edge`, one number or (keys, edge), says at how many places two reads have to
+    `letters` (keys, _letters) has the letters of each cluster's reads or more,
+    where that is known without a pass over the reads.  `edge`, one number or (keys, edge), says at how many places two reads have to
     meet.  Where that leaves no path, fewer are tried, down to one.
     """
     fields = {f.name: f.dataType.simpleString() for f in reads.schema}
     reads = reads.where(F.length("seq") >= min_overlap)  # a shorter read overlaps none
-    large = scratch.cut(reads.groupBy(*keys).agg(F.sum(F.length("seq")).alias("_letters")).where(F.col("_letters") > GROUP_LETTERS), "large").drop("_letters")
+    if letters is None:
+        letters = reads.groupBy(*keys).agg(F.sum(F.length("seq")).alias("_letters"))
+    large = scratch.cut(letters.where(F.col("_letters") > GROUP_LETTERS).select(*keys), "large")
     asked = (lambda df: df.withColumn("edge", F.lit(edge))) if isinstance(edge, int) else lambda df: df.join(edge, keys)
     some = not large.isEmpty()
 

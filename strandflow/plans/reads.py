@@ -20,10 +20,13 @@ once AS (SELECT doc_id FROM g GROUP BY doc_id HAVING count(*) = count(DISTINCT s
 SELECT doc_id, md5(text) AS contig_md5, CAST((length(text) - {SLICE} + {STEP - 1}) // {STEP} + 1 AS INTEGER) AS n_reads FROM documents SEMI JOIN once USING (doc_id)""")
 def assemble_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts cut into overlapping slices, which the overlap graph lays out again: those in which no {MEET} letters repeat, as a layout is unique for no others."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text").where(F.length("text") > SLICE).where(~minimizers.has_repeat("text", MEET))
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text").where(F.length("text") > SLICE)
+    # steps are found in one walk over a text, before slices are rows; a substring would walk to its place from the first letter
+    d = texts.where(~minimizers.has_repeat("text", MEET)).withColumn("steps", F.regexp_extract_all("text", F.lit(f"(?s).{{1,{STEP}}}"), F.lit(0)))
     at = F.explode(F.sequence(F.lit(0), F.ceil((F.length("text") - SLICE) / STEP).cast("int") * STEP, F.lit(STEP)))
-    cut = d.select("doc_id", "text", at.alias("at")).select("doc_id", F.xxhash64("doc_id", "at").alias("seg_id"), F.substring("text", F.col("at") + 1, F.lit(SLICE)).alias("seq"))
-    laid = overlaps.layout(cut, ["doc_id"], 2, Scratch(spark, "slices"), k=MEET, min_overlap=MEET)
+    cut = d.select("doc_id", "steps", at.alias("at")).select("doc_id", F.xxhash64("doc_id", "at").alias("seg_id"), F.array_join(F.slice("steps", (F.col("at") / STEP).cast("int") + 1, SLICE // STEP), "").alias("seq"))
+    letters = texts.groupBy("doc_id").agg(F.sum((F.length("text") / STEP + 1) * SLICE).alias("_letters"))
+    laid = overlaps.layout(cut, ["doc_id"], 2, Scratch(spark, "slices"), k=MEET, min_overlap=MEET, letters=letters)
     return laid.select("doc_id", F.md5("laid").alias("contig_md5"), F.col("n_reads").cast("int").alias("n_reads"))
 
 
